@@ -4,32 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from concilia.functions.text import _col
 from concilia.vocabulary import NO_DATE
 
 
-def parse_two_format_date(c: Column | str) -> Column:
+def parse_two_format_date(name: str) -> Column:
     """``YYYY-MM-DD`` or ``DD/MM/YYYY`` text to a date.
 
     Blank, other shapes and impossible days (31/02) give NULL.
     """
-    text = F.trim(_col(c))
-    return F.when(
-        text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(text, "yyyy-MM-dd")
-    ).when(
-        text.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z"), F.try_to_date(text, "dd/MM/yyyy")
+    text = F.trim(F.col(name))
+    iso = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    local = text.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z")
+    return F.when(iso, F.try_to_date(text, "yyyy-MM-dd")).when(
+        local, F.try_to_date(text, "dd/MM/yyyy")
     )
 
 
-def deadline_passed(start: Column | str, as_of: Column) -> Column:
-    """The month of ``start`` is reported until day 5 of the next; no start counts as passed."""
-    start = _col(start)
+def deadline_passed(name: str, as_of: Column) -> Column:
+    """The month of a start is reported until day 5 of the next; no start counts as passed."""
+    start = F.col(name)
     return start.isNull() | (as_of > F.date_add(F.last_day(start), 5))
 
 
-def older_than_days(day: Column | str, as_of: Column, days: int) -> Column:
-    return _col(day) < F.date_sub(as_of, days)
+def older_than_days(name: str, as_of: Column, days: int) -> Column:
+    return F.col(name) < F.date_sub(as_of, days)
 
 
-def br_date_text(day: Column | str) -> Column:
-    return F.coalesce(F.date_format(_col(day), "dd/MM/yyyy"), F.lit(NO_DATE))
+def br_date_text(name: str) -> Column:
+    return F.coalesce(F.date_format(F.col(name), "dd/MM/yyyy"), F.lit(NO_DATE))

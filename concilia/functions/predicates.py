@@ -1,4 +1,8 @@
-"""Predicates shared by rules, over a member row joined with one registry row."""
+"""Predicates shared by rules.
+
+They read a prepared member row (columns as in the table, plus ``m_*``), joined with one
+prepared registry row (``r_*``) where they compare the two. Each is one SQL expression.
+"""
 
 from __future__ import annotations
 
@@ -7,127 +11,124 @@ from operator import or_
 
 from pyspark.sql import Column, functions as F
 
-from concilia.functions.text import (
-    alnum_upper, digits_only, first_present, is_blank, is_present, same_name, upper_trim,
-)
+from concilia.functions.text import trimmed
 from concilia.vocabulary import ACTIVE, FLAGS, FLEX, HOLDER, INACTIVE
 
-_c = F.col
-
 
 def any_of(conditions) -> Column:
     return reduce(or_, conditions)
 
 
 def same_birth() -> Column:
-    return _c("nascusu").isNotNull() & (_c("r_birth") == _c("nascusu"))
+    return F.expr("r_birth = nascusu")
 
 
 def same_start() -> Column:
-    return _c("dataini").isNotNull() & (_c("r_start") == _c("dataini"))
+    return F.expr("r_start = dataini")
 
 
 def missing_mandatory() -> Column:
     """An active member lacks a field the registry requires."""
-    return (_c("situusu") == ACTIVE) & (
-        is_blank("nomeusu")
-        | _c("nascusu").isNull()
-        | is_blank("sexousu")
-        | (is_blank("cpfusu") & is_blank("cns"))
+    return F.expr(
+        f"situusu = '{ACTIVE}' and (m_name = '' or nascusu is null"
+        f" or {trimmed('sexousu')} = '' or (m_cpf is null and {trimmed('cns')} = ''))"
     )
 
 
 def mandatory_present() -> Column:
-    return (
-        is_present("codcco")
-        & is_present("nomeusu")
-        & _c("nascusu").isNotNull()
-        & is_present("sexousu")
-        & (is_present("cpfusu") | is_present("cns"))
+    return F.expr(
+        f"m_cco is not null and m_name <> '' and nascusu is not null"
+        f" and {trimmed('sexousu')} <> '' and (m_cpf is not null or {trimmed('cns')} <> '')"
     )
 
 
 def registry_can_fill() -> Column:
     gaps = [
-        is_blank(name) & is_present(f"r_{name}")
+        f"({trimmed(name)} = '' and {trimmed('r_' + name)} <> '')"
         for name in ("nomeusu", "sexousu", "cpfusu", "cns", "codcco")
     ]
-    return any_of(gaps) | (_c("nascusu").isNull() & _c("r_birth").isNotNull())
+    return F.expr(" or ".join([*gaps, "(nascusu is null and r_birth is not null)"]))
+
+
+def field_differences() -> dict[str, str]:
+    """Flag name -> SQL: the local field differs from the registry row."""
 
+    def alnum(name: str) -> str:
+        return f"upper(regexp_replace(coalesce({name}, ''), '[^0-9A-Za-z]', ''))"
 
-def field_differences() -> dict[str, Column]:
-    """Flag name -> the local field differs from the registry row."""
-    plan = first_present("r_codplaport", "r_codplaope")
+    def digits(name: str) -> str:
+        return f"regexp_replace(coalesce({name}, ''), '[^0-9]', '')"
+
+    def upper(name: str) -> str:
+        return f"upper({trimmed(name)})"
+
+    plan = "coalesce(nullif(trim(r_codplaport), ''), nullif(trim(r_codplaope), ''), '')"
     return {
-        "ansrg": alnum_upper("rgusu") != alnum_upper("r_docident"),
-        "anscpf": digits_only("cpfusu") != digits_only("r_cpfusu"),
-        "ansmae": upper_trim("mae") != upper_trim("r_mae"),
-        "anscns": digits_only("cns") != digits_only("r_cns"),
-        "ansnasc": ~_c("nascusu").eqNullSafe(_c("r_birth")),
-        "ansparentesco": upper_trim("parentesco") != upper_trim("r_parentesco"),
-        "ansnome": upper_trim("nomeusu") != upper_trim("r_nomeusu"),
-        "ansplano": upper_trim("codplano") != upper_trim(plan),
-        "ansdataini": ~_c("dataini").eqNullSafe(_c("r_start")),
-        "ansdatafim": ~_c("datafim").eqNullSafe(_c("r_end")),
+        "ansrg": f"{alnum('rgusu')} <> {alnum('r_docident')}",
+        "anscpf": "m_digits <> r_digits",
+        "ansmae": f"{upper('mae')} <> {upper('r_mae')}",
+        "anscns": f"{digits('cns')} <> {digits('r_cns')}",
+        "ansnasc": "not (nascusu <=> r_birth)",
+        "ansparentesco": f"{upper('parentesco')} <> {upper('r_parentesco')}",
+        "ansnome": "m_name <> r_name",
+        "ansplano": f"{upper('codplano')} <> upper({plan})",
+        "ansdataini": "not (dataini <=> r_start)",
+        "ansdatafim": "not (datafim <=> r_end)",
     }
 
 
 def some_difference() -> Column:
-    return any_of(field_differences().values())
+    return F.expr(" or ".join(f"({d})" for d in field_differences().values()))
 
 
 def some_flag_marked() -> Column:
-    return any_of(F.coalesce(F.trim(_c(flag)), F.lit("")) == "1" for flag in FLAGS)
+    return F.expr(" or ".join(f"{trimmed(flag)} = '1'" for flag in FLAGS))
 
 
 def exact_same_record() -> Column:
     """CCO, name, CPF, birth and start: known on both sides and equal."""
-    return F.coalesce(
-        (_c("m_cco") == _c("r_cco"))
-        & same_name("nomeusu", "r_nomeusu")
-        & (_c("m_cpf") == _c("r_cpf"))
-        & same_birth()
-        & same_start(),
-        F.lit(False),
+    return F.expr(
+        "coalesce(m_cco = r_cco and m_name <> '' and m_name = r_name and m_cpf = r_cpf"
+        " and r_birth = nascusu and r_start = dataini, false)"
     )
 
 
 def compatible_keys() -> Column:
     """CPF, birth and name do not contradict each other where both sides know them."""
-    return (
-        (_c("m_cpf").isNull() | _c("r_cpf").isNull() | (_c("m_cpf") == _c("r_cpf")))
-        & (_c("nascusu").isNull() | _c("r_birth").isNull() | (_c("nascusu") == _c("r_birth")))
-        & (is_blank("nomeusu") | is_blank("r_nomeusu") | (_c("m_name") == _c("r_name")))
+    return F.expr(
+        "(m_cpf is null or r_cpf is null or m_cpf = r_cpf)"
+        " and (nascusu is null or r_birth is null or nascusu = r_birth)"
+        " and (m_name = '' or r_name = '' or m_name = r_name)"
     )
 
 
 def same_member_code() -> Column:
-    remote = upper_trim("r_codusu")
-    return (upper_trim("codusu") == remote) | (
-        is_present("codans") & (upper_trim("codans") == remote)
+    remote = f"upper({trimmed('r_codusu')})"
+    return F.expr(
+        f"upper({trimmed('codusu')}) = {remote}"
+        f" or ({trimmed('codans')} <> '' and upper(trim(codans)) = {remote})"
     )
 
 
 def full_identity() -> Column:
     """Name, eleven-digit CPF, birth, start and member code all agree."""
     return F.coalesce(
-        same_name("nomeusu", "r_nomeusu")
-        & (F.length("m_digits") == 11)
-        & (_c("m_digits") == _c("r_digits"))
-        & same_birth()
-        & same_start()
+        F.expr(
+            "m_name <> '' and m_name = r_name and length(m_digits) = 11"
+            " and m_digits = r_digits and r_birth = nascusu and r_start = dataini"
+        )
         & same_member_code(),
         F.lit(False),
     )
 
 
 def is_holder() -> Column:
-    return F.trim(_c("codusu")) == HOLDER
+    return F.expr(f"trim(codusu) = '{HOLDER}'")
 
 
 def not_inactive() -> Column:
-    return _c("situusu") != INACTIVE
+    return F.expr(f"situusu <> '{INACTIVE}'")
 
 
 def prepared_for_flex(flag: str) -> Column:
-    return (F.coalesce(F.trim(_c(flag)), F.lit("")) == "1") & (_c("posans") == FLEX)
+    return F.expr(f"{trimmed(flag)} = '1' and posans = '{FLEX}'")

@@ -12,6 +12,12 @@ from concilia.functions.dates import parse_two_format_date
 from concilia.functions.text import digits_only, nullif_blank, upper_trim
 
 
+# Added by ``prepare_registry``; all functions of the columns of the table.
+NORMALISED = (
+    "r_state", "r_cco", "r_cpf", "r_digits", "r_name", "r_birth", "r_start", "r_end",
+)
+
+
 def prepare_members(members: DataFrame) -> DataFrame:
     return members.withColumns({
         "m_cco": nullif_blank("codcco"),

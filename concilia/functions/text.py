@@ -1,77 +1,83 @@
-"""Scalar text expressions. All are built-in Columns; none needs Python at run time."""
+"""Scalar text expressions over a named column.
+
+Each is one built-in SQL expression, so it stays inside generated code and costs one call
+to build. None needs Python at run time.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def trimmed(name: str) -> str:
+    return f"coalesce(trim({name}), '')"
 
 
-def is_blank(c: Column | str) -> Column:
+def is_blank(name: str) -> Column:
     """NULL, empty, or nothing but spaces. Never NULL itself."""
-    return F.coalesce(F.trim(_col(c)), F.lit("")) == ""
+    return F.expr(f"{trimmed(name)} = ''")
 
 
-def is_present(c: Column | str) -> Column:
-    return F.coalesce(F.trim(_col(c)), F.lit("")) != ""
+def is_present(name: str) -> Column:
+    return F.expr(f"{trimmed(name)} <> ''")
 
 
-def nullif_blank(c: Column | str) -> Column:
-    return F.nullif(F.trim(_col(c)), F.lit(""))
+def nullif_blank(name: str) -> Column:
+    return F.expr(f"nullif(trim({name}), '')")
 
 
-def first_present(*columns: Column | str) -> Column:
+def first_present(*names: str) -> Column:
     """First non-blank value, trimmed; empty text when there is none."""
-    return F.coalesce(*[nullif_blank(c) for c in columns], F.lit(""))
+    return F.expr(f"coalesce({', '.join(f'''nullif(trim({n}), '')''' for n in names)}, '')")
 
 
-def upper_trim(c: Column | str) -> Column:
+def upper_trim(name: str) -> Column:
     """Text for case-insensitive comparison; NULL counts as empty."""
-    return F.upper(F.trim(F.coalesce(_col(c), F.lit(""))))
-
-
-def same_name(a: Column | str, b: Column | str) -> Column:
-    return is_present(a) & is_present(b) & (upper_trim(a) == upper_trim(b))
+    return F.expr(f"upper({trimmed(name)})")
 
 
-def digits_only(c: Column | str) -> Column:
-    return F.regexp_replace(F.coalesce(_col(c), F.lit("")), "[^0-9]", "")
+def digits_only(name: str) -> Column:
+    return F.expr(f"regexp_replace(coalesce({name}, ''), '[^0-9]', '')")
 
 
-def alnum_upper(c: Column | str) -> Column:
-    return F.upper(F.regexp_replace(F.coalesce(_col(c), F.lit("")), "[^0-9A-Za-z]", ""))
+def alnum_upper(name: str) -> Column:
+    return F.expr(f"upper(regexp_replace(coalesce({name}, ''), '[^0-9A-Za-z]', ''))")
 
 
-def is_cpf(c: Column | str) -> Column:
+def is_cpf(name: str) -> Column:
     """Exactly eleven digits. ``\\z`` because ``$`` would accept a trailing newline."""
-    return _col(c).rlike(r"^[0-9]{11}\z")
+    return F.col(name).rlike(r"^[0-9]{11}\z")
 
 
-def has_digit(c: Column | str) -> Column:
-    return _col(c).rlike("[0-9]")
+def has_digit(name: str) -> Column:
+    return F.col(name).rlike("[0-9]")
 
 
-def has_illegal_character(c: Column | str) -> Column:
+def has_illegal_character(name: str) -> Column:
     """Anything but letters of any alphabet, white space, apostrophe and hyphen."""
-    return _col(c).rlike(r"[^\p{L}\s'\-]")
+    return F.col(name).rlike(r"[^\p{L}\s'\-]")
 
 
-def word_count(c: Column | str) -> Column:
-    return F.size(F.split(F.trim(_col(c)), r"\s+"))
+def word_count(name: str) -> Column:
+    return F.size(F.split(F.expr(f"trim({name})"), r"\s+"))
 
 
-def company(c: Column | str) -> Column:
-    return F.left(_col(c), F.lit(4))
+def company(name: str) -> Column:
+    return F.expr(f"left({name}, 4)")
 
 
-def cut(c: Column | str, length: int) -> Column:
-    return F.left(F.trim(_col(c)), F.lit(length))
+def cut(name: str, length: int) -> Column:
+    return F.expr(f"left(trim({name}), {int(length)})")
 
 
-def compose_code(contract: Column | str, number: Column | str) -> Column:
+def compose_code(contract: str, number: str) -> Column:
     """``contract-number`` cut to 30; NULL unless both parts are present."""
-    both = is_present(contract) & is_present(number)
-    joined = F.concat_ws("-", F.trim(_col(contract)), F.trim(_col(number)))
-    return F.when(both, F.left(joined, F.lit(30)))
+    return F.expr(
+        f"case when {trimmed(contract)} <> '' and {trimmed(number)} <> ''"
+        f" then left(trim({contract}) || '-' || trim({number}), 30) end"
+    )
+
+
+def same_name(a: str, b: str) -> Column:
+    left, right = f"upper({trimmed(a)})", f"upper({trimmed(b)})"
+    return F.expr(f"{left} <> '' and {left} = {right}")

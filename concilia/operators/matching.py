@@ -21,6 +21,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concilia.functions.prepare import NORMALISED
 from concilia.functions.text import is_blank, is_present
 from concilia.operators.versions import first_per_key, latest_version
 from concilia.vocabulary import KEY_CCO_COMPATIBLE, KEY_CODE_BIRTH, KEY_CPF_BIRTH
@@ -137,9 +138,6 @@ REGISTRY_VIEW = (
     "r_numseq", "r_status", "r_codcco", "r_codusu", "r_nomeusu", "r_cpfusu", "r_nascusu",
     "r_dataini", "r_datafim",
 )
-NORMALISED = (
-    "r_state", "r_cco", "r_cpf", "r_digits", "r_name", "r_birth", "r_start", "r_end",
-)
 
 
 def view_with_keys(registry: DataFrame, *extra: str) -> DataFrame:

@@ -12,14 +12,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from concilia.functions.prepare import NORMALISED
+
 
 def _total_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> list[Column]:
     """``order``, then the content of the row, so that equal sequences give a stable pick.
 
-    Rows that still tie agree in every column they could be told apart by.
+    Rows that still tie agree in every column they could be told apart by. Normalised
+    columns follow from the others and need not be compared.
     """
-    rest = [F.col(c).asc_nulls_last() for c in sorted(set(df.columns) - set(keys))]
-    return list(order) + rest
+    rest = sorted(set(df.columns) - set(keys) - set(NORMALISED))
+    return [*order, *[F.col(c).asc_nulls_last() for c in rest]]
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -85,15 +85,15 @@ class Rule:
 
 
 def active() -> Column:
-    return c("situusu") == v.ACTIVE
+    return F.expr(f"situusu = '{v.ACTIVE}'")
 
 
 def inactive() -> Column:
-    return c("situusu") == v.INACTIVE
+    return F.expr(f"situusu = '{v.INACTIVE}'")
 
 
 def movement(*codes: str) -> Column:
-    return c("posans") == codes[0] if len(codes) == 1 else c("posans").isin(*codes)
+    return F.expr("posans in ({})".format(", ".join(f"'{code}'" for code in codes)))
 
 
 def has_cco() -> Column:
@@ -101,11 +101,12 @@ def has_cco() -> Column:
 
 
 def raw_cco() -> Column:
-    return F.coalesce("codcco", F.lit("")) != ""
+    """Not empty as written: blanks count as a CCO here."""
+    return F.expr("coalesce(codcco, '') <> ''")
 
 
 def remote(status: str) -> Column:
-    return c("r_state") == status
+    return F.expr(f"r_state = '{status}'")
 
 
 def _ans(*names: str) -> list[Column]:

@@ -8,6 +8,7 @@ of them are counted.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,11 +35,11 @@ class Reconciliation:
     as_of_ts: str
     ledger: DataFrame | None = None
 
-    @property
+    @cached_property
     def day(self) -> Column:
-        return F.to_date(F.lit(self.as_of))
+        return F.lit(date.fromisoformat(self.as_of))
 
-    @property
+    @cached_property
     def moment(self) -> Column:
         return F.to_timestamp(F.lit(self.as_of_ts))
 

@@ -133,7 +133,7 @@ def _code_source() -> Column:
 
 
 def _flag(name: str) -> Value:
-    return lambda day: F.when(field_differences()[name], F.lit("1")).otherwise(c(name))
+    return lambda day: F.when(F.expr(field_differences()[name]), F.lit("1")).otherwise(c(name))
 
 
 PLANS: tuple[FixPlan, ...] = (

@@ -13,12 +13,12 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concilia.functions.predicates import any_of
 from concilia.operators.ledger import AWAITED
 from concilia.operators.matching import lookup
-from concilia.plans.catalogue import RULES, Part, Rule
+from concilia.plans.catalogue import RULES, Rule, always
 from concilia.plans.context import Reconciliation
 from concilia.plans.corrections import metadata
 
@@ -30,12 +30,6 @@ def _unit_key(unit: str):
     )
 
 
-def _test(ctx: Reconciliation, part: Part, alone: bool) -> Column:
-    """The part's condition; alone on its frame, ``given`` was already the filter."""
-    when = part.when(ctx.day)
-    return when if alone else part.given(ctx.day) & when
-
-
 def hits(ctx: Reconciliation, rules: Iterable[Rule] = RULES, counting: bool = True) -> DataFrame:
     """``(rule_id, id)``: one row per thing each rule counts (or lists)."""
     frames: dict[tuple[str, str], list] = {}
@@ -47,10 +41,17 @@ def hits(ctx: Reconciliation, rules: Iterable[Rule] = RULES, counting: bool = Tr
 
     found = []
     for (frame, unit), members in frames.items():
-        rows = ctx.frame(frame, any_of(part.given(ctx.day) for _, part in members))
+        given = [part.given(ctx.day) for _, part in members]
+        rows = ctx.frame(frame, any_of(given))
+        # Alone on its frame, a part's ``given`` was already the filter.
+        tests = [
+            part.when(ctx.day) if len(members) == 1
+            else test if part.when is always
+            else test & part.when(ctx.day)
+            for test, (_, part) in zip(given, members)
+        ]
         broken = F.array_compact(F.array(*[
-            F.when(_test(ctx, part, alone=len(members) == 1), F.lit(rule.id))
-            for rule, part in members
+            F.when(test, F.lit(rule.id)) for test, (rule, _) in zip(tests, members)
         ]))
         found.append(
             rows.select(_unit_key(unit).alias("id"), F.explode(broken).alias("rule_id"))
