@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from concilia.operators.matching import lookup
 
@@ -25,12 +25,17 @@ def followed_within(
     spread over its slots.
     """
     micros = int(seconds) * 1_000_000
-    slot = F.floor(F.unix_micros(F.col(at)) / F.lit(micros)).cast("long")
+    moment = F.col(at).cast("timestamp")
+
+    def slot_of(time: Column) -> Column:
+        return F.floor(F.unix_micros(time) / F.lit(micros)).cast("long")
+
+    slot = slot_of(moment)
     roles = F.array(
-        F.struct(slot.alias("slot"), F.col(at).alias("last"),
+        F.struct(slot.alias("slot"), moment.alias("last"),
                  F.lit(None).cast("timestamp").alias("next")),
         F.struct((slot - 1).alias("slot"), F.lit(None).cast("timestamp").alias("last"),
-                 F.col(at).alias("next")),
+                 moment.alias("next")),
     )
     right = list(keys.values())
     facts = (
@@ -39,15 +44,14 @@ def followed_within(
         .groupBy(*[f"e_{k}" for k in right], F.col("slot").alias("e_slot"))
         .agg(F.max("last").alias("e_last"), F.min("next").alias("e_next"))
     )
-    marked = waiting.withColumn(
-        "_slot", F.floor(F.unix_micros(F.col(since)) / F.lit(micros)).cast("long")
-    )
+    start = F.col(since).cast("timestamp")
+    marked = waiting.withColumn("_slot", slot_of(start))
     joined = lookup(
         marked, facts, {**{k: f"e_{v}" for k, v in keys.items()}, "_slot": "e_slot"}, "left",
         spread_by=spread_by,
     )
-    limit = F.col(since) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(seconds)))
-    followed = (F.col("e_last") > F.col(since)) | (F.col("e_next") <= limit)
+    limit = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(seconds)))
+    followed = (F.col("e_last") > start) | (F.col("e_next") <= limit)
     return joined.withColumn("followed", F.coalesce(followed, F.lit(False))).select(
         *waiting.columns, "followed"
     )

@@ -67,7 +67,7 @@ class Rule:
             df = ctx.frame(part.frame, part.given(ctx.day)).filter(part.when(ctx.day))
             for name, label in part.labels:
                 df = df.withColumn(name, label())
-            out = df if out is None else out.unionByName(df)
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return ctx.without_waiting(out, self.id) if self.awaits_registry else out
 
     def detail(self, ctx: Reconciliation) -> DataFrame:

@@ -240,7 +240,7 @@ PLANS: tuple[FixPlan, ...] = (
         ("id", "codtit", "codusu", "nomeusu", "situusu", "posans", "codcco", "cpfusu",
          "dataini"),
         parts=(Part("codes", lambda day: is_blank("codans")),),
-        only=lambda: is_present(_code(None)),
+        only=lambda: F.trim(_code(None)) != "",
         after=lambda: [_code_source()],
     ),
     _settle("ativo_sem_cpf_posans",

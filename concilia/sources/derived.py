@@ -7,9 +7,11 @@ so that a second engine can check every result on the very same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from concilia.operators.rejections import ERROR_CODES
 from concilia.plans.context import Reconciliation
+from concilia.sources.rejection_xml import shape_rejections
 
 AS_OF = "2001-10-31"
 AS_OF_TS = "2001-10-31 12:00:00"
@@ -217,3 +219,42 @@ def load(spark: SparkSession, sf_dir: str) -> Reconciliation:
 
 
 _LOADED: dict[tuple[str, str], Reconciliation] = {}
+
+# Error rows of ``events`` become errors of rejected records, four event ids to a record.
+CODES = (*ERROR_CODES, "9999")
+
+
+def load_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected records in the shape ``read_rejections`` gives, from the events table.
+
+    A record is at most four events, so its arrays are bounded.
+    """
+    events = read_spread(spark, f"{sf_dir}/events.parquet").filter("event_type = 'error'")
+    number = F.get_json_object("props", "$.k").cast("int")
+    codes = F.array(*[F.lit(code) for code in CODES])
+    errors = events.select(
+        F.floor(F.col("event_id") / 4).cast("long").alias("record"),
+        F.struct(
+            "event_id", "user_id", number.cast("string").alias("value"),
+            F.get(codes, number % len(CODES)).alias("code"),
+        ).alias("e"),
+    )
+    grouped = errors.groupBy("record").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    fields = F.transform("es", lambda e: F.struct(
+        (e["event_id"] % 7).cast("string").alias("codigoCampo"),
+        F.lit("campo").alias("descricaoCampo"),
+        e["value"].alias("valorCampo"),
+        F.array(F.struct(
+            e["code"].alias("codigoErro"), F.lit("rejeitado").alias("mensagemErro")
+        )).alias("erro"),
+    ))
+    kind = F.col("record") % 5
+    names = F.array(*[F.lit(n) for n in ("", "INCLUSAO", "ALTERACAO", "EXCLUSAO", " REATIVACAO")])
+    return shape_rejections(grouped.select(
+        "record",
+        F.lpad((F.col("es")[0]["user_id"] + 1).cast("string"), 12, "0").alias("_cco"),
+        F.col("record").cast("string").alias("_codigoBeneficiario"),
+        kind.cast("string").alias("_codigoTipoMovimento"),
+        F.get(names, kind.cast("int")).alias("_tipoMovimento"),
+        fields.alias("campoErro"),
+    ), "record")

@@ -33,10 +33,10 @@ def _text(path: str, name: str):
     return F.expr(trimmed(path)).alias(name)
 
 
-def shape_rejections(raw: DataFrame) -> DataFrame:
+def shape_rejections(raw: DataFrame, *keep: str) -> DataFrame:
     """Plain names for the attributes, and the flattened errors."""
     named = raw.select(
-        *[c for c in raw.columns if c == "arquivo"],
+        *keep,
         _text("_cco", "cco"),
         _text("_codigoBeneficiario", "codigo_beneficiario"),
         _text("_codigoTipoMovimento", "codigo_tipo_movimento"),
@@ -47,9 +47,8 @@ def shape_rejections(raw: DataFrame) -> DataFrame:
 
 
 def read_rejections(spark: SparkSession, path: str, encoding: str = ENCODING) -> DataFrame:
-    return shape_rejections(
-        _load(spark, path, "registroRejeitado", schemas.REJECTED_XML, encoding)
-    )
+    raw = _load(spark, path, "registroRejeitado", schemas.REJECTED_XML, encoding)
+    return shape_rejections(raw, "arquivo")
 
 
 def read_inclusions(spark: SparkSession, path: str, encoding: str = ENCODING) -> DataFrame:

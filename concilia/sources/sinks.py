@@ -14,7 +14,7 @@ def iso_text(df: DataFrame) -> DataFrame:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
-        elif isinstance(field.dataType, T.TimestampType):
+        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             column = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
         columns.append(column.alias(field.name))
     return df.select(*columns)

@@ -14,4 +14,4 @@ def stream_rejections(
     """The same rows ``read_rejections`` gives for the folder, file after file."""
     reader = xml_reader(spark.readStream, "registroRejeitado", schemas.REJECTED_XML, encoding)
     raw = reader.option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return shape_rejections(raw.withColumn("arquivo", F.col("_metadata.file_path")))
+    return shape_rejections(raw.withColumn("arquivo", F.col("_metadata.file_path")), "arquivo")
