@@ -28,7 +28,8 @@ def followed_within(
     moment = F.col(at).cast("timestamp")
 
     def slot_of(time: Column) -> Column:
-        return F.floor(F.unix_micros(time) / F.lit(micros)).cast("long")
+        value = F.unix_micros(time)
+        return ((value - F.pmod(value, F.lit(micros))) / F.lit(micros)).cast("long")
 
     slot = slot_of(moment)
     roles = F.array(
