@@ -3,12 +3,12 @@
 Every join here looks up a side that holds **one row per key**, so a member row never
 multiplies. Skew is handled in three ways:
 
-* rows whose key is blank or not applicable never share a partition: they are given a
-  spreading number next to the (NULL) key, which keeps them in an outer or anti join
-  without sending all of them to one task;
+* rows whose key is blank or not applicable never share a partition: in an outer or anti
+  join they are scattered by a slot number next to the key instead of all being NULL;
 * the unique side is reduced before the shuffle (see ``versions``, ``distinct_keys``);
-* a hot but real key on the large side is split by adaptive skew handling, which can
-  always replicate the unique side's single row.
+* a hot but real key on the large side is split by adaptive skew handling, which only has
+  to replicate the unique side's single row. It works on joins of two exchanges, so the
+  unique side, small by then, is always exchanged once more.
 
 Broadcasting is left to Spark, which checks the size.
 """
@@ -26,7 +26,7 @@ from concilia.functions.text import is_blank, is_present
 from concilia.operators.versions import first_per_key, latest_version
 from concilia.vocabulary import KEY_CCO_COMPATIBLE, KEY_CODE_BIRTH, KEY_CPF_BIRTH
 
-_SPREAD = 1 << 20
+_SLOTS = 1 << 20
 
 
 def lookup(
@@ -46,28 +46,24 @@ def lookup(
     usable = reduce(and_, [F.col(k).isNotNull() for k in keys])
     if when is not None:
         usable = usable & F.coalesce(when, F.lit(False))
-    pairs = list(keys.items())
+    rights = list(keys.values())
+    # Always 0, in a form the planner keeps as a join key: the unique side then gets an
+    # exchange of its own right below the join, which adaptive skew handling requires.
+    # Left rows the lookup does not apply to have another slot, so they match nothing.
+    one_slot = F.pmod(F.xxhash64(*[F.col(r) for r in rights]), F.lit(1))
+    unique = right.withColumn("_slot_r", one_slot)
+    applies = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(1))
     if how in ("inner", "left_semi"):
-        condition = reduce(and_, [F.col(l) == F.col(r) for l, r in pairs])
-        return left.filter(usable).join(right, condition, how)
-
-    names = [f"_k{i}" for i in range(len(pairs))]
-    # The right number is always 0, written so that it stays a join key for the planner.
-    zero = F.pmod(F.xxhash64(*[F.col(r) for _, r in pairs]), F.lit(1))
-    marked = left.withColumns({
-        **{n: F.when(usable, F.col(l)) for n, (l, _) in zip(names, pairs)},
-        "_spread": F.when(usable, F.lit(0).cast("long")).otherwise(
-            F.lit(1) + F.pmod(F.xxhash64(F.col(spread_by)), F.lit(_SPREAD))
-        ),
-    })
-    numbered = right.withColumn("_zero", zero)
+        rows = left.filter(usable).withColumn("_slot_l", applies)
+    else:
+        scattered = F.lit(1) + F.pmod(F.xxhash64(F.col(spread_by)), F.lit(_SLOTS))
+        rows = left.withColumn("_slot_l", F.when(usable, applies).otherwise(scattered))
     condition = reduce(
         and_,
-        [F.col(n) == F.col(r) for n, (_, r) in zip(names, pairs)]
-        + [F.col("_spread") == F.col("_zero")],
+        [F.col(k) == F.col(r) for k, r in keys.items()]
+        + [F.col("_slot_l") == F.col("_slot_r")],
     )
-    joined = marked.join(numbered, condition, how)
-    return joined.drop(*names, "_spread", "_zero")
+    return rows.join(unique, condition, how).drop("_slot_l", "_slot_r")
 
 
 def distinct_keys(df: DataFrame, *columns: str) -> DataFrame:

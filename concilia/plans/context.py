@@ -21,7 +21,7 @@ from concilia.operators import groups, matching
 from concilia.operators.ledger import active_ids
 from concilia.operators.matching import lookup, view_with_keys
 from concilia.operators.versions import latest_two_distinct, latest_version
-from concilia.vocabulary import REG_ACTIVE, REG_INACTIVE
+from concilia.vocabulary import INACTIVE, REG_ACTIVE, REG_INACTIVE
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ class Reconciliation:
         newest = latest_version(coded, ["r_cco", "r_cpf", "r_start"])
         keys = {"m_cco": "r_cco", "m_cpf": "r_cpf", "dataini": "r_start"}
         return lookup(
-            self.m.filter(given), newest, keys, "left", when=F.col("situusu") == "INATIVO"
+            self.m.filter(given), newest, keys, "left", when=F.col("situusu") == INACTIVE
         )
 
     def _frame_identity(self, given: Column) -> DataFrame:

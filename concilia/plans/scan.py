@@ -21,6 +21,7 @@ from concilia.operators.matching import lookup
 from concilia.plans.catalogue import RULES, Rule, always
 from concilia.plans.context import Reconciliation
 from concilia.plans.corrections import metadata
+from concilia.vocabulary import ACTIVE, INACTIVE, WAITING
 
 
 def _unit_key(unit: str):
@@ -53,20 +54,21 @@ def hits(ctx: Reconciliation, rules: Iterable[Rule] = RULES, counting: bool = Tr
         broken = F.array_compact(F.array(*[
             F.when(test, F.lit(rule.id)) for test, (rule, _) in zip(tests, members)
         ]))
-        found.append(
-            rows.select(_unit_key(unit).alias("id"), F.explode(broken).alias("rule_id"))
-        )
-    out = reduce(DataFrame.unionByName, found)
-    if ctx.ledger is None:
-        return out
-    waiting = (
-        ctx.ledger.filter((F.col("status") == "aguardando") & (F.col("wait_until") >= ctx.moment))
-        .select("cadusu_id", F.col("rule_id").alias("w_rule"))
-        .distinct()
-    )
-    return lookup(
-        out, waiting, {"id": "cadusu_id", "rule_id": "w_rule"}, "left_anti",
-        when=F.col("rule_id").isin(*AWAITED),
+        hit = rows.select(_unit_key(unit).alias("id"), F.explode(broken).alias("rule_id"))
+        if ctx.ledger is not None and any(rule.awaits_registry for rule, _ in members):
+            hit = lookup(
+                hit, _waiting(ctx), {"id": "cadusu_id", "rule_id": "w_rule"}, "left_anti",
+                when=F.col("rule_id").isin(*AWAITED),
+            )
+        found.append(hit)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _waiting(ctx: Reconciliation) -> DataFrame:
+    """Members and rules whose correction still waits for the registry."""
+    rows = ctx.ledger.filter(F.col("wait_until") >= ctx.moment)
+    return rows.filter(F.col("status") == WAITING).select(
+        "cadusu_id", F.col("rule_id").alias("w_rule")
     )
 
 
@@ -153,8 +155,8 @@ def dashboard(ctx: Reconciliation) -> DataFrame:
     """Members, active, inactive and registry rows, in one row."""
     members = ctx.members.agg(
         F.count(F.lit(1)).alias("cadusu"),
-        F.count_if(F.col("situusu") == "ATIVO").alias("ativos"),
-        F.count_if(F.col("situusu") == "INATIVO").alias("inativos"),
+        F.count_if(F.col("situusu") == ACTIVE).alias("ativos"),
+        F.count_if(F.col("situusu") == INACTIVE).alias("inativos"),
         F.lit(0).cast("long").alias("confsib"),
     )
     registry = ctx.registry.agg(F.count(F.lit(1)).alias("confsib")).select(

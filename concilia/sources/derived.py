@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concilia.operators.rejections import ERROR_CODES
 from concilia.plans.context import Reconciliation
+from concilia.session import adapt
 from concilia.sources.rejection_xml import shape_rejections
 
 AS_OF = "2001-10-31"
@@ -201,6 +202,7 @@ def load(spark: SparkSession, sf_dir: str) -> Reconciliation:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LOADED:
+        adapt(spark)
         customer = read_spread(spark, f"{sf_dir}/customer.parquet")
         orders = read_spread(spark, f"{sf_dir}/orders.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def iso_text(df: DataFrame) -> DataFrame:
@@ -30,20 +30,18 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(packed.alias("row"))
 
 
-def write_csv(df: DataFrame, path: str, one_file: bool = False, bom: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, extract_rows: int | None = None, bom: bool = False) -> None:
     """Semicolons, a header, UTF-8, NULL as empty.
 
-    Files are written in parallel. ``one_file`` is for extracts a person opens; only then
-    may a byte order mark be put before the header.
+    All rows are written, by all tasks. With ``extract_rows`` the first that many rows go to
+    one file instead, for a person to open; only such a bounded extract may start with a
+    byte order mark.
     """
-    if bom and not one_file:
-        raise ValueError("a byte order mark needs one_file=True")
-    out = df
+    if bom and extract_rows is None:
+        raise ValueError("a byte order mark needs extract_rows")
+    out = df if extract_rows is None else df.limit(extract_rows).coalesce(1)
     if bom:
-        first = df.columns[0]
-        out = df.withColumnRenamed(first, BOM + first)
-    if one_file:
-        out = out.coalesce(1)
+        out = out.withColumnRenamed(df.columns[0], BOM + df.columns[0])
     (
         out.write.mode("overwrite")
         .option("sep", ";").option("header", True).option("encoding", "UTF-8")

@@ -172,3 +172,36 @@ def test_padded_and_plain_ccos_are_one_when_trimmed(spark):
     r = prepare_registry(ctx.registry)
     assert latest_version(r.select("r_cco", "r_numseq"), ["r_cco"]).count() == 1
     assert latest_version(r.select("r_codcco", "r_numseq"), ["r_codcco"]).count() == 2
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def test_a_hot_key_is_split(spark):
+    """A third of the rows share one CCO: the lookup reads it in several tasks."""
+    for name, value in SKEW.items():
+        spark.conf.set(name, value)
+    try:
+        left = spark.range(0, 60000, 1, 8).select(
+            "id", F.expr("if(id % 3 = 0, 'hot', cast(id as string)) as k")
+        )
+        right = latest_version(
+            left.select(F.col("k").alias("rk"), F.col("id").alias("r_numseq")), ["rk"]
+        )
+        for how in ("inner", "left"):
+            joined = matching.lookup(left, right, {"k": "rk"}, how)
+            total = joined.groupBy((F.col("id") % 3 == 0).alias("hot")).agg(
+                F.count("r_numseq").alias("n"))
+            assert {r.hot: r.n for r in total.collect()} == {True: 20000, False: 40000}
+            assert "skew=true" in plan_of(total), plan_of(total)
+    finally:
+        for name in SKEW:
+            spark.conf.unset(name)
+

@@ -3,11 +3,13 @@
 from datetime import date
 
 import pytest
+from pyspark.sql.types import StructType
 
+from concilia import schemas
 from concilia.plans import scan
 from concilia.plans.catalogue import BY_ID, RULES
 from concilia.plans.corrections import PLANS
-from tests.helpers import context, ids, member, version
+from tests.helpers import context, ids, member, table, version
 
 CASES = {
     "inativo_sem_cco_nao_atualizado": [
@@ -243,7 +245,8 @@ def test_rules_contained_in_others(spark, derived):
 
 def test_a_rule_that_cannot_be_planned_does_not_stop_the_others(spark):
     ctx = context(spark, [member(1, posans="LEGADO")], [version(1)])
-    broken = ctx.with_members(ctx.members.drop("mae"))
+    fewer = StructType([f for f in schemas.MEMBERS if f.name != "mae"])
+    broken = ctx.with_members(table(spark, fewer, [member(1, posans="LEGADO")]))
     rows = {r.rule_id: r for r in scan.rule_summary(broken).collect()}
     assert rows["nome_mae_invalido"].total == -1 and "mae" in rows["nome_mae_invalido"].error
     assert rows["posans_desconhecido"].total == 1 and rows["posans_desconhecido"].error is None
