@@ -133,7 +133,7 @@ def sink_json_rows(spark, sf):
 
 
 def _newest(ctx):
-    return latest_version(matching.view_with_keys(ctx.r), ["r_codcco"])
+    return matching.newest_rows(ctx.r, ["r_codcco"])
 
 
 @query

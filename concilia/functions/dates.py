@@ -15,9 +15,10 @@ def parse_two_format_date(name: str) -> Column:
     text = F.trim(F.col(name))
     iso = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
     local = text.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z")
-    return F.when(iso, F.try_to_date(text, "yyyy-MM-dd")).when(
-        local, F.try_to_date(text, "dd/MM/yyyy")
-    )
+    turned = F.concat(text.substr(7, 4), F.lit("-"), text.substr(4, 2), F.lit("-"),
+                      text.substr(1, 2))
+    # A cast reads ISO text without a formatter, which is several times faster.
+    return F.when(iso, text.try_cast("date")).when(local, turned.try_cast("date"))
 
 
 def deadline_passed(name: str, as_of: Column) -> Column:

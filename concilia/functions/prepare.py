@@ -12,7 +12,7 @@ from concilia.functions.dates import parse_two_format_date
 from concilia.functions.text import digits_only, nullif_blank, upper_trim
 
 
-# Added by ``prepare_registry``; all functions of the columns of the table.
+# Added by ``normalise``; all functions of the columns of the table.
 NORMALISED = (
     "r_state", "r_cco", "r_cpf", "r_digits", "r_name", "r_birth", "r_start", "r_end",
 )
@@ -29,14 +29,23 @@ def prepare_members(members: DataFrame) -> DataFrame:
 
 def prepare_registry(registry: DataFrame) -> DataFrame:
     """Registry columns get the prefix ``r_``; keys and parsed dates are added."""
-    renamed = registry.select([F.col(c).alias(f"r_{c}") for c in registry.columns])
-    return renamed.withColumns({
-        "r_state": F.trim("r_status"),
-        "r_cco": nullif_blank("r_codcco"),
-        "r_cpf": nullif_blank("r_cpfusu"),
-        "r_digits": digits_only("r_cpfusu"),
-        "r_name": upper_trim("r_nomeusu"),
-        "r_birth": parse_two_format_date("r_nascusu"),
-        "r_start": parse_two_format_date("r_dataini"),
-        "r_end": parse_two_format_date("r_datafim"),
+    return normalise(registry.select([F.col(c).alias(f"r_{c}") for c in registry.columns]))
+
+
+def normalise(rows: DataFrame) -> DataFrame:
+    """Adds the normalised columns that are missing and whose source is there."""
+    sources = {
+        "r_state": ("r_status", lambda c: F.trim(F.col(c))),
+        "r_cco": ("r_codcco", nullif_blank),
+        "r_cpf": ("r_cpfusu", nullif_blank),
+        "r_digits": ("r_cpfusu", digits_only),
+        "r_name": ("r_nomeusu", upper_trim),
+        "r_birth": ("r_nascusu", parse_two_format_date),
+        "r_start": ("r_dataini", parse_two_format_date),
+        "r_end": ("r_datafim", parse_two_format_date),
+    }
+    there = set(rows.columns)
+    return rows.withColumns({
+        name: build(source) for name, (source, build) in sources.items()
+        if name not in there and source in there
     })

@@ -21,7 +21,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from concilia.functions.prepare import NORMALISED
+from concilia.functions.prepare import normalise
 from concilia.functions.text import is_blank, is_present
 from concilia.operators.versions import first_per_key, latest_version
 from concilia.vocabulary import KEY_CCO_COMPATIBLE, KEY_CODE_BIRTH, KEY_CPF_BIRTH
@@ -136,9 +136,15 @@ REGISTRY_VIEW = (
 )
 
 
-def view_with_keys(registry: DataFrame, *extra: str) -> DataFrame:
-    """The registry columns results show, plus the normalised ones predicates compare."""
-    return registry.select(*REGISTRY_VIEW, *extra, *NORMALISED)
+def newest_rows(registry: DataFrame, keys: Sequence[str], *extra: str) -> DataFrame:
+    """Newest version per key with the columns results show, normalised. Prepared registry.
+
+    Only the table's own columns and the keys are moved; everything that can be derived is
+    derived again for the rows that are kept.
+    """
+    own = [*REGISTRY_VIEW, *extra]
+    rows = registry.select(*own, *[k for k in keys if k not in own])
+    return normalise(latest_version(rows, keys))
 
 
 def tiered_match(
@@ -150,24 +156,24 @@ def tiered_match(
     members without CCO, the newest row of that status by code + birth or CPF + birth,
     whichever is newer. Adds ``chave_usada``.
     """
-    newest = latest_version(view_with_keys(registry).filter(is_present("r_codcco")), ["r_codcco"])
+    newest = newest_rows(registry.filter(is_present("r_codcco")), ["r_codcco"])
     by_cco = (
         lookup(members, newest, {"codcco": "r_codcco"}, "inner")
         .filter((F.col("r_state") == status) & compatible)
         .withColumn("chave_usada", F.lit(KEY_CCO_COMPATIBLE))
     )
 
-    of_status = view_with_keys(registry).filter(F.col("r_state") == status)
+    of_status = registry.filter(F.col("r_state") == status)
     no_cco = members.filter(is_blank("codcco"))
     by_code = lookup(
         no_cco.filter(is_present("codans")),
-        latest_version(of_status, ["r_codusu", "r_birth"]),
+        newest_rows(of_status, ["r_codusu", "r_birth"]),
         {"codans": "r_codusu", "nascusu": "r_birth"},
         "inner",
     )
     by_cpf = lookup(
         no_cco.filter(is_present("cpfusu")),
-        latest_version(of_status, ["r_cpfusu", "r_birth"]),
+        newest_rows(of_status, ["r_cpfusu", "r_birth"]),
         {"cpfusu": "r_cpfusu", "nascusu": "r_birth"},
         "inner",
     )
@@ -186,7 +192,7 @@ def tiered_match(
 def identity_match(members: DataFrame, registry: DataFrame, *extra: str) -> DataFrame:
     """Newest registry row with the same name, birth, start and CPF digits (both may lack a CPF)."""
     keys = ["r_name", "r_birth", "r_start", "r_digits"]
-    newest = latest_version(view_with_keys(registry, *extra).filter("r_name <> ''"), keys)
+    newest = newest_rows(registry.filter("r_name <> ''"), keys, *extra)
     return lookup(
         members.filter("m_name <> ''"),
         newest,

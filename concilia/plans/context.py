@@ -19,7 +19,7 @@ from concilia.functions.prepare import prepare_members, prepare_registry
 from concilia.functions.text import is_present, upper_trim
 from concilia.operators import groups, matching
 from concilia.operators.ledger import active_ids
-from concilia.operators.matching import lookup, view_with_keys
+from concilia.operators.matching import lookup, newest_rows
 from concilia.operators.versions import latest_two_distinct, latest_version
 from concilia.vocabulary import INACTIVE, REG_ACTIVE, REG_INACTIVE
 
@@ -65,7 +65,7 @@ class Reconciliation:
 
     def _frame_by_cco(self, given: Column) -> DataFrame:
         """Newest version of the member's CCO as it is written; members without one stay."""
-        newest = latest_version(view_with_keys(self.r), ["r_codcco"])
+        newest = newest_rows(self.r, ["r_codcco"])
         return lookup(self.m.filter(given), newest, {"codcco": "r_codcco"}, "left")
 
     def _frame_by_cco_full(self, given: Column) -> DataFrame:
@@ -73,20 +73,20 @@ class Reconciliation:
         extra = (
             "r_docident", "r_mae", "r_cns", "r_parentesco", "r_codplaport", "r_codplaope",
         )
-        newest = latest_version(view_with_keys(self.r, *extra), ["r_codcco"])
+        newest = newest_rows(self.r, ["r_codcco"], *extra)
         return lookup(self.m.filter(given), newest, {"codcco": "r_codcco"}, "left")
 
     def _frame_by_trimmed_cco(self, given: Column) -> DataFrame:
-        newest = latest_version(view_with_keys(self.r), ["r_cco"])
+        newest = newest_rows(self.r, ["r_cco"])
         return lookup(self.m.filter(given), newest, {"m_cco": "r_cco"}, "inner")
 
     def _frame_by_cpf(self, given: Column) -> DataFrame:
         """Per status, the newest registry row that has a CCO and the member's CPF."""
         extra = ("r_codtit", "r_codplaport", "r_codplaope", "r_cnpj")
-        known = view_with_keys(self.r, *extra).filter(
+        known = self.r.filter(
             F.col("r_cco").isNotNull() & F.col("r_state").isin(REG_ACTIVE, REG_INACTIVE)
         )
-        newest = latest_version(known, ["r_cpf", "r_state"])
+        newest = newest_rows(known, ["r_cpf", "r_state"], *extra)
         return lookup(self.m.filter(given), newest, {"m_cpf": "r_cpf"}, "inner")
 
     def _frame_names(self, given: Column) -> DataFrame:
