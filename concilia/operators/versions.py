@@ -42,7 +42,7 @@ def latest_version(df: DataFrame, keys: Sequence[str], sequence: str = "r_numseq
 
 
 def latest_two_distinct(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], prefix: str
+    df: DataFrame, keys: Sequence[str], value: str, sequence: str, prefix: str
 ) -> DataFrame:
     """Per key, the newest row of each of its two most recent distinct ``value``\\ s.
 
@@ -50,10 +50,21 @@ def latest_two_distinct(
     value only). Whatever value ``x`` is asked for later, "the newest version whose value
     is not x" is the first struct if its value differs from ``x`` and the second
     otherwise, so no member ever has to be paired with all versions of its key.
+
+    Versions that differ in their sequence only are merged first, by hash aggregation;
+    just what is left has to be sorted.
     """
     keys = list(keys)
     content = [c for c in df.columns if c not in keys]
-    newest_per_value = first_per_key(df.dropna(subset=keys), keys + [value], order)
+    order = [F.col(sequence).desc_nulls_first()]
+    merged = (
+        df.dropna(subset=keys)
+        .groupBy(*[c for c in df.columns if c != sequence])
+        .agg(F.max(sequence).alias("_newest"), F.bool_or(F.col(sequence).isNull()).alias("_any"))
+        .withColumn(sequence, F.when(~F.col("_any"), F.col("_newest")))
+        .drop("_newest", "_any")
+    )
+    newest_per_value = first_per_key(merged, keys + [value], order)
     window = Window.partitionBy(*keys).orderBy(*_total_order(df, keys, order))
     ranked = (
         newest_per_value.withColumn("_rank", F.row_number().over(window))

@@ -94,16 +94,12 @@ class Reconciliation:
         named = self.r.filter("r_name <> ''").select(
             "r_codcco", "r_numseq", "r_nomeusu", "r_name"
         )
-        names = latest_two_distinct(
-            named, ["r_codcco"], "r_name", [F.col("r_numseq").desc_nulls_first()], "v"
-        )
+        names = latest_two_distinct(named, ["r_codcco"], "r_name", "r_numseq", "v")
         contracts = self.contracts.select(
             F.col("codtit").alias("ct_codtit"), "nometit", "dtope",
             upper_trim("nometit").alias("ct_name"),
         )
-        titles = latest_two_distinct(
-            contracts, ["ct_codtit"], "ct_name", [F.col("dtope").desc_nulls_first()], "t"
-        )
+        titles = latest_two_distinct(contracts, ["ct_codtit"], "ct_name", "dtope", "t")
         joined = lookup(self.m.filter(given), names, {"codcco": "r_codcco"}, "inner")
         joined = lookup(joined, titles, {"codtit": "ct_codtit"}, "left")
         # A member differs from some version / contract name iff it differs from one of two.
@@ -127,13 +123,8 @@ class Reconciliation:
         born = self.r.filter(F.col("r_birth").isNotNull() & F.col("r_name").isNotNull()).select(
             "r_codcco", "r_start", "r_cpf", "r_name", "r_numseq", "r_birth", "r_nascusu"
         )
-        births = latest_two_distinct(
-            born,
-            ["r_codcco", "r_start", "r_cpf", "r_name"],
-            "r_birth",
-            [F.col("r_numseq").desc_nulls_first()],
-            "v",
-        )
+        same = ["r_codcco", "r_start", "r_cpf", "r_name"]
+        births = latest_two_distinct(born, same, "r_birth", "r_numseq", "v")
         keys = {"codcco": "r_codcco", "dataini": "r_start", "m_cpf": "r_cpf", "m_name": "r_name"}
         joined = lookup(self.m.filter(given), births, keys, "inner")
         return joined.withColumn(

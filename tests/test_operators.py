@@ -31,7 +31,7 @@ def test_two_distinct_values_answer_any_question(spark):
     rows = [(random.choice("ab"), i, random.choice("uvwx")) for i in range(60)]
     rows += [("one", 1, "u"), ("one", 2, "u")]
     df = spark.createDataFrame(rows, "k string, n long, v string")
-    out = latest_two_distinct(df, ["k"], "v", [F.col("n").desc_nulls_first()], "s").collect()
+    out = latest_two_distinct(df, ["k"], "v", "n", "s").collect()
     for row in out:
         for asked in "uvwxz":
             wanted = max((n for k, n, v in rows if k == row.k and v != asked), default=None)
