@@ -13,7 +13,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, duck, name):
     names, got = spark_rows(entry.queries()[name](spark, SF))
     want_names, want = sql_rows(duck, entry.oracle_sql()[name])
