@@ -1,0 +1,265 @@
+"""Main text of web pages, with templates found per site.
+
+A page is cut into elements by one pass over its tags. Every element subtree outside the
+article that holds text is hashed; Spark counts the hashes per host, and subtrees that
+recur across many pages of a host are its template and are deleted. Elements that are
+boilerplate by their tag, role or class go in any case. Inside an article nothing is
+deleted for recurring: there, recurrence is quotation or a copied article.
+"""
+
+from __future__ import annotations
+
+import html as entities
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged, text_or_empty
+
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.DOTALL
+)
+_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_WORD = re.compile(r"[a-z]+")
+#: Elements whose content is no markup.
+_RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_DROPPED = _RAW | {
+    "head", "nav", "footer", "aside", "form", "button", "select", "option", "noscript", "template", "svg", "canvas", "object",
+    "dialog", "menu", "datalist", "audio", "video", "map", "fieldset",
+}
+_INLINE = {
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
+    "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
+    "var", "wbr",
+}
+#: A new element of the first kind ends an open one of the second.
+_ENDS = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
+}
+_SCOPES = {"table", "ul", "ol", "dl", "article", "main", "section", "div", "body", "td", "th", "li", "blockquote"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
+_NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
+    "consent", "gdpr", "notice", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "sidebar", "navbar", "nav",
+    "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "comment", "comments", "disqus", "respond", "replies",
+    "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "footer", "masthead", "skip", "login", "signup",
+}
+
+
+class _Element:
+    __slots__ = ("tag", "drop", "article", "inside", "first", "parts", "holds")
+
+    def __init__(self, tag: str, drop: bool, article: bool, inside: bool, first: int):
+        self.tag, self.drop, self.article, self.inside, self.first = tag, drop, article, inside, first
+        self.parts: list[str] = []
+        self.holds = False
+
+
+def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
+    if tag in _DROPPED or tag == "header" and not inside:
+        return True
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), max(values).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
+            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not _NAMES.isdisjoint(_WORD.findall(value)):
+            return True
+        if name in ("class", "id") and tag in ("article", "section") and {"comment", "comments"} & set(_WORD.findall(value)):
+            return True
+    return False
+
+
+def _is_article(tag: str, attributes: str) -> bool:
+    if tag in ("article", "main"):
+        return True
+    return "articleBody" in attributes or "role" in attributes and re.search(r"""role\s*=\s*["']?(main|article)\b""", attributes) is not None
+
+
+class Page:
+    """Blocks of a page, each with the article flag and the hashes of the elements around it.
+
+    ``blocks``: ``(text, in_article, kept, hashes)`` in page order, ``kept`` unless the block
+    is boilerplate by tag, role or class; ``hashes`` names the subtrees outside articles
+    that contain it. ``subtrees``: all such hashes.
+    """
+
+    def __init__(self, source: str):
+        self.blocks: list[list] = []
+        self.subtrees: set[int] = set()
+        self._stack = [_Element("#", False, False, False, 0)]
+        self._text: list[str] = []
+        at = 0
+        while match := _TAG.search(source, at):
+            if match.start() > at:
+                self._text.append(source[at : match.start()])
+            at = match.end()
+            closing, tag, attributes = match[1], match[2], match[3]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if closing:
+                self._end(tag)
+            else:
+                self._start(tag, attributes)
+                if tag in _RAW and not attributes.endswith("/"):
+                    end = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(source, at)
+                    at = end.start() if end else len(source)
+        self._text.append(source[at:])
+        while len(self._stack) > 1:
+            self._close()
+        self._flush()
+
+    def _flush(self) -> None:
+        if not self._text:
+            return
+        text = " ".join(entities.unescape("".join(self._text)).split())
+        self._text.clear()
+        if text:
+            top = self._stack[-1]
+            self.blocks.append([text, top.inside, not top.drop, []])
+            top.parts.append(text)
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag in _INLINE:
+            if tag == "br":
+                self._text.append(" ")
+            elif tag not in _VOID and _is_boilerplate(tag, attributes, True):
+                self._push(tag, attributes)
+            return
+        self._flush()
+        if tag in _VOID:
+            return
+        self._implied(_ENDS.get(tag, frozenset()))
+        if tag not in ("html", "body", "tbody"):
+            self._implied({"p"}, {"table", "article", "main", "section", "div", "body", "td", "th", "li", "blockquote"} - {tag})
+        self._push(tag, attributes)
+
+    def _implied(self, ended: set[str] | frozenset[str], scopes: set[str] = _SCOPES) -> None:
+        for depth in range(len(self._stack) - 1, 0, -1):
+            tag = self._stack[depth].tag
+            if tag in ended:
+                while len(self._stack) > depth:
+                    self._close()
+                return
+            if tag in scopes or tag not in _INLINE and tag != "p":
+                return
+
+    def _push(self, tag: str, attributes: str) -> None:
+        self._flush()
+        top = self._stack[-1]
+        article = not top.drop and _is_article(tag, attributes)
+        drop = top.drop or _is_boilerplate(tag, attributes, top.inside)
+        self._stack.append(_Element(tag, drop, article, not drop and (top.inside or article), len(self.blocks)))
+
+    def _end(self, tag: str) -> None:
+        if tag in _INLINE and not any(e.tag == tag for e in self._stack[-1:]):
+            return
+        if tag not in _INLINE:
+            self._flush()
+        for depth in range(len(self._stack) - 1, 0, -1):
+            if self._stack[depth].tag == tag:
+                while len(self._stack) > depth:
+                    self._close()
+                return
+            if self._stack[depth].tag in ("article", "main", "body") and tag not in ("html", "body"):
+                return
+
+    def _close(self) -> None:
+        self._flush()
+        element = self._stack.pop()
+        parent = self._stack[-1]
+        parent.holds |= element.holds or element.article
+        if not element.parts:
+            return
+        if element.inside or element.holds or element.tag in ("html", "body", "head", "title"):
+            parent.parts.append("")
+            return
+        mark = xxhash.xxh64_intdigest(f"<{element.tag}>{'|'.join(element.parts)}".encode()) - (1 << 63)
+        parent.parts.append(str(mark))  # a hash of hashes: each text is hashed once
+        self.subtrees.add(mark)
+        for block in self.blocks[element.first :]:
+            block[3].append(mark)
+
+
+def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The kept blocks outside ``template``, joined by blank lines.
+
+    Where the page marks an article, its blocks are the text; else all kept blocks are.
+    """
+    return _chosen(Page(source), template)
+
+
+def _chosen(page: Page, template: frozenset[int] | set[int]) -> str:
+    blocks = [b for b in page.blocks if b[2] and template.isdisjoint(b[3])]
+    article = [b for b in blocks if b[1]]
+    return "\n\n".join(b[0] for b in article or blocks)
+
+
+def host_of(url: str) -> Column:
+    """The lower-case host of a URL, without user and port; empty where there is none."""
+    host = F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.coalesce(host, F.lit(""))
+
+
+def templates(pages: DataFrame, min_pages: int, min_share: float, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, template``: per host the hashes of subtrees on at least ``min_pages`` of its pages
+    and ``min_share`` of them. A share bounds the list by a page's subtrees over the share,
+    however large the host."""
+    rows = pages.select(host_of(url_col).alias("host"), text_or_empty(html_col).alias("html"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [sorted(Page(h).subtrees) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(marks, pa.list_(pa.int64()))], ["host", "marks"])
+
+    marks = rows.mapInArrow(each, "host string, marks array<long>")
+    # Each page also counts for its host, under the null mark: one pass gives both counts.
+    counted = marks.select("host", F.explode(F.array_append("marks", F.lit(None).cast("long"))).alias("mark"))
+    counted = staged(counted.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("mark").isNull() | (F.col("n") >= min_pages)), "subtrees")
+    hosts = counted.where("mark is null").select("host", F.col("n").alias("pages"))
+    common = counted.where("mark is not null").join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share)
+    return common.groupBy("host").agg(F.collect_list("mark").alias("template"))
+
+
+def extract(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    min_pages: int = 5,
+    min_share: float = 0.2,
+) -> DataFrame:
+    """``page_id, url, text, n_template`` for every row of ``pages``; ``text`` is empty if none.
+
+    ``n_template`` counts the page's subtrees that are template of its host. A null html is
+    empty; pages without a host share one. Whole pages are read, and each row is extracted
+    by itself, so repeated rows get repeated results. Damaged markup is read as far as it
+    goes: open elements end with the page. The hosts' templates are joined as a table
+    whose written size lets the planner choose: sent to all executors if small, else a
+    join that splits hot hosts. An empty table yields an empty result.
+    """
+    known = staged(templates(pages, min_pages, min_share, url_col, html_col), "templates")
+    rows = pages.select(
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), text_or_empty(html_col).alias("html")
+    ).join(known, "host", "left")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = [], []
+            for source, template in zip(batch.column("html"), batch.column("template")):
+                template, page = set(template.as_py() or ()), Page(source.as_py())
+                texts.append(_chosen(page, template))
+                found.append(len(page.subtrees & template))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(found, pa.int64())],
+                ["page_id", "url", "text", "n_template"],
+            )
+
+    schema = rows.select("page_id", "url").schema.add("text", "string").add("n_template", "long")
+    return rows.mapInArrow(each, schema)
