@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged, text_or_empty
 
@@ -96,8 +97,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             spans = [pa.array([[dict(zip(("start", "kind", "end"), s)) for s in row] for row in part], pa.list_(_SPAN)) for part in (strong, weak)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *spans], [*kept, "strong", "weak"])
 
-    spans = "array<struct<start: long, kind: int, end: long>>"
-    schema = rows.select(*kept).schema.add("strong", spans).add("weak", spans)
+    span = T.StructType().add("start", "long").add("kind", "integer").add("end", "long")
+    schema = rows.select(*kept).schema.add("strong", T.ArrayType(span)).add("weak", T.ArrayType(span))
     return rows.mapInArrow(each, schema)
 
 

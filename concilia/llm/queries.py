@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, quality, secrets, simhash
+from . import credentials, mixing, pages, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html.extract(_table(spark, sf_dir, "pages"), min_pages=5, min_share=0.2)
-    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+    found = pages.extract(_table(spark, sf_dir, "pages"), min_pages=5, min_share=0.2)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +39,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(_table(spark, sf_dir, "documents"), scope=300)
+    found = credentials.find_secrets(_table(spark, sf_dir, "documents"), scope=300)
     of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *(of_kind(k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)),
-        F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
-        secrets.listed("spans").alias("spans"),
+        *(of_kind(k).alias(f"n_{credentials.KINDS[k]}") for k in range(3)),
+        F.sha2(credentials.listed("base"), 256).alias("base_sha256"),
+        credentials.listed("spans").alias("spans"),
     )
 
 
