@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, mixing, pages, quality, simhash, warc
+from . import credentials, decontamination, lines, mixing, pages, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), error_rate=0.05)
+    items = F.array_distinct("matches.item_id")
+    return found.select(
+        "row.doc_id", (F.size("matches") > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids")
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"), max_rows=4000)
@@ -36,6 +44,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, model).select("row.doc_id", *columns, "probability")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    return found.select("row.doc_id", "n_lines", "n_removed", "n_runs", "kept_text")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2)
     return mixed.select(
@@ -58,7 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
+    "op7_lines": op7_lines,
     "op8_mixing": op8_mixing,
     "op10_secrets": op10_secrets,
 }
@@ -66,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: SQL for a second engine, where SQL can express the operator.
 SQL: dict[str, str] = {
     "op3_warc": warc.sql("pages"),
+    "op7_lines": lines.sql("documents"),
     "op8_mixing": mixing.sql("documents"),
 }
