@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontamination, lines, mixing, pages, quality, simhash, warc
+from . import credentials, decontamination, licences, lines, mixing, pages, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = licences.find_licences(docs, licences.train(docs, max_paragraphs=1000))
+    sure = F.filter("notices", lambda n: n["family"] != licences.UNKNOWN)
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("notices").cast("long").alias("n_candidates"),
+        F.size(sure).cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda n: n["family"]))), ",").alias("families"),
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.find_secrets(_table(spark, sf_dir, "documents"), scope=300)
     of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -75,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_lines": op7_lines,
     "op8_mixing": op8_mixing,
+    "op9_licences": op9_licences,
     "op10_secrets": op10_secrets,
 }
 
