@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontamination, licences, lines, mixing, pages, quality, simhash, warc
+from . import credentials, decontamination, licences, lines, mixing, pages, quality, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup_substrings(_table(spark, sf_dir, "documents"), width=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archived_pages(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -82,6 +87,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
+    "op2_suffixes": op2_suffixes,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
