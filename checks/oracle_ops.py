@@ -196,14 +196,14 @@ SQL["win_group_stats"] = _p(
 )
 SQL["sort_detail"] = _p(
     f"select {cols('id dataalt dataini codtit codusu')} {FROM['alteracao_com_cco']} order by"
-    " m.dataalt asc nulls last, m.dataini asc nulls last, m.codtit, m.codusu, m.id limit 40"
+    " m.dataalt asc nulls last, m.dataini asc nulls last, m.codtit, m.codusu, m.id"
 )
 SQL["sort_critical"] = _p(
     f"select {cols('id dataini codtit codusu')} {FROM['inativo_sem_cco_nao_atualizado']} order by"
-    " m.dataini desc nulls last, m.codtit, m.codusu, m.id limit 30"
+    " m.dataini desc nulls last, m.codtit, m.codusu, m.id"
 )
 SQL["sort_rules"] = _p(
-    f"select rule_id, title, total from {_TOTALS} order by total desc, title limit 12"
+    f"select rule_id, title, total from {_TOTALS} order by total desc, title"
 )
 SQL["filter_rules"] = _p(
     f"select rule_id, total from {_TOTALS} where severity = 'alta' and total > 0"
@@ -235,24 +235,40 @@ SQL["rule_scan"] = _p(
 
 
 def _changes() -> str:
-    from checks.queries import CHANGING
-    from concilia.plans.corrections import PLAN_BY_RULE
+    """What the statements that apply each plan change, row by row."""
+    from concilia.plans.corrections import PLANS
 
     parts = []
-    for rule_id in CHANGING:
-        for field in PLAN_BY_RULE[rule_id].fields:
+    for plan in PLANS:
+        shown = plan.shown or {}
+        for field in plan.assign:
+            name = shown.get(field, field)
             parts.append(
-                f"select '{rule_id}' as rule_id, id, '{field}' as field,"
-                f" {field}_atual as old_value, {field}_novo as new_value from ({FIX[rule_id]})"
-                f" where {field}_atual is distinct from {field}_novo"
+                f"select '{plan.rule_id}' as rule_id, 'cadusu' as table_name, cast(id as varchar)"
+                f" as key, '{field}' as field, cast({name}_atual as varchar) as old_value,"
+                f" cast({name}_novo as varchar) as new_value from ({FIX[plan.rule_id]})"
+                f" where {name}_atual is distinct from {name}_novo"
             )
+    # The contract statement sets the name only where there is one and it differs.
+    parts.append(
+        "select distinct 'divergencia_nome_cadusu_confsib', 'cadcont', ct.codtit, 'nometit',"
+        f" ct.nometit, f.new {_NEW_TITLES} where {_TITLE_CHANGES}"
+    )
     return " union all ".join(parts)
 
 
+_NEW_TITLES = (
+    "from ct join (select codtit, min(nometit_novo) as new from"
+    f" ({FIX['divergencia_nome_cadusu_confsib']}) where nometit_novo is not null group by codtit)"
+    " f on f.codtit = ct.codtit"
+)
+_TITLE_CHANGES = (
+    "f.new is not null and upper(trim(coalesce(ct.nometit, ''), ' ')) <> upper(f.new)"
+)
 SQL["fix_change_set"] = _p(f"select *, cast({DAY} as varchar) as as_of from ({_changes()})")
 SQL["fix_conflicts"] = _p(
-    "select id, field, count(distinct coalesce(new_value, chr(1))) as \"values\","
-    f" count(distinct rule_id) as rules from ({_changes()}) group by id, field"
+    "select table_name, key, field, count(distinct coalesce(new_value, chr(1))) as \"values\","
+    f" count(distinct rule_id) as rules from ({_changes()}) group by table_name, key, field"
     " having count(distinct coalesce(new_value, chr(1))) > 1"
 )
 
@@ -287,12 +303,9 @@ SQL["fix_apply_counts"] = _p(
     f" ({FIX['reativacao_cco_ja_ativo_confsib']})) and id in {_CHOSEN}) as updated"
 )
 SQL["fix_apply_contracts"] = _p(
-    "select ct.codtit, case when f.new is not null and upper(trim(coalesce(ct.nometit, ''), ' '))"
-    " <> upper(f.new) then f.new else ct.nometit end as nometit,"
-    " case when f.new is not null and upper(trim(coalesce(ct.nometit, ''), ' ')) <> upper(f.new)"
-    f" then {_iso(NOW)} else {_iso('ct.dtope')} end as dtope from ct left join (select codtit,"
-    f" min(nometit_novo) as new from ({FIX['divergencia_nome_cadusu_confsib']}) where nometit_novo"
-    " is not null group by codtit) f on f.codtit = ct.codtit"
+    f"select ct.codtit, case when {_TITLE_CHANGES} then f.new else ct.nometit end as nometit,"
+    f" case when {_TITLE_CHANGES} then {_iso(NOW)} else {_iso('ct.dtope')} end as dtope"
+    f" {_NEW_TITLES.replace('from ct join', 'from ct left join')}"
 )
 
 # -- ledger ---

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,6 +19,7 @@ from concilia.operators.versions import first_per_key, high_water_mark, latest_v
 from concilia.plans import corrections, scan
 from concilia.plans.catalogue import BY_ID, RULES
 from concilia.plans.corrections import PLANS
+from concilia.session import shared_folder
 from concilia.sources.derived import load, load_rejections
 from concilia.sources.sinks import iso_text, to_json_rows
 from concilia.streaming.registry import newest_versions
@@ -315,19 +315,19 @@ def win_group_stats(spark, sf):
 @query
 def sort_detail(spark, sf):
     rows = shaping.ordered_detail(BY_ID["alteracao_com_cco"], load(spark, sf))
-    return shaping.page(rows, 40).select("id", "dataalt", "dataini", "codtit", "codusu")
+    return rows.select("id", "dataalt", "dataini", "codtit", "codusu")
 
 
 @query
 def sort_critical(spark, sf):
     rows = shaping.ordered_detail(BY_ID["inativo_sem_cco_nao_atualizado"], load(spark, sf))
-    return shaping.page(rows, 30).select("id", "dataini", "codtit", "codusu")
+    return rows.select("id", "dataini", "codtit", "codusu")
 
 
 @query
 def sort_rules(spark, sf):
     rows = shaping.order_rules(scan.rule_summary(load(spark, sf)))
-    return shaping.page(rows, 12).select("rule_id", "title", "total")
+    return rows.select("rule_id", "title", "total")
 
 
 @query
@@ -378,24 +378,14 @@ def rule_scan(spark, sf):
     return rows.select("id", F.array_join("rules", ",").alias("rules"))
 
 
-CHANGING = (
-    "reativacao_cco_ja_ativo_confsib", "reinclusao_antiga_com_cco",
-    "divergencia_nome_cadusu_confsib", "cadusu_sem_codans", "ativo_sem_cpf_posans",
-    "ativo_sem_cco_fora_inclusao", "inclusao_sem_dataini", "inativo_cadusu_ativo_confsib",
-    "inativo_com_cco_nao_excluido", "cpf_invalido_cruzado_nascimento",
-)
-
-
 @query
 def fix_change_set(spark, sf):
-    ctx = load(spark, sf)
-    return _union(corrections.change_set(ctx, rule) for rule in CHANGING)
+    return corrections.change_set(load(spark, sf))
 
 
 @query
 def fix_conflicts(spark, sf):
-    ctx = load(spark, sf)
-    return changes.conflicts(_union(corrections.change_set(ctx, rule) for rule in CHANGING))
+    return changes.conflicts(corrections.change_set(load(spark, sf)))
 
 
 _SNAPSHOT = ("id", "situusu", "posans", "codcco", "datafim", "dataultalt", "dtope")
@@ -603,11 +593,8 @@ def rej_fix_inclusion(spark, sf):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared place the cluster names; a local one only without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/concilia-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A fresh folder in the place the cluster shares."""
+    return f"{shared_folder(spark)}/concilia-{os.urandom(8).hex()}"
 
 
 @query

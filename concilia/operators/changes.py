@@ -27,10 +27,10 @@ def apply_wide(members: DataFrame, changes: DataFrame, day: Column, moment: Colu
 
 
 def conflicts(changes: DataFrame) -> DataFrame:
-    """Fields of a member that several rules would set to different values."""
+    """Fields of a row that several rules would set to different values."""
     value = F.coalesce("new_value", F.lit("\u0000"))
     return (
-        changes.groupBy("id", "field")
+        changes.groupBy("table_name", "key", "field")
         .agg(F.count_distinct(value).alias("values"), F.count_distinct("rule_id").alias("rules"))
         .filter("values > 1")
     )

@@ -87,6 +87,10 @@ def with_origins(df: DataFrame) -> DataFrame:
     ])
 
 
+#: Fields of the contract that a member preview shows beside the member's own.
+CONTRACT_FIELDS = ("nometit",)
+
+
 def changed_fields(columns: Sequence[str]) -> list[str]:
     """Fields a preview shows as ``_atual`` and ``_novo``, in order."""
     found: dict[str, None] = {}
@@ -98,7 +102,11 @@ def changed_fields(columns: Sequence[str]) -> list[str]:
 
 
 def paired_changes(preview: DataFrame, key: str = "id") -> DataFrame:
-    """A preview in long form: one row per field with old and new text."""
+    """A preview in long form: one row per changed field with old and new text.
+
+    A field a preview leaves as it is is no change; nor is an empty new value of a contract
+    field, which there means that the contract stays.
+    """
     pairs = [
         F.struct(
             F.lit(field).alias("field"),
@@ -107,4 +115,6 @@ def paired_changes(preview: DataFrame, key: str = "id") -> DataFrame:
         )
         for field in changed_fields(preview.columns)
     ]
-    return preview.select(key, F.inline(F.array(*pairs)))
+    changed = ~F.col("old_value").eqNullSafe(F.col("new_value"))
+    stays = F.col("field").isin(*CONTRACT_FIELDS) & F.col("new_value").isNull()
+    return preview.select(key, F.inline(F.array(*pairs))).filter(changed & ~stays)

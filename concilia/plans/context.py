@@ -18,10 +18,10 @@ from concilia.functions.predicates import is_holder
 from concilia.functions.prepare import prepare_members, prepare_registry
 from concilia.functions.text import is_present, upper_trim
 from concilia.operators import groups, matching
-from concilia.operators.ledger import active_ids
+from concilia.operators.ledger import AWAITED, active_ids
 from concilia.operators.matching import lookup, newest_rows
 from concilia.operators.versions import latest_two_distinct, latest_version
-from concilia.vocabulary import INACTIVE, REG_ACTIVE, REG_INACTIVE
+from concilia.vocabulary import INACTIVE, REG_ACTIVE, REG_INACTIVE, WAITING
 
 
 @dataclass(frozen=True)
@@ -195,3 +195,15 @@ class Reconciliation:
             .groupBy("field")
             .agg(F.count(F.lit(1)).alias("total"))
         )
+
+
+def without_waiting(ctx: Reconciliation, rows: DataFrame) -> DataFrame:
+    """Rows with ``id, rule_id``, less those whose correction waits for the registry."""
+    waiting = ctx.ledger.filter(F.col("wait_until") >= ctx.moment)
+    waiting = waiting.filter(F.col("status") == WAITING).select(
+        "cadusu_id", F.col("rule_id").alias("w_rule")
+    )
+    return lookup(
+        rows, waiting, {"id": "cadusu_id", "rule_id": "w_rule"}, "left_anti",
+        when=F.col("rule_id").isin(*AWAITED),
+    )

@@ -7,14 +7,15 @@ the corrected snapshot and the ledger rows all derive from the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concilia import vocabulary as v
 from concilia.functions.predicates import (
-    exact_same_record, field_differences, missing_mandatory, registry_can_fill, some_difference,
+    any_of, exact_same_record, field_differences, missing_mandatory, registry_can_fill, some_difference,
 )
 from concilia.functions.text import (
     compose_code, cut, digits_only, is_blank, is_present, nullif_blank,
@@ -24,10 +25,12 @@ from concilia.operators.changes import apply_wide, select_ids
 from concilia.plans.catalogue import (
     BY_ID, Part, c, flex_without_flag, has_cco, inactive, movement, remote, sent_name,
 )
-from concilia.plans.context import Reconciliation
+from concilia.plans.context import Reconciliation, without_waiting
 
 Value = Callable[[Column], Column]
 
+MEMBER_TABLE, CONTRACT_TABLE = "cadusu", "cadcont"
+
 
 @dataclass(frozen=True)
 class FixPlan:
@@ -389,20 +392,30 @@ def apply_fix(
     return Applied(members, contracts, updated, rows)
 
 
-def _apply_to_contracts(ctx: Reconciliation, plan: FixPlan, selection: DataFrame) -> DataFrame:
-    """Contracts whose holder's corrected name differs take that name."""
-    new = (
+def _contract_names(
+    ctx: Reconciliation, plan: FixPlan, selection: DataFrame | None
+) -> DataFrame:
+    """``codtit, new_name``: the corrected holder's name, where the plan sets one."""
+    return (
         plan.eligible(ctx, selection)
         .select("codtit", plan.contract["nometit"](ctx.day).alias("new_name"))
         .filter("new_name is not null")
         .groupBy("codtit")
         .agg(F.min("new_name").alias("new_name"))
     )
-    differs = F.col("new_name").isNotNull() & (
+
+
+def _takes_new_name() -> Column:
+    return F.col("new_name").isNotNull() & (
         F.upper(F.trim(F.coalesce("nometit", F.lit("")))) != F.upper("new_name")
     )
+
+
+def _apply_to_contracts(ctx: Reconciliation, plan: FixPlan, selection: DataFrame) -> DataFrame:
+    """Contracts whose holder's corrected name differs take that name."""
+    differs = _takes_new_name()
     return (
-        ctx.contracts.join(new, "codtit", "left")
+        ctx.contracts.join(_contract_names(ctx, plan, selection), "codtit", "left")
         .withColumns({
             "nometit": F.when(differs, c("new_name")).otherwise(c("nometit")),
             "dtope": F.when(differs, ctx.moment).otherwise(c("dtope")),
@@ -436,21 +449,62 @@ def apply_everywhere(ctx: Reconciliation, rule_id: str) -> DataFrame:
 
 
 def change_set(
-    ctx: Reconciliation, rule_id: str, selection: DataFrame | None = None
+    ctx: Reconciliation,
+    rule_ids: str | Iterable[str] | None = None,
+    selection: DataFrame | None = None,
 ) -> DataFrame:
-    """Long form ``(rule_id, id, field, old_value, new_value, as_of)``; values as text."""
-    plan = plan_for(rule_id)
-    rows = [
-        F.struct(
-            F.lit(field).alias("field"),
-            c(field).cast("string").alias("old_value"),
-            value(ctx.day).cast("string").alias("new_value"),
-        )
-        for field, value in {**plan.assign, **(plan.contract or {})}.items()
-    ]
-    long = plan.eligible(ctx, selection).select("id", F.inline(F.array(*rows)))
-    return long.filter(~F.col("old_value").eqNullSafe(F.col("new_value"))).select(
-        F.lit(rule_id).alias("rule_id"), "id", "field", "old_value", "new_value",
-        ctx.day.alias("as_of"),
+    """Long form ``(rule_id, table_name, key, field, old_value, new_value, as_of)`` of all that
+    applying the plans would change; values as text. All plans by default.
+
+    Member rows have the member's id as ``key``, contract rows the contract's code. Plans
+    are grouped by frame, as the scan groups rules: each frame is computed once, and every
+    row emits the changes of all plans it qualifies for.
+    """
+    wanted = {rule_ids} if isinstance(rule_ids, str) else rule_ids and set(rule_ids)
+    plans = [p for p in PLANS if wanted is None or p.rule_id in wanted]
+    frames: dict[str, list[tuple[FixPlan, Part]]] = {}
+    for plan in plans:
+        for part in plan.parts or BY_ID[plan.rule_id].parts:
+            frames.setdefault(part.frame, []).append((plan, part))
+    found = [_frame_changes(ctx, frame, pairs, selection) for frame, pairs in frames.items()]
+    found += [_contract_changes(ctx, plan, selection) for plan in plans if plan.contract]
+    return reduce(DataFrame.unionByName, found).withColumn("as_of", ctx.day)
+
+
+def _frame_changes(
+    ctx: Reconciliation,
+    frame: str,
+    pairs: list[tuple[FixPlan, Part]],
+    selection: DataFrame | None,
+) -> DataFrame:
+    given = [part.given(ctx.day) for _, part in pairs]
+    rows = select_ids(ctx.frame(frame, any_of(given)), selection)
+    emitted = []
+    for test, (plan, part) in zip(given, pairs):
+        test = test & part.when(ctx.day) & (plan.only() if plan.only else F.lit(True))
+        for field, value in plan.assign.items():
+            old, new = c(field).cast("string"), value(ctx.day).cast("string")
+            emitted.append(F.when(test & ~old.eqNullSafe(new), F.struct(
+                F.lit(plan.rule_id).alias("rule_id"), F.lit(field).alias("field"),
+                old.alias("old_value"), new.alias("new_value"),
+            )))
+    changed = rows.select("id", F.explode(F.array_compact(F.array(*emitted))).alias("e"))
+    changed = changed.select("id", "e.*")
+    if ctx.ledger is not None and any(BY_ID[p.rule_id].awaits_registry for p, _ in pairs):
+        changed = without_waiting(ctx, changed)
+    return changed.select(
+        "rule_id", F.lit(MEMBER_TABLE).alias("table_name"), c("id").cast("string").alias("key"),
+        "field", "old_value", "new_value",
     )
 
+
+def _contract_changes(
+    ctx: Reconciliation, plan: FixPlan, selection: DataFrame | None
+) -> DataFrame:
+    """What applying the plan does to contracts: one row per contract whose name changes."""
+    new = _contract_names(ctx, plan, selection)
+    return ctx.contracts.join(new, "codtit").filter(_takes_new_name()).select(
+        F.lit(plan.rule_id).alias("rule_id"), F.lit(CONTRACT_TABLE).alias("table_name"),
+        c("codtit").alias("key"), F.lit("nometit").alias("field"),
+        c("nometit").alias("old_value"), c("new_name").alias("new_value"),
+    ).distinct()

@@ -16,12 +16,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concilia.functions.predicates import any_of
-from concilia.operators.ledger import AWAITED
-from concilia.operators.matching import lookup
 from concilia.plans.catalogue import RULES, Rule, always
-from concilia.plans.context import Reconciliation
+from concilia.plans.context import Reconciliation, without_waiting
 from concilia.plans.corrections import metadata
-from concilia.vocabulary import ACTIVE, INACTIVE, WAITING
+from concilia.vocabulary import ACTIVE, INACTIVE
 
 
 def _unit_key(unit: str):
@@ -56,22 +54,11 @@ def hits(ctx: Reconciliation, rules: Iterable[Rule] = RULES, counting: bool = Tr
         ]))
         hit = rows.select(_unit_key(unit).alias("id"), F.explode(broken).alias("rule_id"))
         if ctx.ledger is not None and any(rule.awaits_registry for rule, _ in members):
-            hit = lookup(
-                hit, _waiting(ctx), {"id": "cadusu_id", "rule_id": "w_rule"}, "left_anti",
-                when=F.col("rule_id").isin(*AWAITED),
-            )
+            hit = without_waiting(ctx, hit)
         found.append(hit)
     return reduce(DataFrame.unionByName, found)
 
 
-def _waiting(ctx: Reconciliation) -> DataFrame:
-    """Members and rules whose correction still waits for the registry."""
-    rows = ctx.ledger.filter(F.col("wait_until") >= ctx.moment)
-    return rows.filter(F.col("status") == WAITING).select(
-        "cadusu_id", F.col("rule_id").alias("w_rule")
-    )
-
-
 def catalogue(spark: SparkSession, rules: Iterable[Rule] = RULES) -> DataFrame:
     """The rules with what can be done about them. Bounded by the catalogue: 38 rows."""
     rows = []

@@ -7,12 +7,16 @@ so that a second engine can check every result on the very same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from concilia import schemas
 from concilia.operators.rejections import ERROR_CODES
 from concilia.plans.context import Reconciliation
-from concilia.session import adapt
+from concilia.session import adapt, shared_folder
 from concilia.sources.rejection_xml import shape_rejections
+from concilia.sources.tables import conform, read_tables
 
 AS_OF = "2001-10-31"
 AS_OF_TS = "2001-10-31 12:00:00"
@@ -184,39 +188,29 @@ where codcco is not null and id % 61 in (7, 8, 9, 12, 37, 45, 50, 51, 53)""".rep
     )
 
 
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Read a table; one that comes in fewer pieces than there are cores is spread out.
-
-    Only small inputs are: a large one has more pieces than cores and is left as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def load(spark: SparkSession, sf_dir: str) -> Reconciliation:
     """The derived tables of one data directory, with the fixed clock.
 
-    A deployment has these tables on disk; here they are derived once per session and kept
-    (lazily, spilling to disk, rebuilt from the inputs if an executor is lost).
+    A deployment has these tables on disk. Here they are derived once per application and
+    written to the shared folder, so that every query scans files: nothing is kept in the
+    executors' memory.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LOADED:
         adapt(spark)
-        customer = read_spread(spark, f"{sf_dir}/customer.parquet")
-        orders = read_spread(spark, f"{sf_dir}/orders.parquet")
-
-        def table(sql: str, **views: DataFrame) -> DataFrame:
-            return spark.sql(sql, **views).persist()
-
-        _LOADED[key] = Reconciliation(
-            members=table(members_sql(customer="{customer}"), customer=customer),
-            registry=table(registry_sql(orders="{orders}"), orders=orders),
-            contracts=table(contracts_sql(customer="{customer}"), customer=customer),
-            ledger=table(ledger_sql(customer="{customer}"), customer=customer),
-            as_of=AS_OF,
-            as_of_ts=AS_OF_TS,
-        )
+        customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        folder = f"{shared_folder(spark)}/derived-{uuid.uuid4().hex}"
+        tables = {
+            "cadusu": (schemas.MEMBERS, members_sql(customer="{customer}")),
+            "confsib": (schemas.REGISTRY, registry_sql(orders="{orders}")),
+            "cadcont": (schemas.CONTRACTS, contracts_sql(customer="{customer}")),
+            "pending": (schemas.LEDGER, ledger_sql(customer="{customer}")),
+        }
+        for name, (schema, sql) in tables.items():
+            inputs = {"orders": orders} if name == "confsib" else {"customer": customer}
+            conform(spark.sql(sql, **inputs), schema).write.parquet(f"{folder}/{name}")
+        _LOADED[key] = read_tables(spark, folder, AS_OF, AS_OF_TS)
     return _LOADED[key]
 
 
@@ -231,7 +225,7 @@ def load_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A record is at most four events, so its arrays are bounded.
     """
-    events = read_spread(spark, f"{sf_dir}/events.parquet").filter("event_type = 'error'")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'error'")
     number = F.get_json_object("props", "$.k").cast("int")
     codes = F.array(*[F.lit(code) for code in CODES])
     errors = events.select(

@@ -30,18 +30,13 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(packed.alias("row"))
 
 
-def write_csv(df: DataFrame, path: str, extract_rows: int | None = None, bom: bool = False) -> None:
-    """Semicolons, a header, UTF-8, NULL as empty.
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """Semicolons, a header, UTF-8, NULL as empty. All rows are written, by all tasks.
 
-    All rows are written, by all tasks. With ``extract_rows`` the first that many rows go to
-    one file instead, for a person to open; only such a bounded extract may start with a
-    byte order mark.
+    With ``bom`` every part file starts with a byte order mark, so each opens by itself; a
+    page for a person is ``shaping.page`` of an ordered listing.
     """
-    if bom and extract_rows is None:
-        raise ValueError("a byte order mark needs extract_rows")
-    out = df if extract_rows is None else df.limit(extract_rows).coalesce(1)
-    if bom:
-        out = out.withColumnRenamed(df.columns[0], BOM + df.columns[0])
+    out = df.withColumnRenamed(df.columns[0], BOM + df.columns[0]) if bom else df
     (
         out.write.mode("overwrite")
         .option("sep", ";").option("header", True).option("encoding", "UTF-8")
@@ -58,7 +53,7 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """A table hashed and sorted by ``key``.
 
-    Registry and members saved with the same number of buckets by ``codcco`` join, and
-    pick newest versions, without moving the registry at all.
+    Newest versions per ``key`` are then picked without moving the table. Joins still
+    exchange it: lookups add a slot to their keys so that hot keys can be split.
     """
     df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

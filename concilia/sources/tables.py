@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from concilia import schemas
 from concilia.plans.context import Reconciliation
+from concilia.session import adapt
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -21,6 +22,7 @@ def read_tables(
     names: tuple[str, str, str, str] = ("cadusu", "confsib", "cadcont", "pending"),
 ) -> Reconciliation:
     """Members, registry, contracts and (if there is one) the ledger, from Parquet."""
+    adapt(spark)
     members, registry, contracts, ledger = names
     reader = spark.read.schema
     return Reconciliation(

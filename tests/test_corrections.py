@@ -114,11 +114,45 @@ def test_completion_from_the_registry(spark):
 def test_long_form_matches_the_preview(spark, derived):
     rule_id = "ativo_campos_sib_obrigatorios"
     long = corrections.change_set(derived, rule_id).collect()
-    pairs = shaping.paired_changes(PLAN_BY_RULE[rule_id].preview(derived)).filter(
-        "not (old_value <=> new_value)").count()
+    pairs = shaping.paired_changes(PLAN_BY_RULE[rule_id].preview(derived)).count()
     assert len(long) == pairs > 0
 
 
+def test_change_sets_are_what_applying_changes(spark, derived):
+    """Per plan: the long form equals the difference that ``apply_fix`` makes."""
+    everything = corrections.change_set(derived).collect()
+    found = {(r.rule_id, r.table_name, r.key, r.field): (r.old_value, r.new_value) for r in everything}
+    assert len(found) == len({(*r[:4], r.old_value) for r in everything})
+    text = lambda v: None if v is None else str(v)
+    before = {r.id: r for r in derived.members.collect()}
+    for plan in PLANS:
+        done = corrections.apply_fix(derived, plan.rule_id, select_all(derived), confirm=True)
+        want = {}
+        for row in done.members.collect():
+            for field in plan.assign:
+                if row[field] != before[row.id][field]:
+                    want[plan.rule_id, "cadusu", str(row.id), field] = (
+                        text(before[row.id][field]), text(row[field]))
+        if plan.contract:
+            # A contract code may have several rows: those with the new stamp have changed.
+            stamped = done.contracts.filter(done.contracts.dtope == derived.moment).collect()
+            taken = {(k[2], v[1]) for k, v in found.items() if k[1] == "cadcont"}
+            assert {(r.codtit, r.nometit) for r in stamped} == taken
+            want |= {k: v for k, v in found.items() if k[1] == "cadcont"}
+        assert {k: v for k, v in found.items() if k[0] == plan.rule_id} == want, plan.rule_id
+    assert any(k[1] == "cadcont" for k in found)
+
+
+def test_an_unchanged_title_is_no_change(spark):
+    rows = [member(1, nomeusu="NEW NAME"), member(2, codusu="01", nomeusu="OTHER", codtit="t")]
+    ctx = context(spark, rows, [version(1)], [{"codtit": "t", "nometit": "KEPT"}])
+    changed = corrections.change_set(ctx, "divergencia_nome_cadusu_confsib").collect()
+    assert changed and all(r.table_name == "cadusu" for r in changed)
+    shown = shaping.paired_changes(
+        PLAN_BY_RULE["divergencia_nome_cadusu_confsib"].preview(ctx)).collect()
+    assert shown and all(r.field != "nometit" for r in shown)
+
+
 def test_fourteen_waits_and_comes_back(spark):
     """Applying, waiting, expiring: the cycle of a correction the registry must confirm."""
     rule_id = "ativo_inativo_confsib_reinclusao"

@@ -178,11 +178,14 @@ def test_stream_of_waiting_corrections(spark, folder):
 
 def test_csv(spark, folder):
     df = spark.createDataFrame([(1, "a;b", None), (2, "É", "x")], "id long, t string, n string")
-    sinks.write_csv(df, f"{folder}/csv", extract_rows=500, bom=True)
+    sinks.write_csv(df.coalesce(1), f"{folder}/csv", bom=True)
     text = open(glob.glob(f"{folder}/csv/part-*")[0], encoding="utf-8").read()
     assert text == '\ufeffid;t;n\n1;"a;b";\n2;É;x\n'
-    with pytest.raises(ValueError):
-        sinks.write_csv(df, f"{folder}/other", bom=True)
+    many = spark.range(1000).repartition(4)
+    sinks.write_csv(many, f"{folder}/many", bom=True)
+    parts = [open(p, encoding="utf-8").read() for p in glob.glob(f"{folder}/many/part-*")]
+    assert len(parts) == 4 and all(p.startswith("\ufeffid\n") for p in parts)
+    assert sum(p.count("\n") - 1 for p in parts) == 1000
 
 
 def test_snapshots_are_never_overwritten(spark, folder, derived):

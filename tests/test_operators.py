@@ -147,8 +147,9 @@ def test_conflicts_and_counts(spark):
     rows = [("r1", 1, "posans", "a"), ("r2", 1, "posans", "b"), ("r1", 2, "posans", "a"),
             ("r2", 2, "posans", "a"), ("r1", 3, "cpfusu", None), ("r2", 3, "cpfusu", "x")]
     df = spark.createDataFrame(rows, "rule_id string, id long, field string, new_value string")
-    assert sorted((r.id, r.field) for r in changes.conflicts(df).collect()) == [
-        (1, "posans"), (3, "cpfusu")]
+    keyed = df.selectExpr("*", "'cadusu' as table_name", "cast(id as string) as key")
+    assert sorted((r.key, r.field) for r in changes.conflicts(keyed).collect()) == [
+        ("1", "posans"), ("3", "cpfusu")]
     asked = spark.createDataFrame([(1,), (1,), (2,)], "id long")
     assert changes.apply_counts(asked, df.filter("id = 2").limit(1)).first().asDict() == {
         "requested": 2, "updated": 1}
