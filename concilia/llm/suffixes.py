@@ -153,48 +153,61 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[s
         held = {name: c[last] for name, c in rows.items()}
 
 
-def suffix_ranks(text: bytes, width: int) -> np.ndarray:
-    """Rank of each position by its next ``width`` (at least 64) bytes, by doubling prefixes.
-
-    Positions with less than ``width`` bytes left have no rank.
-    """
-    ranks, known = _words(text), 8
-    while known < width:
-        step = min(known, width - known)
-        pairs = np.stack([ranks[: len(ranks) - step], ranks[step:]])
-        if known > 8 or pairs.size:
-            _, left = np.unique(pairs[0], return_inverse=True)
-            _, right = np.unique(pairs[1], return_inverse=True)
-            _, ranks = np.unique(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64), return_inverse=True)
-        else:
-            ranks = pairs[0]
-        known += step
-    return ranks
-
-
 def previous_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """LPF of each position from the suffix order and the common prefixes of neighbours.
 
     ``order[i]`` is the position of the i-th suffix, ``lcp[i]`` what it shares with the one
-    before. One pass finds for each suffix the previous and the next one in order that
-    start earlier; the longer of the two common prefixes is the LPF.
+    before. Before and after each suffix the nearest one that starts earlier is looked for;
+    the longer of the two common prefixes is the LPF.
     """
     n = len(order)
+    found = np.zeros(n, np.int64)
+    after = np.append(lcp[1:], 0)[::-1] if n else lcp
+    for positions, shared, back in ((order, lcp, False), (order[::-1], after, True)):
+        near, common = np.arange(n) - 1, shared.astype(np.int64)
+        while True:  # all search at once: one that fails goes on where its neighbour's search is
+            open_ = np.flatnonzero((near >= 0) & (positions[near] > positions))
+            if not len(open_):
+                break
+            by = near[open_]
+            common[open_] = np.minimum(common[open_], common[by])
+            near[open_] = near[by]
+        own = np.where(near >= 0, common, 0)
+        found = np.maximum(found, own[::-1] if back else own)
     factors = np.zeros(n, np.int64)
-    stack: list[tuple[int, int]] = []  # (position, common prefix with the one below)
-    for i in range(n + 1):
-        position = int(order[i]) if i < n else -1
-        common = int(lcp[i]) if i < n else 0
-        while stack and stack[-1][0] > position:
-            above, shared = stack.pop()
-            # What stands below starts earlier, and so does the suffix at hand.
-            factors[above] = max(shared, common) if i < n else shared
-            common = min(common, shared)
-        if i < n:
-            stack.append((position, common if stack else 0))
+    factors[order] = found
     return factors
 
 
+def _prefix_order(
+    words: np.ndarray, starts: np.ndarray, numbers: np.ndarray, width: int, salt: int = 1
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows that start at ``starts``, in groups ``numbers``: which of them have equals in
+    their group, and the rank of each of these by group and the window's bytes.
+
+    Equals meet by a hash; one of each kind is ranked by its bytes, and all are compared
+    with it byte for byte; if hashes ever collide, another salt is taken.
+    """
+    places = [*range(0, width - 7, 8), width - 8]
+    mixed = (numbers.astype(np.uint64) + np.uint64(salt)) * _FACTORS[1]
+    for place in places:
+        mixed = (mixed ^ words[starts + place]) * _FACTORS[0]
+        mixed ^= mixed >> np.uint64(29)
+    by_hash = np.argsort(mixed)
+    sorted_ = mixed[by_hash]
+    fresh = np.append(True, sorted_[1:] != sorted_[:-1])
+    often = ~fresh | ~np.append(fresh[1:], True)
+    chosen, kinds = by_hash[often], np.cumsum(fresh[often]) - 1
+    one = chosen[fresh[often]]
+    columns = [words[starts[one] + place] for place in places]
+    if any((words[starts[chosen] + place] != column[kinds]).any() for place, column in zip(places, columns)):
+        return _prefix_order(words, starts, numbers, width, salt + 1000003)
+    ranks = np.empty(len(one), np.int64)
+    ranks[np.lexsort([*reversed(columns), numbers[one]])] = np.arange(len(one))
+    by_place = np.argsort(chosen)
+    return chosen[by_place], ranks[kinds[by_place]]
+
+
 def _repeated(groups: list[list[tuple]], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the windows of segments ``(text, first, last, ...)`` in order of position, by
     group: the number of the segment and the offset of each that occurs earlier in its
@@ -205,14 +218,13 @@ def _repeated(groups: list[list[tuple]], width: int) -> tuple[np.ndarray, np.nda
     counts = lengths - width + 1
     segment = np.repeat(np.arange(len(lengths)), counts)
     offset = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
-    ranks = suffix_ranks(text, width)[(np.cumsum(lengths) - lengths)[segment] + offset]
-    _, ranks = np.unique(numbers[segment] * (int(ranks.max()) + 1) + ranks, return_inverse=True)
-    often = np.bincount(ranks)[ranks] > 1  # any other window shares less with its neighbours
-    segment, offset, ranks = segment[often], offset[often], ranks[often]
+    starts = (np.cumsum(lengths) - lengths)[segment] + offset
+    # Windows without an equal share less than their width with their neighbours.
+    chosen, ranks = _prefix_order(_words(text), starts, numbers[segment], width)
     order = np.argsort(ranks, kind="stable")
     lcp = np.zeros(len(order), np.int64)
     lcp[1:] = np.where(ranks[order[1:]] == ranks[order[:-1]], width, 0)
-    found = previous_factors(order, lcp) >= width
+    found = chosen[previous_factors(order, lcp) >= width]
     return segment[found], offset[found]
 
 

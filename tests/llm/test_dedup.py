@@ -188,12 +188,15 @@ def test_previous_factors_against_their_definition():
         assert got.tolist() == [max([common(i, j) for j in range(i)], default=0) for i in range(len(text))]
 
 
-def test_suffix_ranks_order_prefixes():
-    data = texts()[12].encode()
-    ranks = suffixes.suffix_ranks(data, 100)
-    prefixes = [data[i : i + 100] for i in range(len(data) - 99)]
-    assert len(ranks) == len(prefixes)
-    assert [prefixes[i] for i in np.argsort(ranks, kind="stable")] == sorted(prefixes)
+def test_windows_with_equals_are_ranked_by_their_bytes():
+    data = (texts()[12] * 2 + texts()[20] + texts()[12]).encode()
+    starts = np.arange(len(data) - 99)
+    numbers = starts // 500
+    chosen, ranks = suffixes._prefix_order(suffixes._words(data), starts, numbers, 100)
+    kinds = [(n, data[i : i + 100]) for i, n in zip(starts, numbers)]
+    assert chosen.tolist() == [i for i in starts if kinds.count(kinds[i]) > 1] and len(chosen)
+    assert [kinds[i] for i in chosen[np.argsort(ranks, kind="stable")]] == sorted(kinds[i] for i in chosen)
+    assert len(set(ranks.tolist())) == len({kinds[i] for i in chosen})
 
 
 def test_empty_tables(spark):
