@@ -9,7 +9,7 @@ from checks.oracle_rules import (
 from concilia.plans.catalogue import RULES
 from concilia.plans.corrections import metadata
 from concilia.sources.derived import CODES
-from concilia.operators.rejections import ERROR_CODES
+from concilia.operators.rejections import BY_HAND, ERROR_CODES
 
 R12, R14 = "inativo_cadusu_ativo_confsib", "ativo_inativo_confsib_reinclusao"
 SQL: dict[str, str] = {}
@@ -404,6 +404,11 @@ def _r(body: str, members: bool = False) -> str:
 
 _SEV = "coalesce(d.sev, 'media')"
 _D = "left join d on d.d_code = {}.code"
+_BY_HAND = ", ".join(f"({_q(code)}, {_q(what)})" for code, what in BY_HAND.items())
+_LABEL = (
+    "case act when 'posans_atualizado' then 'Apply: settle the movement' when 'posans_inclusao'"
+    " then 'Apply: send as an inclusion' else '' end"
+)
 SQL["rej_explode"] = _r(
     "select rec.record, rec.cco, cast(rec.record as varchar) as codigo_beneficiario, rec.mv as"
     " codigo_tipo_movimento, rec.mn as tipo_movimento, e.position, e.code as codigo_erro,"
@@ -415,8 +420,11 @@ SQL["rej_principal"] = _r(
     f" {_SEV} as severidade, coalesce(act, '') as fix_action from rec {_D.format('rec')}"
 )
 SQL["rej_suggest"] = _r(
-    f"select record, position, code as codigo_erro, {_SEV} as severidade, coalesce(act, '') as"
-    f" fix_action, coalesce(act, '') <> '' as fixable from e {_D.format('e')}"
+    f"select record, position, e.code as codigo_erro, {_SEV} as severidade, coalesce(act, '') as"
+    f" fix_action, coalesce(act, '') <> '' as fixable, case act when 'posans_atualizado' then"
+    " 'posans = 4-ATUALIZADO' when 'posans_inclusao' then 'codcco = NULL, posans = 1-INCLUSAO' else"
+    f" 'correct by hand' || coalesce(': ' || h.what, '') end as acao_local, {_LABEL} as fix_label"
+    f" from e {_D.format('e')} left join (values {_BY_HAND}) h(code, what) on h.code = e.code"
 )
 SQL["rej_by_code"] = _r(
     f"select code as codigo_erro, count(*) as quantidade, any_value({_SEV}) as severidade,"
@@ -455,8 +463,14 @@ SQL["rej_filter"] = _r(
 SQL["rej_ccos_for_error"] = _r("select distinct cco from rec join e using (record) where e.code = '3011'")
 SQL["rej_fix_updated"] = _r(
     "select id, codtit, codusu, nomeusu, situusu, codcco, posans as posans_atual, '4-ATUALIZADO' as"
-    " posans_novo from m where coalesce(posans, '') <> '4-ATUALIZADO' and cco_ in (select rec.cco"
-    " from rec join e using (record) where e.code = '3005')", True
+    " posans_novo, cco_ as cco_ref, k.code as codigo_erro from m join (select distinct rec.cco, e.code"
+    " from rec join e using (record) where e.code in ('3005', '3011')) k on k.cco = m.cco_"
+    " where coalesce(posans, '') <> '4-ATUALIZADO'", True
+)
+SQL["src_rejections"] = _r(
+    "select cast(record as varchar) as codigo_beneficiario, cco, mv as codigo_tipo_movimento, mn as"
+    " tipo_movimento, (select string_agg(e.code, ',' order by e.position) from e where e.record ="
+    " rec.record) as codes from rec where record % 4 <> 3"
 )
 SQL["rej_fix_inclusion"] = _r(
     "select id, case when hit then '1-INCLUSAO' else posans end as posans, case when not hit then"

@@ -20,7 +20,10 @@ from concilia.plans import corrections, scan
 from concilia.plans.catalogue import BY_ID, RULES
 from concilia.plans.corrections import PLANS
 from concilia.session import shared_folder
-from concilia.sources.derived import load, load_rejections
+from concilia.sources import rejection_xml
+from concilia.sources.derived import (
+    load, load_rejections, rejection_records, write_rejection_files,
+)
 from concilia.sources.sinks import iso_text, to_json_rows
 from concilia.streaming.registry import newest_versions
 
@@ -166,15 +169,12 @@ def join_lateral_top1(spark, sf):
 @query
 def match_tiered(spark, sf):
     ctx = load(spark, sf)
-    pairs = ((v.ACTIVE, v.REG_INACTIVE), (v.INACTIVE, v.REG_ACTIVE))
-    return _union(
-        matching.tiered_match(
-            ctx.m.filter(c("situusu") == situation), ctx.r, compatible_keys(), status
-        ).select(
-            "id", "situusu", c("r_status").alias("status_ans"), c("r_codcco").alias("cco_ans"),
-            c("r_codusu").alias("codusu_ans"), c("r_nascusu").alias("nasc_ans"), "chave_usada",
-        )
-        for situation, status in pairs
+    status = F.when(c("situusu") == v.ACTIVE, F.lit(v.REG_INACTIVE)).when(
+        c("situusu") == v.INACTIVE, F.lit(v.REG_ACTIVE)
+    )
+    return matching.tiered_match(ctx.m, ctx.r, compatible_keys(), status).select(
+        "id", "situusu", c("r_status").alias("status_ans"), c("r_codcco").alias("cco_ans"),
+        c("r_codusu").alias("codusu_ans"), c("r_nascusu").alias("nasc_ans"), "chave_usada",
     )
 
 
@@ -521,7 +521,8 @@ def rej_principal(spark, sf):
 def rej_suggest(spark, sf):
     rows = rejections.explode_errors(load_rejections(spark, sf))
     return rejections.suggest(rows).select(
-        "record", "position", "codigo_erro", "severidade", "fix_action", "fixable"
+        "record", "position", "codigo_erro", "severidade", "fix_action", "fixable",
+        "acao_local", "fix_label",
     ).withColumn("position", c("position").cast("long"))
 
 
@@ -553,6 +554,19 @@ def rej_enrich(spark, sf):
     )
 
 
+@query
+def src_rejections(spark, sf):
+    """Records written as XML files, one of four no valid result, and read back."""
+    folder = f"{scratch(spark)}/rejections"
+    write_rejection_files(rejection_records(spark, sf), folder)
+    rows = rejection_xml.read_rejections(spark, folder, "UTF-8", "*.txt")
+    codes = F.array_join(F.transform("erros", lambda e: e["codigo_erro"]), ",")
+    return rows.select(
+        "codigo_beneficiario", "cco", "codigo_tipo_movimento", "tipo_movimento",
+        codes.alias("codes"),
+    )
+
+
 @query
 def rej_matched(spark, sf):
     return rejections.matched(_enriched(spark, sf))
@@ -560,7 +574,7 @@ def rej_matched(spark, sf):
 
 @query
 def rej_eligible(spark, sf):
-    return rejections.eligible_by_code(load_rejections(spark, sf), load(spark, sf).m)
+    return rejections.eligible_by_code(load_rejections(spark, sf), load(spark, sf).m, "record")
 
 
 @query
@@ -576,8 +590,13 @@ def rej_ccos_for_error(spark, sf):
 
 @query
 def rej_fix_updated(spark, sf):
-    ccos = rejections.ccos_for_error(load_rejections(spark, sf), "3005")
-    return rejections.preview_fix(load(spark, sf).m, ccos, "3005")
+    """Both codes that settle the movement."""
+    records, members = load_rejections(spark, sf), load(spark, sf).m
+    return _union(
+        rejections.preview_fix(members, rejections.ccos_for_error(records, code), code)
+        .withColumn("codigo_erro", F.lit(code))
+        for code in ("3005", "3011")
+    )
 
 
 @query

@@ -35,14 +35,15 @@ def lookup(
     keys: Mapping[str, str],
     how: str = "left",
     when: Column | None = None,
-    spread_by: str = "id",
+    spread_by: str | Sequence[str] = "id",
 ) -> DataFrame:
     """Join ``left`` to a ``right`` that is unique on its keys.
 
     ``keys`` maps left to right column names. ``when`` restricts the left rows the lookup
     applies to. ``how`` is ``inner``, ``left_semi``, ``left`` or ``left_anti``; the last two
-    keep the rows the lookup does not apply to.
+    keep the rows the lookup does not apply to, dealt out by the columns ``spread_by``.
     """
+    spread_by = [spread_by] if isinstance(spread_by, str) else list(spread_by)
     usable = reduce(and_, [F.col(k).isNotNull() for k in keys])
     if when is not None:
         usable = usable & F.coalesce(when, F.lit(False))
@@ -56,7 +57,7 @@ def lookup(
     if how in ("inner", "left_semi"):
         rows = left.filter(usable).withColumn("_slot_l", applies)
     else:
-        scattered = F.lit(1) + F.pmod(F.xxhash64(F.col(spread_by)), F.lit(_SLOTS))
+        scattered = F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(_SLOTS))
         rows = left.withColumn("_slot_l", F.when(usable, applies).otherwise(scattered))
     condition = reduce(
         and_,
@@ -102,7 +103,7 @@ def members_absent_from_registry(members: DataFrame, registry: DataFrame) -> Dat
 
 def registry_without_member(registry: DataFrame, members: DataFrame) -> DataFrame:
     """Registry rows no tier finds among the members: the mirror of the one above."""
-    spread = "r_numseq"
+    spread = ("r_numseq", "r_nomeusu", "r_cpfusu")  # an unknown sequence alone is one place
     with_cco = lookup(
         registry.filter(F.coalesce("r_codcco", F.lit("")) != ""),
         distinct_keys(members, "codcco"),
@@ -148,33 +149,35 @@ def newest_rows(registry: DataFrame, keys: Sequence[str], *extra: str) -> DataFr
 
 
 def tiered_match(
-    members: DataFrame, registry: DataFrame, compatible: Column, status: str
+    members: DataFrame, registry: DataFrame, compatible: Column, status: str | Column
 ) -> DataFrame:
     """Members matched to a registry row of ``status``, by the first key that finds one.
 
     CCO (newest version must have the status and not contradict the member); then, for
     members without CCO, the newest row of that status by code + birth or CPF + birth,
-    whichever is newer. Adds ``chave_usada``.
+    whichever is newer. Adds ``chave_usada``. ``status`` may differ per member: it is part
+    of the key, so one pass over the registry per key serves all of them.
     """
+    status = F.lit(status) if isinstance(status, str) else status
+    wanted = members.withColumn("_status", status).filter(F.col("_status").isNotNull())
     newest = newest_rows(registry.filter(is_present("r_codcco")), ["r_codcco"])
     by_cco = (
-        lookup(members, newest, {"codcco": "r_codcco"}, "inner")
-        .filter((F.col("r_state") == status) & compatible)
+        lookup(wanted, newest, {"codcco": "r_codcco"}, "inner")
+        .filter((F.col("r_state") == F.col("_status")) & compatible)
         .withColumn("chave_usada", F.lit(KEY_CCO_COMPATIBLE))
     )
 
-    of_status = registry.filter(F.col("r_state") == status)
-    no_cco = members.filter(is_blank("codcco"))
+    no_cco = wanted.filter(is_blank("codcco"))
     by_code = lookup(
         no_cco.filter(is_present("codans")),
-        newest_rows(of_status, ["r_codusu", "r_birth"]),
-        {"codans": "r_codusu", "nascusu": "r_birth"},
+        newest_rows(registry, ["r_codusu", "r_birth", "r_state"]),
+        {"codans": "r_codusu", "nascusu": "r_birth", "_status": "r_state"},
         "inner",
     )
     by_cpf = lookup(
         no_cco.filter(is_present("cpfusu")),
-        newest_rows(of_status, ["r_cpfusu", "r_birth"]),
-        {"cpfusu": "r_cpfusu", "nascusu": "r_birth"},
+        newest_rows(registry, ["r_cpfusu", "r_birth", "r_state"]),
+        {"cpfusu": "r_cpfusu", "nascusu": "r_birth", "_status": "r_state"},
         "inner",
     )
     # At most two candidates per member.
@@ -186,7 +189,7 @@ def tiered_match(
             is_present("codans") & (F.col("r_codusu") == F.col("codans")), F.lit(KEY_CODE_BIRTH)
         ).otherwise(F.lit(KEY_CPF_BIRTH)),
     )
-    return by_cco.unionByName(other)
+    return by_cco.unionByName(other).drop("_status")
 
 
 def identity_match(members: DataFrame, registry: DataFrame, *extra: str) -> DataFrame:

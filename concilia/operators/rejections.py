@@ -6,7 +6,7 @@ read by ``sources.rejection_xml``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,17 +39,33 @@ ERROR_CODES = {
 }
 DEFAULT = ("media", "", "Unknown error code", "Look the code up and correct the field by hand.")
 
+#: What each correction does to the local member, and the label of its button.
+LOCAL_ACTION = {
+    SETTLE: ("posans = 4-ATUALIZADO", "Apply: settle the movement"),
+    INCLUDE: ("codcco = NULL, posans = 1-INCLUSAO", "Apply: send as an inclusion"),
+}
+BY_HAND = {
+    "0205": "nascusu, dataini", "0206": "cpfusu, nomeusu", "0410": "codcco", "1205": "dataini",
+    "1602": "contract", "1702": "contract", "1802": "codtit", "1803": "codtit",
+    "3103": "datafim", "4202": "contract",
+}
+
 
 def error_codes(spark: SparkSession) -> DataFrame:
     rows = [
-        {"d_code": code, "d_severity": s, "d_action": a, "d_title": t, "d_advice": d}
+        {
+            "d_code": code, "d_severity": s, "d_action": a, "d_title": t, "d_advice": d,
+            "d_local": LOCAL_ACTION[a][0] if a else f"correct by hand: {BY_HAND[code]}",
+            "d_label": LOCAL_ACTION[a][1] if a else "",
+        }
         for code, (s, a, t, d) in ERROR_CODES.items()
     ]
     return spark.createDataFrame(pa.Table.from_pylist(rows))
 
 
 def suggest(df: DataFrame, code: str = "codigo_erro") -> DataFrame:
-    """Severity, title, advice and correction of a code; defaults for unknown codes.
+    """Severity, title, advice, local action and correction of a code, with its label;
+    defaults for unknown codes.
 
     The dictionary has 13 rows, so broadcasting it is safe at any size of ``df``.
     """
@@ -62,7 +78,9 @@ def suggest(df: DataFrame, code: str = "codigo_erro") -> DataFrame:
         "sugestao": F.coalesce("d_advice", F.lit(advice)),
         "fix_action": F.coalesce("d_action", F.lit(action)),
         "fixable": F.coalesce("d_action", F.lit("")) != "",
-    }).drop("d_code", "d_severity", "d_action", "d_title", "d_advice")
+        "acao_local": F.coalesce("d_local", F.lit("correct by hand")),
+        "fix_label": F.coalesce("d_label", F.lit("")),
+    }).drop("d_code", "d_severity", "d_action", "d_title", "d_advice", "d_local", "d_label")
 
 
 def flatten(records: DataFrame) -> DataFrame:
@@ -141,8 +159,14 @@ def by_severity(principal: DataFrame) -> DataFrame:
     )
 
 
-def enrich(records: DataFrame, members: DataFrame, spread_by: str = "cco") -> DataFrame:
-    """Adds the member with the record's CCO (the lowest id if several). Prepared members."""
+def enrich(
+    records: DataFrame, members: DataFrame, spread_by: str | Sequence[str]
+) -> DataFrame:
+    """Adds the member with the record's CCO (the lowest id if several). Prepared members.
+
+    ``spread_by`` tells records apart, also those without a CCO, which are dealt out by it:
+    all rejected inclusions have none.
+    """
     names = {
         "id": "cadusu_id", "nomeusu": "cadusu_nome", "situusu": "cadusu_situusu",
         "posans": "cadusu_posans", "codusu": "cadusu_codusu", "dataini": "cadusu_dataini",
@@ -236,6 +260,7 @@ def preview_fix(members: DataFrame, ccos: DataFrame, code: str) -> DataFrame:
     return rows.select(
         "id", "codtit", "codusu", "nomeusu", "situusu", "codcco", *new_cco,
         F.col("posans").alias("posans_atual"), F.lit(action.movement).alias("posans_novo"),
+        F.col("m_cco").alias("cco_ref"),
     )
 
 
@@ -258,9 +283,11 @@ def apply_fix(
     return apply_wide(members, changes, day, moment)
 
 
-def eligible_by_code(records: DataFrame, members: DataFrame) -> DataFrame:
+def eligible_by_code(
+    records: DataFrame, members: DataFrame, spread_by: str | Sequence[str]
+) -> DataFrame:
     """Per correctable code, the records having it anywhere whose member still qualifies."""
-    enriched = enrich(records, members)
+    enriched = enrich(records, members, spread_by)
     distinct_codes = F.array_distinct(F.transform("erros", lambda e: e["codigo_erro"]))
     rows = enriched.filter(F.col("cadusu_id").isNotNull()).select(
         F.explode(distinct_codes).alias("codigo_erro"),

@@ -221,7 +221,12 @@ CODES = (*ERROR_CODES, "9999")
 
 
 def load_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejected records in the shape ``read_rejections`` gives, from the events table.
+    """Rejected records in the shape ``read_rejections`` gives, from the events table."""
+    return shape_rejections(rejection_records(spark, sf_dir), "record")
+
+
+def rejection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``record`` and the attributes and elements of a rejected record.
 
     A record is at most four events, so its arrays are bounded.
     """
@@ -246,11 +251,31 @@ def load_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     kind = F.col("record") % 5
     names = F.array(*[F.lit(n) for n in ("", "INCLUSAO", "ALTERACAO", "EXCLUSAO", " REATIVACAO")])
-    return shape_rejections(grouped.select(
+    return grouped.select(
         "record",
         F.lpad((F.col("es")[0]["user_id"] + 1).cast("string"), 12, "0").alias("_cco"),
         F.col("record").cast("string").alias("_codigoBeneficiario"),
         kind.cast("string").alias("_codigoTipoMovimento"),
         F.get(names, kind.cast("int")).alias("_tipoMovimento"),
         fields.alias("campoErro"),
-    ), "record")
+    )
+
+
+def write_rejection_files(records: DataFrame, folder: str) -> None:
+    """The records as four XML files, by ``record``; the last is of another type."""
+    file = F.col("record") % 4
+    line = F.to_xml(F.struct(*[c for c in records.columns if c != "record"]), {
+        "rowTag": "registroRejeitado"})
+    kind = F.when(F.col("file") == 3, F.lit("ENVIO")).otherwise(F.lit("RESULTADO"))
+    ends = records.sparkSession.range(4).select(F.col("id").alias("file"))
+    start = F.concat(
+        F.lit("<mensagemSIB><cabecalho><identificacaoTransacao><tipoTransacao>"), kind,
+        F.lit("</tipoTransacao></identificacaoTransacao></cabecalho><mensagem>"
+              "<arquivoProcessado><registrosRejeitados>"),
+    )
+    close = F.lit("</registrosRejeitados></arquivoProcessado></mensagem></mensagemSIB>")
+    lines = records.select(file.alias("file"), F.lit(1).alias("part"), line.alias("value"))
+    for part, text in ((0, start), (2, close)):
+        lines = lines.unionByName(ends.select("file", F.lit(part).alias("part"), text.alias("value")))
+    ordered = lines.repartition("file").sortWithinPartitions("file", "part")
+    ordered.select("file", "value").write.partitionBy("file").text(folder)

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
 
-from concilia import schemas
-from concilia.sources.rejection_xml import ENCODING, shape_rejections, xml_reader
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter
+
+from concilia.sources.rejection_xml import ENCODING, FILES, piece_reader, pieces, rejections_in
 
 
 def stream_rejections(
-    spark: SparkSession, path: str, encoding: str = ENCODING, files_per_trigger: int = 1000
-) -> DataFrame:
-    """The same rows ``read_rejections`` gives for the folder, file after file."""
-    reader = xml_reader(spark.readStream, "registroRejeitado", schemas.REJECTED_XML, encoding)
-    raw = reader.option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return shape_rejections(raw.withColumn("arquivo", F.col("_metadata.file_path")), "arquivo")
+    spark: SparkSession,
+    path: str,
+    each: Callable[[DataFrame, int], None],
+    encoding: str = ENCODING,
+    files: str = FILES,
+    files_per_trigger: int = 1000,
+) -> DataStreamWriter:
+    """Hands the rows ``read_rejections`` gives to ``each(rows, batch)``, files after files.
+
+    A file is never divided between batches, so whether it is valid is decided inside its
+    batch. Set the trigger and the checkpoint of the returned writer and start it.
+    """
+    arriving = piece_reader(spark.readStream, files).option("maxFilesPerTrigger", files_per_trigger)
+    return pieces(arriving.load(path), encoding).writeStream.foreachBatch(
+        lambda batch, number: each(rejections_in(batch), number)
+    )

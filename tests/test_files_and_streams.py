@@ -81,18 +81,55 @@ def test_encoding_is_chosen(spark, folder):
     assert row.tipo_movimento == "EXCLUSÃO"
 
 
+def test_rows_of_invalid_files_are_not_read(spark, folder):
+    write(folder, "a.RPX")
+    write(folder, "b.RPX", kind="ENVIO")
+    write(folder, "c.RPX", kind="")
+    with open(f"{folder}/d.RPX", "w") as out:
+        out.write(f"<outro>{BODY}</outro>")
+    open(f"{folder}/e.RPX", "w").close()
+    for read, n in ((rejection_xml.read_rejections, 2), (rejection_xml.read_inclusions, 1),
+                    (rejection_xml.read_error_totals, 2), (rejection_xml.read_movement_totals, 2)):
+        got = [name_of(r.arquivo) for r in read(spark, folder).collect()]
+        assert sorted(got) == ["a.RPX"] * n + ["c.RPX"] * n
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, folder):
+    record = (
+        '<registroRejeitado cco="{0}" codigoBeneficiario="a&gt;b/" tipoMovimento="É">'
+        "<campoErro><codigoCampo>{0}</codigoCampo><erro><codigoErro>3005</codigoErro></erro>"
+        "</campoErro></registroRejeitado>"
+    )
+    records = [f'<registroRejeitado cco="{n}"/>' if n % 7 == 0 else record.format(n) for n in range(8000)]
+    body = "<arquivoProcessado><registrosRejeitados>" + "\n".join(records)
+    body += "</registrosRejeitados></arquivoProcessado>"
+    write(folder, "large.RPX", body=body)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        rows = rejection_xml.piece_reader(spark.read).load(folder)
+        assert rows.select(F.spark_partition_id()).distinct().count() >= 4
+        got = rejection_xml.read_rejections(spark, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted(int(r.cco) for r in got) == list(range(8000))
+    assert {(int(r.cco) % 7 == 0, len(r.erros), r.codigo_beneficiario) for r in got} == {
+        (True, 0, ""), (False, 1, "a>b/")}
+
+
 def test_stream_of_files_equals_batch(spark, folder):
     write(folder, "a.RPX")
     write(folder, "b.RPX")
-    run = (
-        stream_rejections(spark, folder, files_per_trigger=1)
-        .select("cco", F.size("erros").alias("n"))
-        .writeStream.format("memory").queryName("rejected").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/state").start()
-    )
+    write(folder, "c.RPX", kind="ENVIO")
+    got = []
+
+    def each(rows, number):
+        got.extend((r.cco, len(r.erros)) for r in rows.collect())
+
+    writer = stream_rejections(spark, folder, each, files_per_trigger=1)
+    run = writer.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
     run.awaitTermination()
-    got = sorted(map(tuple, spark.table("rejected").collect()))
-    assert got == [("", 0), ("", 0), ("C1", 4), ("C1", 4)]
+    assert sorted(got) == [("", 0), ("", 0), ("C1", 4), ("C1", 4)]
 
 
 def test_corrections_from_rejections(spark, folder):
@@ -107,7 +144,7 @@ def test_corrections_from_rejections(spark, folder):
     principal = {r.cco: r for r in rejections.with_principal(records).collect()}
     assert principal["C1"].severidade == "media" and principal["C1"].fixable
     assert (principal[""].severidade, principal[""].titulo) == ("media", "")
-    enriched = rejections.enrich(records, m)
+    enriched = rejections.enrich(records, m, ("arquivo", "codigo_beneficiario"))
     assert {r.cco: r.cadusu_id for r in enriched.collect()} == {"C1": 1, "": None}
     assert rejections.matched(enriched).first().matched == 1
     settle = rejections.preview_fix(m, rejections.ccos_for_error(records, "3005"), "3005")
@@ -124,10 +161,38 @@ def test_corrections_from_rejections(spark, folder):
         rejections.apply_fix(ctx.members, renew, "3205", ctx.day, ctx.moment)
     assert rejections.ccos_for_error(records, "1205").count() == 0
     eligible = {r.codigo_erro: r.elegiveis for r in
-                rejections.eligible_by_code(records, m).collect()}
+                rejections.eligible_by_code(records, m, "codigo_beneficiario").collect()}
     assert eligible == {"3005": 1, "3205": 0}
 
 
+def test_records_without_a_key_are_dealt_out(spark, folder):
+    """8,000 records with a blank CCO do not meet in one task."""
+    write(folder, "a.RPX")
+    one = rejection_xml.read_rejections(spark, folder).filter("cco = ''").limit(1)
+    records = one.drop("codigo_beneficiario").crossJoin(spark.range(8000)).withColumn(
+        "codigo_beneficiario", F.col("id").cast("string")).drop("id")
+    m = prepare_members(context(spark, [member(1)]).members)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = rejections.enrich(records, m, "codigo_beneficiario")
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 8000 and max(sizes) < 2000
+    assert rejections.eligible_by_code(records, m, "codigo_beneficiario").count() == 0
+
+
+def test_tiered_match_reads_the_registry_once_per_key(spark, derived):
+    from concilia.functions.predicates import compatible_keys
+    from concilia.operators.matching import tiered_match
+
+    status = F.when(F.col("situusu") == "ATIVO", "I").when(F.col("situusu") == "INATIVO", "A")
+    rows = tiered_match(derived.m, derived.r, compatible_keys(), status)
+    assert plan_of(rows).count("FileScan") <= 6
+
+
 def test_stream_of_versions_equals_batch(spark, folder):
     registry = table(spark, schemas.REGISTRY, [
         version(n, codcco=f"C{n % 3}", status="AI"[n % 2]) for n in range(1, 20)
