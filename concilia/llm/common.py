@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concilia.session import shared_folder
+
 #: Words of a text: runs of characters other than ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder; a cluster is refused, since
-    its executors could not see each other's files.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a new folder below the shared one and returns it as a table.
 
     Cuts the lineage: what follows survives lost executors and never repeats the work
     before it. The planner also gets the table's true size, which decides its joins.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,3 +43,16 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
+def bounded_sample(rows: DataFrame, by: list[str], most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest seeded hash of ``by``.
+
+    Rows are thinned by their hash to about twice as many before they are ordered, so what
+    meets in one task depends on ``most``, not on the number of partitions.
+    """
+    mark = F.xxhash64(*by, F.lit(seed))
+    n = rows.count()
+    if n > 2 * most:
+        rows = rows.where(F.pmod(mark, F.lit(n)) < 2 * most)
+    return rows.orderBy(mark, *by).limit(most)

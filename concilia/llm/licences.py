@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import bounded_sample, staged, text_or_empty
 
 UNKNOWN = "unknown"
 #: The usual notices of licence families.
@@ -92,9 +92,12 @@ def _training_rows(spark: SparkSession, docs: DataFrame, text_col: str, max_para
     foreign = F.transform("words", lambda w, i: F.concat(F.lit("word"), F.xxhash64(w, i, "form").cast("string")))
     foreign = F.slice(foreign, 1, F.pmod(F.col("form"), F.lit(4)))
     fixed = forms.select("family", F.concat(missing, foreign).alias("words"), (F.pmod("form", F.lit(5)) == 4).alias("held"))
-    lines = docs.select(F.explode(F.split(text_or_empty(text_col), "\n")).alias("text"))
-    lines = lines.where(F.length("text") > 0).where(~F.col("text").rlike(EVIDENCE))
-    lines = lines.select("text", F.xxhash64("text", F.lit(seed)).alias("order")).orderBy("order", "text").limit(max_paragraphs)
+    # About as many texts as paragraphs are wanted, each once; then the same of their lines.
+    own = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    number = max(1, docs.count())
+    own = own.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(number)) < max_paragraphs).distinct()
+    lines = own.select(F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") > 0).where(~F.col("text").rlike(EVIDENCE))
+    lines = bounded_sample(lines.distinct(), ["text"], max_paragraphs, seed).withColumn("order", F.xxhash64("text"))
     lines = lines.select(F.lit(UNKNOWN).alias("family"), tokens("text").alias("words"), (F.pmod("order", F.lit(5)) == 4).alias("held"))
     return fixed.unionByName(lines)
 

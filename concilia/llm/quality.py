@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_sample, text_or_empty
 
 BITS = 17  #: each kind of n-gram has a table of 2 ** BITS weights
 _WHITE = " \t\n\x0b\x0c\r"
@@ -107,7 +107,7 @@ def training_rows(
     """
     known = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other"))
     known = known.where((F.col("label") == F.col("other")) & F.col("label").isin(0, 1) & F.col("id").isNotNull())
-    chosen = known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_rows).select("id", F.col("label").cast("int").alias("label"))
+    chosen = bounded_sample(known, ["id"], max_rows, seed).select("id", F.col("label").cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

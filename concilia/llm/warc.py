@@ -19,7 +19,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, staged, text_or_empty
+from concilia.session import shared_folder
+
+from .common import partitions, staged, text_or_empty
 
 MAGIC = b"\x1f\x8b\x08"
 _CHUNK = 1 << 20
@@ -235,7 +237,7 @@ def archived_pages(pages: DataFrame, min_revisit_bytes: int = 0, split_bytes: in
     Sizes and digests of responses are those of the payloads read; revisits have them from
     their headers. An empty table yields an empty result.
     """
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     read = read_archives(write_archives(pages, folder, min_revisit_bytes=min_revisit_bytes, **columns), split_bytes)
     header = lambda name: F.element_at("headers", name)
     page = lambda name: F.regexp_extract(header(name), r"<urn:x-page:(-?\d+)>", 1).try_cast("long")
