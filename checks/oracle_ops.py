@@ -483,3 +483,13 @@ SQL["stream_latest"] = (
     "select user_id, event_id, event_type from events qualify row_number() over (partition by"
     " user_id order by event_id desc) = 1"
 )
+SQL["stream_pending"] = (
+    "with er as (select distinct user_id, ts from events where event_type = 'error'),"
+    " last as (select max(ts) - interval 96 hour as last from events),"
+    " o as (select user_id, ts, exists (select 1 from events p where p.event_type = 'purchase' and"
+    " p.user_id = er.user_id and p.ts > er.ts and p.ts <= er.ts + interval 48 hour) as seen from er"
+    " where not exists (select 1 from er r where r.user_id = er.user_id and r.ts > er.ts and r.ts <="
+    " er.ts + interval 48 hour))"
+    " select user_id as cadusu_id, case when seen then 'resolvido' else 'expirado' end as status,"
+    " count(*) as n from o, last where ts < last group by all"
+)

@@ -25,6 +25,7 @@ from concilia.sources.derived import (
     load, load_rejections, rejection_records, write_rejection_files,
 )
 from concilia.sources.sinks import iso_text, to_json_rows
+from concilia.streaming.pending import resolve_stream
 from concilia.streaming.registry import newest_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -638,3 +639,39 @@ def stream_latest(spark, sf):
     run.awaitTermination()
     rows = spark.read.parquet(f"{folder}/rows")
     return first_per_key(rows, ["user_id"], [c("batch").desc()]).drop("batch")
+
+
+@query
+def stream_pending(spark, sf):
+    """Errors wait 48 hours for a purchase of their user; another error renews the wait.
+
+    Outcomes per user. Waits that are not over well before the last event are left open by
+    the stream, as its watermark has not passed them, and are not counted.
+    """
+    folder = scratch(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    arriving = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    )
+    at = c("ts").cast("timestamp")
+    user = c("user_id").cast("string")
+    applied = arriving.filter("event_type = 'error'").select(
+        c("user_id").alias("cadusu_id"), F.lit("error").alias("rule_id"), user.alias("k_cco"),
+        F.lit("purchase").alias("expected"), at.alias("applied_at"),
+    )
+    seen = arriving.filter("event_type = 'purchase'").select(
+        user.alias("r_cco"), c("event_type").alias("r_state"), at.alias("loaded_at")
+    )
+    outcome = resolve_stream(applied, seen, wait="48 hours", lateness="1 hour")
+    run = (
+        outcome.writeStream.format("parquet").option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    rows = spark.read.schema(outcome.schema).parquet(f"{folder}/rows")
+    last = spark.read.parquet(f"{sf}/events.parquet").agg(
+        (F.max(at) - F.expr("interval 96 hours")).alias("last")
+    )
+    # One row, the limit of what is counted.
+    settled = rows.join(F.broadcast(last), c("applied_at") < c("last"))
+    return settled.groupBy("cadusu_id", "status").agg(F.count(F.lit(1)).alias("n"))

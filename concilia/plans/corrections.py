@@ -7,6 +7,7 @@ the corrected snapshot and the ledger rows all derive from the same rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -26,6 +27,7 @@ from concilia.plans.catalogue import (
     BY_ID, Part, c, flex_without_flag, has_cco, inactive, movement, remote, sent_name,
 )
 from concilia.plans.context import Reconciliation, without_waiting
+from concilia.session import shared_folder
 
 Value = Callable[[Column], Column]
 
@@ -356,53 +358,59 @@ def plan_for(rule_id: str) -> FixPlan:
 
 @dataclass(frozen=True)
 class Applied:
-    """Results of applying one plan; all lazy and all from the same change rows."""
+    """Results of applying one plan; all from the change rows written in ``path``."""
 
     members: DataFrame
     contracts: DataFrame
     updated: DataFrame
     ledger_rows: DataFrame | None
+    path: str
 
 
 def apply_fix(
-    ctx: Reconciliation, rule_id: str, selection: DataFrame, confirm: bool = False
+    ctx: Reconciliation,
+    rule_id: str,
+    selection: DataFrame,
+    confirm: bool = False,
+    path: str | None = None,
 ) -> Applied:
     """Corrected members (and contracts) for the selected ids that still qualify.
 
     ``selection`` has a column ``id`` and may be of any size. Ids that stopped qualifying
-    are left as they are. Write ``updated`` (or checkpoint it) before replacing the tables
-    it reads.
+    are left as they are. Eligibility is decided once: the change rows and the ledger rows
+    are written to ``path`` (a new folder; by default below the shared one) and everything
+    is derived from them, so the results cannot disagree, also once the tables are replaced.
     """
     if not confirm:
         raise ValueError("applying a correction needs confirm=True")
-    plan = plan_for(rule_id)
-    changes = plan.changes(ctx, selection)
-    members = apply_wide(ctx.members, changes, ctx.day, ctx.moment)
-    contracts = ctx.contracts
-    if plan.contract:
-        contracts = _apply_to_contracts(ctx, plan, selection)
+    plan, spark = plan_for(rule_id), ctx.members.sparkSession
+    path = path or f"{shared_folder(spark)}/applied-{uuid.uuid4().hex}"
     shown = ["codtit", "codusu", "nomeusu", "situusu", "codcco", "posans"]
     shown += [f for f in plan.assign if f not in shown]
-    updated = ctx.members.join(changes, "id").select(
+    title = plan.contract["nometit"](ctx.day) if plan.contract else F.lit(None)
+    rows = plan.eligible(ctx, selection).select(
+        "id", *shown, *[value(ctx.day).alias(f"new_{f}") for f, value in plan.assign.items()],
+        title.cast("string").alias("title"),
+    )
+    rows.write.parquet(f"{path}/changes")
+    rows = spark.read.parquet(f"{path}/changes")
+    changes = rows.select("id", *[f"new_{f}" for f in plan.assign])
+    members = apply_wide(ctx.members, changes, ctx.day, ctx.moment)
+    contracts = _apply_to_contracts(ctx, rows) if plan.contract else ctx.contracts
+    updated = rows.select(
         "id", *[c(f"new_{f}" if f in plan.assign else f).alias(f) for f in shown]
     )
-    rows = None
+    waiting = None
     if rule_id in ledger.AWAITED:
-        rows = ledger.registrations(rule_id, updated, ctx.r, ctx.moment)
-    return Applied(members, contracts, updated, rows)
+        ledger.registrations(rule_id, updated, ctx.r, ctx.moment).write.parquet(f"{path}/ledger")
+        waiting = spark.read.parquet(f"{path}/ledger")
+    return Applied(members, contracts, updated, waiting, path)
 
 
-def _contract_names(
-    ctx: Reconciliation, plan: FixPlan, selection: DataFrame | None
-) -> DataFrame:
-    """``codtit, new_name``: the corrected holder's name, where the plan sets one."""
-    return (
-        plan.eligible(ctx, selection)
-        .select("codtit", plan.contract["nometit"](ctx.day).alias("new_name"))
-        .filter("new_name is not null")
-        .groupBy("codtit")
-        .agg(F.min("new_name").alias("new_name"))
-    )
+def _contract_names(titles: DataFrame) -> DataFrame:
+    """``codtit, new_name`` from ``codtit, title``: the corrected holder's name, where there is one."""
+    named = titles.filter("title is not null")
+    return named.groupBy("codtit").agg(F.min("title").alias("new_name"))
 
 
 def _takes_new_name() -> Column:
@@ -411,11 +419,11 @@ def _takes_new_name() -> Column:
     )
 
 
-def _apply_to_contracts(ctx: Reconciliation, plan: FixPlan, selection: DataFrame) -> DataFrame:
+def _apply_to_contracts(ctx: Reconciliation, rows: DataFrame) -> DataFrame:
     """Contracts whose holder's corrected name differs take that name."""
     differs = _takes_new_name()
     return (
-        ctx.contracts.join(_contract_names(ctx, plan, selection), "codtit", "left")
+        ctx.contracts.join(_contract_names(rows), "codtit", "left")
         .withColumns({
             "nometit": F.when(differs, c("new_name")).otherwise(c("nometit")),
             "dtope": F.when(differs, ctx.moment).otherwise(c("dtope")),
@@ -502,7 +510,10 @@ def _contract_changes(
     ctx: Reconciliation, plan: FixPlan, selection: DataFrame | None
 ) -> DataFrame:
     """What applying the plan does to contracts: one row per contract whose name changes."""
-    new = _contract_names(ctx, plan, selection)
+    titles = plan.eligible(ctx, selection).select(
+        "codtit", plan.contract["nometit"](ctx.day).alias("title")
+    )
+    new = _contract_names(titles)
     return ctx.contracts.join(new, "codtit").filter(_takes_new_name()).select(
         F.lit(plan.rule_id).alias("rule_id"), F.lit(CONTRACT_TABLE).alias("table_name"),
         c("codtit").alias("key"), F.lit("nometit").alias("field"),

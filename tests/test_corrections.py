@@ -143,6 +143,28 @@ def test_change_sets_are_what_applying_changes(spark, derived):
     assert any(k[1] == "cadcont" for k in found)
 
 
+def test_results_agree_after_the_inputs_change(spark, folder):
+    """Eligibility is decided once; replacing the tables afterwards changes nothing."""
+    from concilia.sources.tables import read_tables
+
+    rule_id = "ativo_inativo_confsib_reinclusao"
+    ctx = context(spark, [member(1), member(2, codcco="C2")],
+                  [version(1, status="I", codusu="x"), version(2, codcco="C2")], [], [])
+    for name, df in (("cadusu", ctx.members), ("confsib", ctx.registry),
+                     ("cadcont", ctx.contracts), ("pending", ctx.ledger)):
+        df.write.parquet(f"{folder}/{name}")
+    stored = read_tables(spark, folder, ctx.as_of, ctx.as_of_ts)
+    done = corrections.apply_fix(stored, rule_id, select_all(stored), confirm=True, path=f"{folder}/done")
+    stored.registry.limit(0).write.mode("append").parquet(f"{folder}/empty")
+    emptied = replace(stored, registry=spark.read.parquet(f"{folder}/empty"))
+    assert ids(BY_ID[rule_id].detail(emptied)) == []
+    assert ids(done.updated) == [1] == [r.cadusu_id for r in done.ledger_rows.collect()]
+    assert ids(done.members.filter("posans = '8-REINCLUSAO'")) == [1]
+    assert done.ledger_rows.first().baseline_numseq == 1
+    again = corrections.apply_fix(emptied, rule_id, select_all(emptied), confirm=True)
+    assert again.updated.count() == again.ledger_rows.count() == 0
+
+
 def test_an_unchanged_title_is_no_change(spark):
     rows = [member(1, nomeusu="NEW NAME"), member(2, codusu="01", nomeusu="OTHER", codtit="t")]
     ctx = context(spark, rows, [version(1)], [{"codtit": "t", "nometit": "KEPT"}])

@@ -220,8 +220,10 @@ def test_stream_of_waiting_corrections(spark, folder):
         return day.replace(month=1 + (number - 1) // 28, day=1 + (number - 1) % 28)
 
     applied = [(1, "r", "C1", "A", at(1)), (2, "r", "C2", "A", at(1)), (3, "r", "C3", "A", at(2)),
-               (9, "r", "C9", "A", at(300))]
+               (4, "r", "C4", "A", at(1)), (4, "r", "C4", "A", at(40)), (4, "x", "C4", "A", at(1)),
+               (5, "r", None, "A", at(1)), (9, "r", "C9", "A", at(300))]
     events = [("C1", "A", at(5)), ("C1", "A", at(6)), ("C2", "I", at(5)), ("C3", "A", at(60)),
+              ("C4", "A", at(60)),
               ("C8", "A", at(300))]
     spark.createDataFrame(
         applied, "cadusu_id long, rule_id string, k_cco string, expected string, applied_at timestamp"
@@ -237,8 +239,10 @@ def test_stream_of_waiting_corrections(spark, folder):
         .trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
     )
     run.awaitTermination()
-    got = {r.cadusu_id: r.status for r in spark.table("waited").collect()}
-    assert got == {1: "resolvido", 2: "expirado", 3: "expirado"}
+    got = sorted((r.cadusu_id, r.rule_id, r.status) for r in spark.table("waited").collect())
+    assert got == [  # renewed within its wait and then reflected: one row, resolved
+        (1, "r", "resolvido"), (2, "r", "expirado"), (3, "r", "expirado"), (4, "r", "resolvido"),
+        (4, "x", "expirado"), (5, "r", "expirado")]
 
 
 def test_csv(spark, folder):
