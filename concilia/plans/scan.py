@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concilia.functions.predicates import any_of
@@ -84,7 +84,8 @@ def rule_summary(ctx: Reconciliation, rules: Iterable[Rule] = RULES) -> DataFram
     """Every rule with its total, zero included.
 
     A rule that cannot be planned on these tables (a column is missing) gets total -1 and
-    the error text; the others are counted all the same.
+    the error text; the others are counted all the same. A rule that fails while it runs
+    fails the one job they share: ``rule_summary_apart`` tells which.
     """
     rules = tuple(rules)
     spark = ctx.members.sparkSession
@@ -101,6 +102,28 @@ def rule_summary(ctx: Reconciliation, rules: Iterable[Rule] = RULES) -> DataFram
                 errors[rule.id] = str(error).splitlines()[0]
         found = hits(ctx, usable)
     totals = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    return _summary(spark, rules, totals, errors)
+
+
+def rule_summary_apart(ctx: Reconciliation, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """The same summary with a job per rule: one that fails, in planning or at run time, gets
+    total -1 and its error; the driver sees one number per rule."""
+    rules = tuple(rules)
+    spark = ctx.members.sparkSession
+    errors: dict[str, str] = {}
+    counted = []
+    for rule in rules:
+        try:
+            counted.append((rule.id, rule.count(ctx).first()[0]))
+        except PySparkException as error:
+            errors[rule.id] = str(error).splitlines()[0]
+    totals = spark.createDataFrame(counted, "rule_id string, hits long")
+    return _summary(spark, rules, totals, errors)
+
+
+def _summary(
+    spark: SparkSession, rules: tuple[Rule, ...], totals: DataFrame, errors: dict[str, str]
+) -> DataFrame:
     failed = F.lit(None).cast("string")
     for rule_id, text in errors.items():
         failed = F.when(F.col("rule_id") == rule_id, F.lit(text)).otherwise(failed)

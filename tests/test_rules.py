@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from concilia import schemas
@@ -264,3 +265,16 @@ def test_empty_tables_keep_their_columns(spark):
         detail = rule.detail(ctx)
         assert detail.columns
     assert all(r.total == 0 for r in scan.rule_summary(ctx).collect())
+
+
+def test_a_rule_that_fails_at_run_time_is_told_apart(spark):
+    from dataclasses import replace
+
+    from concilia.plans.catalogue import RULES, Part
+    from concilia.plans.scan import rule_summary_apart
+
+    ctx = context(spark, [member(1, situusu="INATIVO", posans="3-EXCLUSAO")])
+    bad = replace(RULES[1], parts=(Part("members", lambda day: F.expr("raise_error('boom') is null")),))
+    got = {r.rule_id: r for r in rule_summary_apart(ctx, (RULES[0], bad, RULES[19])).collect()}
+    assert got[bad.id].total == -1 and "boom" in got[bad.id].error and not got[bad.id].ok
+    assert got[RULES[0].id].total >= 0 and got[RULES[19].id].error is None
