@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty
 
+# A quote only opens a value after an equals sign; there it may hold ">".
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.DOTALL
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
@@ -42,7 +43,6 @@ _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
 }
-_SCOPES = {"table", "ul", "ol", "dl", "article", "main", "section", "div", "body", "td", "th", "li", "blockquote"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 _NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
@@ -82,16 +82,16 @@ def _is_article(tag: str, attributes: str) -> bool:
 
 
 class Page:
-    """Blocks of a page, each with the article flag and the hashes of the elements around it.
+    """Blocks of a page, and the element subtrees outside articles that contain them.
 
-    ``blocks``: ``(text, in_article, kept, hashes)`` in page order, ``kept`` unless the block
-    is boilerplate by tag, role or class; ``hashes`` names the subtrees outside articles
-    that contain it. ``subtrees``: all such hashes.
+    ``blocks``: ``(text, in_article, kept)`` in page order, ``kept`` unless the block is
+    boilerplate by tag, role or class. ``spans``: ``(hash, first, end)``, the range of blocks
+    in each subtree; ``subtrees``: the hashes.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[list] = []
-        self.subtrees: set[int] = set()
+        self.blocks: list[tuple[str, bool, bool]] = []
+        self.spans: list[tuple[int, int, int]] = []
         self._stack = [_Element("#", False, False, False, 0)]
         self._text: list[str] = []
         at = 0
@@ -114,6 +114,7 @@ class Page:
         while len(self._stack) > 1:
             self._close()
         self._flush()
+        self.subtrees = {mark for mark, _, _ in self.spans}
 
     def _flush(self) -> None:
         if not self._text:
@@ -122,7 +123,7 @@ class Page:
         self._text.clear()
         if text:
             top = self._stack[-1]
-            self.blocks.append([text, top.inside, not top.drop, []])
+            self.blocks.append((text, top.inside, not top.drop))
             top.parts.append(text)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -137,17 +138,18 @@ class Page:
             return
         self._implied(_ENDS.get(tag, frozenset()))
         if tag not in ("html", "body", "tbody"):
-            self._implied({"p"}, {"table", "article", "main", "section", "div", "body", "td", "th", "li", "blockquote"} - {tag})
+            self._implied({"p"})
         self._push(tag, attributes)
 
-    def _implied(self, ended: set[str] | frozenset[str], scopes: set[str] = _SCOPES) -> None:
+    def _implied(self, ended: set[str] | frozenset[str]) -> None:
+        """Closes the nearest open element of ``ended``, unless a block stands between."""
         for depth in range(len(self._stack) - 1, 0, -1):
             tag = self._stack[depth].tag
             if tag in ended:
                 while len(self._stack) > depth:
                     self._close()
                 return
-            if tag in scopes or tag not in _INLINE and tag != "p":
+            if tag not in _INLINE and tag != "p":
                 return
 
     def _push(self, tag: str, attributes: str) -> None:
@@ -158,9 +160,10 @@ class Page:
         self._stack.append(_Element(tag, drop, article, not drop and (top.inside or article), len(self.blocks)))
 
     def _end(self, tag: str) -> None:
-        if tag in _INLINE and not any(e.tag == tag for e in self._stack[-1:]):
-            return
-        if tag not in _INLINE:
+        if tag in _INLINE:
+            if self._stack[-1].tag != tag:
+                return
+        else:
             self._flush()
         for depth in range(len(self._stack) - 1, 0, -1):
             if self._stack[depth].tag == tag:
@@ -182,9 +185,7 @@ class Page:
             return
         mark = xxhash.xxh64_intdigest(f"<{element.tag}>{'|'.join(element.parts)}".encode()) - (1 << 63)
         parent.parts.append(str(mark))  # a hash of hashes: each text is hashed once
-        self.subtrees.add(mark)
-        for block in self.blocks[element.first :]:
-            block[3].append(mark)
+        self.spans.append((mark, element.first, len(self.blocks)))
 
 
 def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -196,7 +197,11 @@ def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) ->
 
 
 def _chosen(page: Page, template: frozenset[int] | set[int]) -> str:
-    blocks = [b for b in page.blocks if b[2] and template.isdisjoint(b[3])]
+    deleted: set[int] = set()
+    for mark, first, end in page.spans:
+        if mark in template:
+            deleted.update(range(first, end))
+    blocks = [b for i, b in enumerate(page.blocks) if b[2] and i not in deleted]
     article = [b for b in blocks if b[1]]
     return "\n\n".join(b[0] for b in article or blocks)
 

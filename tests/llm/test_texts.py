@@ -37,6 +37,8 @@ def test_main_text():
     assert pages.main_text("") == "" and pages.main_text("just text &amp; more") == "just text & more"
     assert pages.main_text("<p>a<p>b<div hidden>c</div><form>d</form><!-- e --><p>f <") == "a\n\nb\n\nf <"
     assert pages.main_text("<div>" * 5000 + "deep") == "deep"
+    assert pages.main_text("<p title=it's>a</p><p title='x>y' b>b</p><a href=\"q>r\">c</a> it's <") == "a\n\nb\n\nc it's <"
+    assert pages.main_text("<p " + "a='" * 3000) == "" and pages.main_text("<" * 50000) == "<" * 50000
 
 
 def test_site_template_is_deleted(spark):
