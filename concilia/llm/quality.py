@@ -15,8 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_sample, text_or_empty
+from .common import WORDS, bounded_sample, text_or_empty
 
 BITS = 17  #: each kind of n-gram has a table of 2 ** BITS weights
 _WHITE = " \t\n\x0b\x0c\r"
@@ -100,7 +101,8 @@ def _score(model: Model, data: bytes, ids: np.ndarray, distinct: list[bytes]) ->
 def training_rows(
     docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str, seed: int
 ) -> DataFrame:
-    """``slots, values, label`` of at most ``max_rows`` labelled texts, chosen by seeded hash.
+    """``id, slots, values, label`` of at most ``max_rows`` labelled texts, chosen by seeded
+    hash, in order of id in one partition.
 
     An id with contradicting or null labels is not used. Only the chosen ids, at most
     ``max_rows`` of them, are broadcast.
@@ -115,15 +117,19 @@ def training_rows(
             rows = [_features(t.encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("id"),
                     pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                     pa.array([r[1] for r in rows], pa.list_(pa.float32())),
                     batch.column("label"),
                 ],
-                ["slots", "values", "label"],
+                ["id", "slots", "values", "label"],
             )
 
-    joined = texts.join(F.broadcast(chosen), "id").select("text", "label")
-    return joined.mapInArrow(each, "slots array<int>, values array<float>, label int").limit(max_rows)
+    # A text without words has no n-grams to learn from.
+    joined = texts.join(F.broadcast(chosen), "id").where(F.col("text").rlike(WORDS)).select("id", "text", "label")
+    schema = T.StructType([joined.schema["id"], *T.StructType.fromDDL("slots array<int>, values array<float>, label int")])
+    # A limit gathers what it lets through in one partition: that of the fit.
+    return joined.mapInArrow(each, schema).limit(max_rows).sortWithinPartitions("id")
 
 
 def train(
@@ -138,41 +144,79 @@ def train(
 ) -> Model:
     """Fits on four fifths of at most ``max_rows`` labelled rows and calibrates on the rest.
 
-    The bound keeps what reaches the driver at some kilobytes a row. Without rows of both
-    labels there is no model, and the counted rules decide alone.
+    The bound keeps the sample, some ten kilobytes a row, within one task; the driver gets
+    the weights alone. Without rows of both labels there is no model, and the counted rules
+    decide alone.
     """
-    table = training_rows(docs, labels, max_rows, id_col, text_col, label_col, seed).toArrow().combine_chunks()
-    label = table.column("label").to_numpy().astype(np.float64)
+    sample = training_rows(docs, labels, max_rows, id_col, text_col, label_col, seed)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _fitted([_Block.of(b) for b in batches if len(b)], rounds)
+        weights = None if model.weights is None else model.weights.tobytes()
+        numbers = [pa.array([float(n)]) for n in (model.bias, model.slope, model.offset)]
+        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), *numbers], ["weights", "bias", "slope", "offset"])
+
+    found = sample.mapInArrow(fit, "weights binary, bias double, slope double, offset double").where("weights is not null").collect()
+    if not found:
+        return Model(None)
+    return Model(np.frombuffer(bytes(found[0].weights), np.float32), *found[0][1:])
+
+
+def _fitted(blocks: list[_Block], rounds: int) -> Model:
+    label = np.concatenate([b.label for b in blocks]) if blocks else np.zeros(0)
     if len(set(label.tolist())) < 2:
         return Model(None)
-    lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column("slots"), table.column("values"))]
-    slots, values = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
-    owner = np.repeat(np.arange(len(label)), np.diff(lists[0].offsets.to_numpy()))
-    order = np.argsort([xxhash.xxh64_intdigest(f"{seed}:{i}") for i in range(len(label))])
     held = np.zeros(len(label), bool)
     for value in (0.0, 1.0):
-        own = order[label[order] == value]
-        held[own[: len(own) // 5]] = True
-    weights, bias = _fit(slots, values, owner, label, ~held, rounds)
-    scores = np.bincount(owner, weights[slots] * values, len(label)) + bias
+        held[np.flatnonzero(label == value)[4::5]] = True
+    weights, bias = _fit(blocks, label, ~held, rounds)
+    scores = np.concatenate([b.scores(weights) for b in blocks]) + bias
     slope, offset = _platt(scores[held], label[held]) if held.any() else (1.0, 0.0)
-    return Model(weights.astype(np.float32), bias, slope, offset)
+    return Model(weights, bias, slope, offset)
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Some training rows, as views of their Arrow batch: what is computed from them needs
+    memory for these only."""
+
+    slots: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    label: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Block:
+        _, slots, values, label = batch.columns
+        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in (slots, values)]
+        starts = slots.offsets.to_numpy()[:-1] - slots.offsets[0].as_py()
+        return cls(*flat, starts, label.to_numpy(zero_copy_only=False).astype(np.float64))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.slots] * self.values, self.starts, dtype=np.float64)
+
+    def slope(self, errors: np.ndarray) -> np.ndarray:
+        lengths = np.diff(np.append(self.starts, len(self.slots)))
+        return np.bincount(self.slots, np.repeat(errors.astype(np.float32), lengths) * self.values, 3 << BITS)
 
 
-def _fit(slots, values, owner, label, used, rounds) -> tuple[np.ndarray, float]:
+def _fit(blocks: list[_Block], label: np.ndarray, used: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
     """Logistic regression by AdaGrad over all rows at once; both labels weigh the same."""
     weight = np.where(label == 1, 0.5 / max(1, (used & (label == 1)).sum()), 0.5 / max(1, (used & (label == 0)).sum())) * used
-    coefficients, bias = np.zeros(3 << BITS), 0.0
+    cuts = np.cumsum([len(b.label) for b in blocks])[:-1]
+    coefficients, bias = np.zeros(3 << BITS, np.float32), 0.0
     squares, bias_squares = np.full(3 << BITS, 1e-10), 1e-10
     for _ in range(rounds):
-        scores = np.bincount(owner, coefficients[slots] * values, len(label)) + bias
+        scores = np.concatenate([b.scores(coefficients) for b in blocks]) + bias
         errors = weight * (1 / (1 + np.exp(-np.clip(scores, -500, 500))) - label)
-        slope = np.bincount(slots, errors[owner] * values, 3 << BITS) + 1e-8 * coefficients
+        slope = 1e-8 * coefficients.astype(np.float64)
+        for block, own in zip(blocks, np.split(errors, cuts)):
+            slope += block.slope(own)
         squares += slope**2
-        coefficients -= 0.5 * slope / np.sqrt(squares)
+        coefficients -= (0.5 * slope / np.sqrt(squares)).astype(np.float32)
         bias_squares += errors.sum() ** 2
         bias -= 0.1 * errors.sum() / np.sqrt(bias_squares)
-    return coefficients, bias
+    return coefficients, float(bias)
 
 
 def _platt(scores: np.ndarray, label: np.ndarray) -> tuple[float, float]:
