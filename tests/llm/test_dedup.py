@@ -142,6 +142,39 @@ def test_a_long_line_is_a_window_by_itself(spark):
     assert {r.row.doc_id: r.kept_text for r in got} == {1: f"a\n{long}\nb", 2: "c\nd", 3: "", 4: "a\nb\nc"}
 
 
+def brute_runs(rows, min_words=50):
+    """How many lines lie in any run of min_words words or more that occurs earlier."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        parts = [p.strip() for p in text.split("\n") if p.strip()]
+        words, gone = [len(p.split()) for p in parts], set()
+        for s in range(len(parts)):
+            for e in range(s + 1, len(parts) + 1):
+                if sum(words[s:e]) >= min_words:
+                    if tuple(parts[s:e]) in seen:
+                        gone |= set(range(s, e))
+                    seen.add(tuple(parts[s:e]))
+        out[i] = len(gone)
+    return out
+
+
+def test_whole_runs_go_to_their_last_line(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    run = [line("a", 45), line("b", 10), line("c", 30)]
+    rows = [(1, "\n".join([line("x", 9), *run, line("y", 70)])), (2, "\n".join([line("p", 60), *run, "", line("q", 60)]))]
+    got = {r.row.doc_id: r for r in lines.dedup_lines(documents(spark, rows), whole=True).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 3
+    assert got[2].kept_text == "\n".join([line("p", 60), "", line("q", 60)])
+    rng = random.Random(12)
+    pool = [line(f"l{k}w", rng.choice([3, 10, 20, 30, 45, 60])) for k in range(12)]
+    rows = []
+    for i in range(60):
+        at = rng.randrange(8)
+        rows.append((i, "\n".join([line(f"d{i}_", rng.randint(1, 60)), *pool[at : at + rng.randint(1, 6)], line(f"e{i}_", rng.randint(1, 60))])))
+    got = {r.row.doc_id: r.n_removed for r in lines.dedup_lines(documents(spark, rows), whole=True).collect()}
+    assert got == brute_runs(rows) and got != {k[1]: v[1] for k, v in brute_lines(rows).items()}
+
+
 def brute_bytes(rows, width):
     seen, out = set(), {}
     keys = {(i if i is not None else -(2**63), t or "") for i, t, *_ in rows}
