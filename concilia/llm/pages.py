@@ -1,10 +1,11 @@
 """Main text of web pages, with templates found per site.
 
-A page is cut into elements by one pass over its tags. Every element subtree outside the
-article that holds text is hashed; Spark counts the hashes per host, and subtrees that
-recur across many pages of a host are its template and are deleted. Elements that are
-boilerplate by their tag, role or class go in any case. Inside an article nothing is
-deleted for recurring: there, recurrence is quotation or a copied article.
+A page is cut into elements by one pass over its tags. Every element subtree that holds
+text is hashed; Spark counts the hashes per host, and subtrees that recur across many
+pages of a host are its template and are deleted. Elements that are boilerplate by their
+tag, role or class go in any case. Pages count by what they hold besides the subtree, so
+copies of one page are one. Inside an article recurrence can also be quotation or a copied
+article: there a subtree must be in nearly all different articles of the host.
 """
 
 from __future__ import annotations
@@ -82,16 +83,18 @@ def _is_article(tag: str, attributes: str) -> bool:
 
 
 class Page:
-    """Blocks of a page, and the element subtrees outside articles that contain them.
+    """Blocks of a page, and the element subtrees that contain them.
 
     ``blocks``: ``(text, in_article, kept)`` in page order, ``kept`` unless the block is
     boilerplate by tag, role or class. ``spans``: ``(hash, first, end)``, the range of blocks
-    in each subtree; ``subtrees``: the hashes.
+    in each subtree outside articles, ``inner`` inside; no hash is in both. ``subtrees``: the
+    hashes.
     """
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, bool]] = []
         self.spans: list[tuple[int, int, int]] = []
+        self.inner: list[tuple[int, int, int]] = []
         self._stack = [_Element("#", False, False, False, 0)]
         self._text: list[str] = []
         at = 0
@@ -114,7 +117,24 @@ class Page:
         while len(self._stack) > 1:
             self._close()
         self._flush()
-        self.subtrees = {mark for mark, _, _ in self.spans}
+        self.subtrees = {mark for mark, _, _ in self.spans + self.inner}
+
+    def rests(self) -> list[tuple[int | None, int, bool]]:
+        """``(hash, rest, inside)`` of each subtree: a hash of the kept texts without it, inside
+        an article of those of the articles; and, under a null hash, of all kept texts."""
+        sums = {False: [0], True: [0]}
+        for text, in_article, kept in self.blocks:
+            mark = xxhash.xxh64_intdigest(text.encode()) if kept else 0
+            sums[False].append(sums[False][-1] + mark)
+            sums[True].append(sums[True][-1] + mark * in_article)
+        signed = lambda n: (n & (1 << 64) - 1) - (1 << 63)
+        out: list[tuple[int | None, int, bool]] = [(None, signed(sums[False][-1]), False)]
+        for inside, spans in ((False, self.spans), (True, self.inner)):
+            upto, own = sums[inside], dict.fromkeys((mark for mark, _, _ in spans), 0)
+            for mark, first, end in spans:
+                own[mark] += upto[end] - upto[first]
+            out += ((mark, signed(upto[-1] - n), inside) for mark, n in own.items())
+        return out
 
     def _flush(self) -> None:
         if not self._text:
@@ -180,30 +200,33 @@ class Page:
         parent.holds |= element.holds or element.article
         if not element.parts:
             return
-        if element.inside or element.holds or element.tag in ("html", "body", "head", "title"):
+        if element.holds or element.tag in ("html", "body", "head", "title"):
             parent.parts.append("")
             return
-        mark = xxhash.xxh64_intdigest(f"<{element.tag}>{'|'.join(element.parts)}".encode()) - (1 << 63)
-        parent.parts.append(str(mark))  # a hash of hashes: each text is hashed once
-        self.spans.append((mark, element.first, len(self.blocks)))
+        kind = "article " if element.inside else ""
+        mark = xxhash.xxh64_intdigest(f"{kind}<{element.tag}>{'|'.join(element.parts)}".encode()) - (1 << 63)
+        # A hash of hashes: each text is hashed once. What goes anyway is no part of an article.
+        parent.parts.append(str(mark) if element.inside == parent.inside else "")
+        (self.inner if element.inside else self.spans).append((mark, element.first, len(self.blocks)))
 
 
 def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The kept blocks outside ``template``, joined by blank lines.
 
-    Where the page marks an article, its blocks are the text; else all kept blocks are.
+    Where the page marks an article, its blocks are the text, also if none is left; else all
+    kept blocks are.
     """
     return _chosen(Page(source), template)
 
 
 def _chosen(page: Page, template: frozenset[int] | set[int]) -> str:
     deleted: set[int] = set()
-    for mark, first, end in page.spans:
+    for mark, first, end in page.spans + page.inner:
         if mark in template:
             deleted.update(range(first, end))
-    blocks = [b for i, b in enumerate(page.blocks) if b[2] and i not in deleted]
-    article = [b for b in blocks if b[1]]
-    return "\n\n".join(b[0] for b in article or blocks)
+    blocks = [(i, b) for i, b in enumerate(page.blocks) if b[2]]
+    article = [(i, b) for i, b in blocks if b[1]]
+    return "\n\n".join(b[0] for i, b in article or blocks if i not in deleted)
 
 
 def host_of(url: str) -> Column:
@@ -212,23 +235,29 @@ def host_of(url: str) -> Column:
     return F.coalesce(host, F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int, min_share: float, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def templates(
+    pages: DataFrame, min_pages: int, min_share: float, article_share: float = 0.8, url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """``host, template``: per host the hashes of subtrees on at least ``min_pages`` of its pages
-    and ``min_share`` of them. A share bounds the list by a page's subtrees over the share,
+    and ``min_share`` of them, inside articles ``article_share``. Pages that are equal besides
+    the subtree count once. A share bounds the list by a page's subtrees over the share,
     however large the host."""
     rows = pages.select(host_of(url_col).alias("host"), text_or_empty(html_col).alias("html"))
+    kind = pa.list_(pa.struct([("mark", pa.int64()), ("rest", pa.int64()), ("inside", pa.bool_())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [sorted(Page(h).subtrees) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(marks, pa.list_(pa.int64()))], ["host", "marks"])
+            found = [[dict(zip(("mark", "rest", "inside"), r)) for r in Page(h).rests()] for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, kind)], ["host", "found"])
 
-    marks = rows.mapInArrow(each, "host string, marks array<long>")
+    found = rows.mapInArrow(each, "host string, found array<struct<mark:long,rest:long,inside:boolean>>")
     # Each page also counts for its host, under the null mark: one pass gives both counts.
-    counted = marks.select("host", F.explode(F.array_append("marks", F.lit(None).cast("long"))).alias("mark"))
-    counted = staged(counted.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("mark").isNull() | (F.col("n") >= min_pages)), "subtrees")
+    counted = found.select("host", F.explode("found").alias("s")).select("host", "s.*")
+    counted = counted.groupBy("host", "mark", "inside").agg(F.count_distinct("rest").alias("n"))
+    counted = staged(counted.where(F.col("mark").isNull() | (F.col("n") >= min_pages)), "subtrees")
     hosts = counted.where("mark is null").select("host", F.col("n").alias("pages"))
-    common = counted.where("mark is not null").join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share)
+    share = F.when(F.col("inside"), article_share).otherwise(min_share)
+    common = counted.where("mark is not null").join(hosts, "host").where(F.col("n") >= F.col("pages") * share)
     return common.groupBy("host").agg(F.collect_list("mark").alias("template"))
 
 
@@ -239,6 +268,7 @@ def extract(
     html_col: str = "html",
     min_pages: int = 5,
     min_share: float = 0.2,
+    article_share: float = 0.8,
 ) -> DataFrame:
     """``page_id, url, text, n_template`` for every row of ``pages``; ``text`` is empty if none.
 
@@ -249,7 +279,7 @@ def extract(
     whose written size lets the planner choose: sent to all executors if small, else a
     join that splits hot hosts. An empty table yields an empty result.
     """
-    known = staged(templates(pages, min_pages, min_share, url_col, html_col), "templates")
+    known = staged(templates(pages, min_pages, min_share, article_share, url_col, html_col), "templates")
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), text_or_empty(html_col).alias("html")
     ).join(known, "host", "left")

@@ -54,6 +54,22 @@ def test_site_template_is_deleted(spark):
     assert got[303].text == "Shared quotation\n\n3"
 
 
+def test_boilerplate_inside_articles_is_deleted(spark):
+    """A box on all articles of a host goes; quotations, copied articles and small hosts stay."""
+    box = "<div><h3>Read more</h3><p>Get our letter</p></div>"
+    quote = "<blockquote>To be or not</blockquote>"
+    rows = [(i, f"http://h.example/{i}", f"<main><h1>Title {i}</h1><p>Text {i}</p>{quote * (i % 2)}{box}</main><p>End</p>") for i in range(12)]
+    rows += [(20 + i, f"http://copy.example/{i}", f"<p>Now {i}</p><article><p>One</p><p>Two</p></article>") for i in range(12)]
+    rows += [(40 + i, f"http://few.example/{i}", f"<main><p>Text {i}</p>{box}</main>") for i in range(4)]
+    rows += [(50 + i, f"http://stub.example/{i}", f"<nav>Menu</nav><p>Out {i}</p><main>{f'<p>Text {i}</p>' * (i > 0)}{box}</main>") for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    assert all(got[i] == f"Title {i}\n\nText {i}" + "\n\nTo be or not" * (i % 2) for i in range(12))
+    assert all(got[20 + i] == "One\n\nTwo" for i in range(12))
+    assert all(got[40 + i] == f"Text {i}\n\nRead more\n\nGet our letter" for i in range(4))
+    assert got[50] == "" and got[51] == "Text 1"
+
+
 def test_articles_of_all_pages(spark):
     """The generated pages mark their article; a plain cut of it is the brute-force version."""
     import html
