@@ -1,8 +1,8 @@
 """Main text of web pages, with templates found per site.
 
 A page is cut into elements by one pass over its tags. Every element subtree that holds
-text is hashed; Spark counts the hashes per host, and subtrees that recur across many
-pages of a host are its template and are deleted. Elements that are boilerplate by their
+text is hashed; Spark counts the hashes per site section (a host, or a folder of it), and
+subtrees that recur across many pages of a section are its template and are deleted. Elements that are boilerplate by their
 tag, role or class go in any case. Pages count by what they hold besides the subtree, so
 copies of one page are one. Inside an article recurrence can also be quotation or a copied
 article: there a subtree must be in nearly all different articles of the host.
@@ -235,30 +235,47 @@ def host_of(url: str) -> Column:
     return F.coalesce(host, F.lit(""))
 
 
+def sections_of(url: str) -> Column:
+    """The host of a URL and each folder on its path, from the host down; the page's own name,
+    with or without a slash at its end, is no folder."""
+    path = F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    folder = F.regexp_extract(F.coalesce(path, F.lit("")), r"^(.*)/[^/]+/*$", 1)
+    parts = F.split(folder, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(host_of(url), F.array_join(F.slice(parts, 1, k), "/")))
+
+
 def templates(
     pages: DataFrame, min_pages: int, min_share: float, article_share: float = 0.8, url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """``host, template``: per host the hashes of subtrees on at least ``min_pages`` of its pages
-    and ``min_share`` of them, inside articles ``article_share``. Pages that are equal besides
-    the subtree count once. A share bounds the list by a page's subtrees over the share,
-    however large the host."""
-    rows = pages.select(host_of(url_col).alias("host"), text_or_empty(html_col).alias("html"))
+    """``folder, template``: for each last section of a page the hashes of subtrees that are
+    template of it or of a section above.
+
+    That is a subtree on at least ``min_pages`` of a section's pages and ``min_share`` of them;
+    inside articles ``article_share`` of the host's. So a menu of one part of a host is found
+    however large the host. Pages that are equal besides the subtree count once. A share bounds
+    the list by a page's subtrees over the share, for each section above a page.
+    """
+    rows = pages.select(sections_of(url_col).alias("sections"), text_or_empty(html_col).alias("html"))
     kind = pa.list_(pa.struct([("mark", pa.int64()), ("rest", pa.int64()), ("inside", pa.bool_())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[dict(zip(("mark", "rest", "inside"), r)) for r in Page(h).rests()] for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, kind)], ["host", "found"])
-
-    found = rows.mapInArrow(each, "host string, found array<struct<mark:long,rest:long,inside:boolean>>")
-    # Each page also counts for its host, under the null mark: one pass gives both counts.
-    counted = found.select("host", F.explode("found").alias("s")).select("host", "s.*")
-    counted = counted.groupBy("host", "mark", "inside").agg(F.count_distinct("rest").alias("n"))
-    counted = staged(counted.where(F.col("mark").isNull() | (F.col("n") >= min_pages)), "subtrees")
-    hosts = counted.where("mark is null").select("host", F.col("n").alias("pages"))
+            yield pa.RecordBatch.from_arrays([batch.column("sections"), pa.array(found, kind)], ["sections", "found"])
+
+    found = rows.mapInArrow(each, "sections array<string>, found array<struct<mark:long,rest:long,inside:boolean>>")
+    # Each page also counts for its sections, under the null mark: one pass gives both counts.
+    found = found.select("sections", F.explode("found").alias("s")).select("sections", "s.*")
+    own = F.when(F.col("inside"), F.slice("sections", 1, 1)).otherwise(F.col("sections"))
+    counted = found.select(F.explode(own).alias("section"), "mark", "rest", "inside")
+    counted = counted.groupBy("section", "mark", "inside").agg(F.count_distinct("rest").alias("n"))
+    counted = staged(counted.where(F.col("n") >= min_pages), "subtrees")
+    sizes = counted.where("mark is null").select("section", F.col("n").alias("pages"))
     share = F.when(F.col("inside"), article_share).otherwise(min_share)
-    common = counted.where("mark is not null").join(hosts, "host").where(F.col("n") >= F.col("pages") * share)
-    return common.groupBy("host").agg(F.collect_list("mark").alias("template"))
+    common = counted.where("mark is not null").join(sizes, "section").where(F.col("n") >= F.col("pages") * share)
+    folders = pages.select(sections_of(url_col).alias("sections")).distinct()
+    folders = folders.select(F.element_at("sections", -1).alias("folder"), F.explode("sections").alias("section"))
+    return folders.join(common, "section").groupBy("folder").agg(F.collect_set("mark").alias("template"))
 
 
 def extract(
@@ -272,17 +289,20 @@ def extract(
 ) -> DataFrame:
     """``page_id, url, text, n_template`` for every row of ``pages``; ``text`` is empty if none.
 
-    ``n_template`` counts the page's subtrees that are template of its host. A null html is
+    ``n_template`` counts the page's subtrees that are template of its sections. A null html is
     empty; pages without a host share one. Whole pages are read, and each row is extracted
     by itself, so repeated rows get repeated results. Damaged markup is read as far as it
-    goes: open elements end with the page. The hosts' templates are joined as a table
+    goes: open elements end with the page. The sections' templates are joined as a table
     whose written size lets the planner choose: sent to all executors if small, else a
-    join that splits hot hosts. An empty table yields an empty result.
+    join that splits hot sections. An empty table yields an empty result.
     """
     known = staged(templates(pages, min_pages, min_share, article_share, url_col, html_col), "templates")
     rows = pages.select(
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), text_or_empty(html_col).alias("html")
-    ).join(known, "host", "left")
+        F.col(id_col).alias("page_id"),
+        F.col(url_col).alias("url"),
+        F.element_at(sections_of(url_col), -1).alias("folder"),
+        text_or_empty(html_col).alias("html"),
+    ).join(known, "folder", "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

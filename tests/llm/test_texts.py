@@ -70,6 +70,22 @@ def test_boilerplate_inside_articles_is_deleted(spark):
     assert got[50] == "" and got[51] == "Text 1"
 
 
+def test_template_of_a_section_of_a_large_host(spark):
+    menu = "<div><p>Menu of the section</p></div>"
+    rows = [(i, f"http://h.example/s/t/{i}{'/' * (i % 2)}?q=/x/", f"{menu}<p>Text {i}</p>") for i in range(10)]
+    rows += [(100 + i, f"http://H.example/{'o/' * (i % 3)}{i}", f"<p>Text {i}</p>" + "<p>Rare</p>" * (i < 6)) for i in range(90)]
+    rows += [(300 + i, f"http://h.example/copies/{i}", "<p>Same</p><p>page</p>") for i in range(20)]
+    rows += [(400, "http://h.example", menu), (401, "http://h.example/s/", menu), (402, None, menu)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.extract(frame).collect()}
+    assert len(got) == len(rows) and all(got[i].text == f"Text {i}" and got[i].n_template for i in range(10))
+    assert got[101].text == "Text 1\n\nRare" and all(got[300 + i].text == "Same\n\npage" for i in range(20))
+    assert all(got[i].text == "Menu of the section" for i in (400, 401, 402))
+    urls = ["http://u:p@H.example:80/A/b/c?x=/d/", "http://h.example/a/", "http://h.example", "nothing", None]
+    found = spark.createDataFrame([(u,) for u in urls], "url string").select(pages.sections_of("url").alias("s")).collect()
+    assert [r.s for r in found] == [["h.example", "h.example/a", "h.example/a/b"], ["h.example"], ["h.example"], [""], [""]]
+
+
 def test_articles_of_all_pages(spark):
     """The generated pages mark their article; a plain cut of it is the brute-force version."""
     import html
