@@ -4,8 +4,10 @@ A multinomial logistic regression over words and word pairs (MLlib, on data fram
 trained on perturbed notices of each licence family and, as the class ``unknown``, on
 ordinary paragraphs of the corpus and on sentences that only sound like notices. Its
 temperature is calibrated on held-out rows. A predicted family counts if the paragraph
-also contains most words of one of the family's templates. Only data-frame expressions
-and MLlib's models touch the texts.
+also contains most words of one of the family's templates, its numbers among them. Short
+forms, which are titles and SPDX identifiers, are told by their names alone. A notice may
+be one line or wrapped over adjoining lines. Only data-frame expressions and MLlib's
+models touch the texts.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, staged, text_or_empty
@@ -37,9 +39,11 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -59,8 +63,27 @@ LOOKALIKES = (
     "Redistribution of income is permitted under the following conditions.",
     "The creative commons of the village are open to the public domain.",
 )
-#: A paragraph without any of these is no candidate: every template has one.
-EVIDENCE = r"(?i)licen[cs]|permission|redistribut|\bpublic domain\b"
+_V = r"(?: version| v| license| licence)*"
+_GNU = r"(?:gnu {0} general public(?: license| licence)|{1}){2} (?:v)?{3}(?:\.0)?(?: {4})?|{1}-?v?{3}(?:\.0)?(?:-only|-or-later)?"
+#: Names of families, on words with single spaces between.
+NAMES = (
+    ("AGPL-3.0", _GNU.format("affero", "agpl", _V, "3", "19 november 2007")),
+    ("Apache-2.0", rf"apache(?: software)?{_V} v?2(?:\.0)?(?: january 2004)?|apache-2\.0"),
+    ("BSD", r"(?:(?:new|modified|simplified|revised) )?(?:[234][- ]clause )?bsd(?:[- ][234][- ]clause)?"),
+    ("CC0-1.0", r"cc0(?:[- ]1\.0)?(?: universal)?|creative commons(?: zero)?(?: v1\.0| 1\.0| cc0 1\.0) universal"),
+    ("CC-BY-4.0", r"cc[- ]by[- ]4\.0|creative commons attribution 4\.0"),
+    ("CC-BY-NC-4.0", r"cc[- ]by-nc[- ]4\.0|creative commons attribution[- ]non-?commercial 4\.0"),
+    ("CC-BY-SA-4.0", r"cc[- ]by-sa[- ]4\.0|creative commons attribution[- ]share-?alike 4\.0"),
+    ("GPL-2.0", _GNU.replace("{0} ", "").format("", "gpl", _V, "2", "june 1991")),
+    ("GPL-3.0", _GNU.replace("{0} ", "").format("", "gpl", _V, "3", "29 june 2007")),
+    ("LGPL-3.0", _GNU.format("lesser", "lgpl", _V, "3", "29 june 2007")),
+    ("MIT", r"mit|expat"),
+    ("MPL-2.0", rf"mozilla public{_V} 2\.0|mpl{_V}[- ]2\.0"),
+)
+#: What a title may have besides names.
+_FILLER = r"licen[cs]es?|licensed|under|the|terms|of|is|this|project|software|code|work|released|available|international|public"
+#: A paragraph without any of these is no candidate: every template and title has one.
+EVIDENCE = r"(?i)licen[cs]|permission|redistribut|\bpublic\s+domain\b|\bcreative\s+commons\b|\bcc0\b|\bcc[ -]by\b"
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -130,12 +153,25 @@ def _softmax(raw: str, temperature: float) -> Column:
     return F.transform(scaled, lambda x: x / total)
 
 
+def stated(words: str) -> Column:
+    """The family that an array of words names: after ``SPDX-License-Identifier``, or as a title,
+    which is names of one family and fillers only. Else null."""
+    text = F.array_join(words, " ")
+    title = text.rlike("licen[cs]|^creative commons|^cc")
+    marks = []
+    for family, name in NAMES:
+        marks.append(F.when(text.rlike(rf"(?:^| )spdx-license-identifier (?:{name})(?: |$)"), family))
+        marks.append(F.when(title & text.rlike(rf"^(?:(?:{_FILLER}) )*(?:{name})(?: (?:{_FILLER}|{name}))*$"), family))
+    return F.coalesce(*marks)
+
+
 def classify(paragraphs: DataFrame, model: Model, min_probability: float = 0.5, min_overlap: float = 0.8) -> DataFrame:
     """Adds ``family, probability`` to rows with a column ``paragraph``.
 
     The family is ``unknown`` if the most probable one is, has less than
     ``min_probability``, or has no template of whose distinct words the paragraph contains
-    ``min_overlap``.
+    ``min_overlap``, and all numbers. A paragraph that states its family by name has that
+    one, with probability 1.
     """
     rows = paragraphs.withColumn("words", tokens("paragraph")).withColumn("grams", grams("words"))
     scored = model.regression.transform(model.vectorizer.transform(rows))
@@ -143,14 +179,63 @@ def classify(paragraphs: DataFrame, model: Model, min_probability: float = 0.5,
     scored = scored.withColumn("probability", F.array_max("chances"))
     best = F.get(F.array(*map(F.lit, model.families)), F.array_position("chances", F.col("probability")).cast("int") - 1)
     alike = [
-        (F.col("best") == family) & (F.size(F.array_intersect("words", own)) >= F.size(own) * min_overlap)
+        (F.col("best") == family)
+        & (F.size(F.array_intersect("words", own)) >= F.size(own) * min_overlap)
+        & (F.size(F.array_except(F.filter(own, lambda w: w.rlike(r"^[0-9.]+$")), "words")) == 0)
         for family, own in ((f, F.array_distinct(tokens(F.lit(t)))) for f, t in TEMPLATES)
     ]
     sure = (F.col("probability") >= min_probability) & F.array_contains(F.array(*alike), True)
-    scored = scored.withColumn("best", best).withColumn("family", F.when(sure, F.col("best")).otherwise(UNKNOWN))
+    scored = scored.withColumn("best", best).withColumn("named", stated("words"))
+    scored = scored.withColumn("family", F.when(F.col("named").isNotNull(), F.col("named")).when(sure, F.col("best")).otherwise(UNKNOWN))
+    scored = scored.withColumn("probability", F.when(F.col("named").isNotNull(), 1.0).otherwise(F.col("probability")))
     return scored.select(*paragraphs.columns, "family", "probability")
 
 
+def _wrapped(lines: DataFrame, inner: int = 60, reach: int = 40) -> DataFrame:
+    """``id, hash, first, last, paragraph``: the adjoining lines that could be one wrapped notice.
+
+    ``lines`` has ``id, hash, line, paragraph``. A line without words ends a run. A notice is
+    at most ``inner`` words on its lines between the first and the last, of which it has the
+    last and the first ``reach`` words; templates are shorter.
+    """
+    rows = lines.withColumn("words", tokens("paragraph")).withColumn("n", F.size("words")).where("n > 0")
+    # Of a long line only its ends can belong to a notice that goes on.
+    ends = F.concat(F.slice("words", 1, reach), F.slice("words", -reach, reach))
+    rows = rows.withColumn("words", F.when(F.col("n") > 2 * reach, ends).otherwise(F.col("words")))
+    order = Window.partitionBy("id", "hash").orderBy("line")
+    rows = rows.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    following = F.collect_list(F.struct("line", "n", "upto", "words")).over(order.rowsBetween(0, inner + 1))
+    rows = rows.withColumn("next", following)
+    more = F.filter("next", lambda e, k: (k > 0) & (e["line"] == F.col("line") + k) & (e["upto"] - e["n"] - F.col("upto") <= inner))
+    rows = rows.select("id", "hash", "line", "words", "next", F.explode(F.transform(more, lambda e: e["line"])).alias("last"))
+    between = F.flatten(F.transform(F.slice("next", F.lit(2), F.col("last") - F.col("line") - 1), lambda e: e["words"]))
+    tail = F.slice("words", -F.least(F.size("words"), F.lit(reach)), F.lit(reach))
+    head = F.slice(F.get("next", F.col("last") - F.col("line"))["words"], 1, reach)
+    text = F.array_join(F.concat(tail, between, head), " ")
+    rows = rows.select("id", "hash", F.col("line").alias("first"), "last", text.alias("paragraph"))
+    return rows.where(F.col("paragraph").rlike(EVIDENCE))
+
+
+def _noticed(found: DataFrame) -> DataFrame:
+    """Of classified lines and wrapped paragraphs, ``id, hash, line, family, probability``: the
+    shortest that have a family, and the unknown lines outside of them."""
+    own = Window.partitionBy("id", "hash")
+    known = found.where(F.col("family") != UNKNOWN)
+    best = F.row_number().over(Window.partitionBy("id", "hash", "first").orderBy("last"))
+    known = known.withColumn("rank", best).where("rank = 1").drop("rank")
+    later = F.min("last").over(own.orderBy("first").rowsBetween(1, Window.unboundedFollowing))
+    known = known.withColumn("later", later).where("later is null or later > last").drop("later")
+    # Paragraphs of a family that overlap are one notice, at the first of them.
+    before = F.lag("last").over(Window.partitionBy("id", "hash", "family").orderBy("first"))
+    known = known.withColumn("goes_on", F.coalesce(before >= F.col("first"), F.lit(False)))
+    lines = found.where((F.col("family") == UNKNOWN) & (F.col("first") == F.col("last"))).withColumn("goes_on", F.lit(False))
+    every = known.unionByName(lines)
+    reached = F.max(F.when(F.col("family") != UNKNOWN, F.col("last"))).over(own.orderBy("first").rangeBetween(Window.unboundedPreceding, 0))
+    every = every.withColumn("reached", reached)
+    every = every.where((F.col("family") != UNKNOWN) | F.col("reached").isNull() | (F.col("reached") < F.col("first")))
+    return every.where(~F.col("goes_on")).select("id", "hash", F.col("first").alias("line"), "family", "probability")
+
+
 def find_licences(
     docs: DataFrame,
     model: Model,
@@ -163,9 +248,10 @@ def find_licences(
 
     Paragraphs are lines with a character other than white space. ``notices`` is an array
     of structs ``line, family, probability``, by line, of the paragraphs with a word of
-    ``EVIDENCE``; ``unknown`` ones included. A null text has none. Rows that repeat id and
+    ``EVIDENCE``; ``unknown`` ones included. A notice wrapped over adjoining lines, none of
+    which is one by itself, counts once, at its first line, instead of its lines. A null text has none. Rows that repeat id and
     text get equal results, a null id is an id like any other, other columns are not read.
-    Each paragraph is classified by itself, whole. An empty table yields an empty result.
+    Each line is classified by itself, whole. An empty table yields an empty result.
     """
     split = F.split(text_or_empty(text_col), "\n")
     numbered = F.transform(split, lambda line, i: F.struct(i.alias("line"), line.alias("paragraph")))
@@ -173,11 +259,14 @@ def find_licences(
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("hash"),
         F.size(F.filter(split, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"),
-        F.when(F.col(text_col).rlike(EVIDENCE), F.filter(numbered, lambda p: p["paragraph"].rlike(EVIDENCE))).alias("candidates"),
+        F.when(F.col(text_col).rlike(EVIDENCE), numbered).alias("candidates"),
     )
     rows = staged(rows, "candidates")
     each = rows.select("id", "hash", F.explode("candidates").alias("c")).select("id", "hash", "c.line", "c.paragraph")
-    found = classify(each.dropDuplicates(["id", "hash", "line"]), model, min_probability, min_overlap)
+    each = each.dropDuplicates(["id", "hash", "line"])
+    single = each.where(F.col("paragraph").rlike(EVIDENCE)).select("id", "hash", F.col("line").alias("first"), F.col("line").alias("last"), "paragraph")
+    paragraphs = staged(single.unionByName(_wrapped(each)), "paragraphs")
+    found = _noticed(staged(classify(paragraphs, model, min_probability, min_overlap), "classified"))
     notice = F.struct("line", "family", "probability")
     found = found.groupBy(F.col("id").alias("of"), F.col("hash").alias("of_hash")).agg(F.array_sort(F.collect_list(notice)).alias("notices"))
     both = rows.join(found, F.expr("id <=> of") & (F.col("hash") == F.col("of_hash")), "left")

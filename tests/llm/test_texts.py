@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -267,6 +268,37 @@ def test_licences(spark):
     assert right >= 0.85 * n and wrong <= 0.03 * n
 
 
+def test_wrapped_and_short_licences(spark):
+    wrap = lambda text, width, mark="": "\n".join(mark + line for line in textwrap.wrap(text, width))
+    mit = (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, and sell copies."
+    )
+    gnu = (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+        "the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    )
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    want = {
+        wrap(mit, 70): [(0, "MIT")], "Some prose.\n\n" + wrap(mit, 40, "# "): [(2, "MIT")], wrap(bsd, 60, " * ") + "\n *\n * more": [(0, "BSD")],
+        wrap(gnu.format("", 2), 72): "GPL-2.0", wrap(gnu.format("", 3), 72): "GPL-3.0", wrap(gnu.format("Lesser ", 3), 72): "LGPL-3.0",
+        wrap(gnu.format("Lesser ", "2.1"), 72): "unknown", wrap(gnu.format("Affero ", 3), 50): "AGPL-3.0",
+        "Apache License\nVersion 2.0, January 2004": [(0, "Apache-2.0")], "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": [(0, "GPL-3.0")],
+        "MIT License": "MIT", "The MIT License (MIT)": "MIT", "License: MIT": "MIT", "Apache License 2.0": "Apache-2.0", "BSD 3-Clause License": "BSD",
+        "// SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "/* SPDX-License-Identifier: BSD-3-Clause */": "BSD",
+        "SPDX-License-Identifier: Zed-1.0": "unknown", "Mozilla Public License Version 2.0": "MPL-2.0", "CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "She has a license from MIT and a car.": "unknown", "The fishing license\nwas lost": "unknown", "MIT License or Apache License 2.0": "unknown",
+    }
+    rows = list(enumerate(want))
+    model = licences.train(spark.read.parquet(f"{SF}/documents.parquet"), max_paragraphs=300)
+    got = {r.doc_id: [(n.line, n.family) for n in r.notices] for r in licences.find_licences(documents(spark, rows), model).collect()}
+    for i, text in rows:
+        if isinstance(want[text], list):
+            assert got[i] == want[text], text
+        else:
+            assert {f for _, f in got[i]} == {want[text]}, (text, got[i])
+
+
 # Credentials
 
 CREDENTIALS = [
