@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontamination, licences, lines, mixing, pages, quality, simhash, suffixes, warc
+from . import credentials, decontamination, licences, lines, mixing, naming, pages, quality, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = naming.exact_groups(_table(spark, sf_dir, "documents"), block_bytes=1024)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_suffixes": op2_suffixes,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_licences": op9_licences,
     "op10_secrets": op10_secrets,
+    "op11_naming": op11_naming,
 }
 
 #: SQL for a second engine, where SQL can express the operator.
@@ -103,4 +109,5 @@ SQL: dict[str, str] = {
     "op3_warc": warc.sql("pages"),
     "op7_lines": lines.sql("documents"),
     "op8_mixing": mixing.sql("documents"),
+    "op11_naming": naming.sql("documents"),
 }
