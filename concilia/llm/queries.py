@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontamination, licences, lines, mixing, naming, pages, quality, simhash, suffixes, warc
+from . import credentials, decontamination, licences, lines, mixing, naming, pages, phrases, quality, ranking, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,15 @@ def op11_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), most=3, least=10, absorbed=50, top=2000)
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranking.best_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_suffixes": op2_suffixes,
@@ -102,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licences": op9_licences,
     "op10_secrets": op10_secrets,
     "op11_naming": op11_naming,
+    "op12_phrases": op12_phrases,
+    "op13_ranking": op13_ranking,
 }
 
 #: SQL for a second engine, where SQL can express the operator.
@@ -110,4 +121,6 @@ SQL: dict[str, str] = {
     "op7_lines": lines.sql("documents"),
     "op8_mixing": mixing.sql("documents"),
     "op11_naming": naming.sql("documents"),
+    "op12_phrases": phrases.sql("documents"),
+    "op13_ranking": ranking.sql("documents", "benchmark"),
 }
