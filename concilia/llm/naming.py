@@ -132,9 +132,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = staged(identities(docs, id_col, text_col, block_bytes, mark_bits), "identities")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     groups = known.groupBy("level", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    return known.join(groups, ["level", "name"]).select(
-        "id", F.col("first.id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256",
+    # Written, so that the lookup is a join of its own, which adaptive execution can split.
+    groups = staged(groups.where("group_size > 1"), "groups")
+    first = F.when(F.col("group_size") > 1, F.col("first"))
+    return known.join(groups, ["level", "name"], "left").select(
+        "id",
+        F.when(first.isNull(), F.col("id")).otherwise(first["id"]).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.coalesce(F.col("row") == first["row"], F.lit(True)).alias("kept"),
+        "text_sha256",
     )
 
 
