@@ -1,21 +1,21 @@
 """Line dedup by winnowing: repeated runs of lines lose all but their first occurrence.
 
-A window is the shortest run of lines from a line on that has ``min_words`` words. Each
-window guarantees one fingerprint, its smallest line hash: equal windows choose the same
-line. Positions meet at the fingerprint; they match as far as the lines around it agree
-over the whole window, which the hash of the window's lines decides; and windows that
-follow each other make a run. Nothing shorter than ``min_words`` words is found. Of a
-longer run these windows leave out the last lines where the window that would hold them
-jumps past the run's end. With ``whole`` the shortest run of lines *up to* a line is a
-window too: any line of a repeated run lies in the window from it on or, if that leaves
-the run, in the one up to the run's last line. Then every line of every run of at least
-``min_words`` words that occurs earlier is found.
+A window is a shortest run of lines with ``min_words`` words, from a line on or up to a
+line. Each window guarantees one fingerprint, its smallest line hash: equal windows choose
+the same line. Only the chosen lines' hashes are joined at first; most occur once and are
+done with. Where a chosen line meets its like, the match is extended both ways: the windows
+from lines before it on and up to lines after it are compared by their whole content. Any
+line of a repeated run lies in the window from it on or, if that leaves the run, in the one
+up to the run's last line. So every line of every run of at least ``min_words`` words that
+occurs earlier is found, and nothing shorter.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -32,102 +32,108 @@ def _lines(text: str) -> tuple[list[bytes], list[int]]:
     return lines, [i for i, line in enumerate(lines) if line]
 
 
-def windows(text: str, min_words: int, whole: bool = False) -> Iterator[tuple[int, int, int, int]]:
-    """``(fingerprint, content, first line, last line)`` of each window; signed 64-bit hashes."""
-    known: set[tuple[int, int]] = set()
-    for window in _windows_from(text, min_words):
-        if whole:
-            known.add(window[2:])
-        yield window
-    if whole:
-        yield from (w for w in _windows_to(text, min_words) if w[2:] not in known)
+def marked(text: str) -> tuple[bytes, list[int]]:
+    """The hashes of a text's lines with words, 16 bytes each, and how many words they have."""
+    lines, places = _lines(text)
+    return b"".join(xxhash.xxh3_128_digest(lines[i]) for i in places), [len(lines[i].split()) for i in places]
 
 
-def _windows_to(text: str, min_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """The shortest windows up to each line."""
-    lines, places = _lines(text)
-    words = [len(lines[i].split()) for i in places]
-    marks = [xxhash.xxh3_128_digest(lines[i]) for i in places]
-    start, total = 0, 0
-    for end in range(len(places)):
-        total += words[end]
-        while total - words[start] >= min_words:
-            total -= words[start]
-            start += 1
-        if total >= min_words:
-            own = marks[start : end + 1]
-            content = xxhash.xxh64_digest(b"".join(own))
-            yield (
-                int.from_bytes(min(own)[:8], "big", signed=True), int.from_bytes(content, "big", signed=True),
-                places[start], places[end],
-            )
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """First and last line of each window: from every line on, and up to every line."""
+    upto = [0, *accumulate(words)]
+    ends = [bisect_left(upto, before + min_words) for before in upto[:-1]]
+    onward = [(i, end - 1) for i, end in enumerate(ends) if end < len(upto)]
+    back = [(bisect_right(upto, after - min_words) - 1, i) for i, after in enumerate(upto[1:]) if after >= min_words]
+    return list(dict.fromkeys(onward + back))
 
 
-def _windows_from(text: str, min_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """The shortest windows from each line on."""
-    lines, places = _lines(text)
-    words = [len(lines[i].split()) for i in places]
-    marks = [xxhash.xxh3_128_digest(lines[i]) for i in places]
-    least: deque[int] = deque()
-    end, total = 0, 0
-    for start in range(len(places)):
-        while end < len(places) and total < min_words:
-            while least and marks[least[-1]][:8] >= marks[end][:8]:
-                least.pop()
-            least.append(end)
-            total += words[end]
-            end += 1
-        if total < min_words:
-            return
-        while least[0] < start:
-            least.popleft()
-        content = xxhash.xxh64_digest(b"".join(marks[start:end]))
-        yield (
-            int.from_bytes(marks[least[0]][:8], "big", signed=True), int.from_bytes(content, "big", signed=True),
-            places[start], places[end - 1],
-        )
-        total -= words[start]
-
-
-def _positions(docs: DataFrame, id_col: str, text_col: str, min_words: int, whole: bool) -> DataFrame:
-    """``fingerprint, content, id, hash, first, last`` of every window."""
+def least_lines(marks: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The smallest line hash (its first 8 bytes, signed) of each window, and where it is."""
+    own = [(int.from_bytes(marks[i : i + 8], "big", signed=True), i // 16) for i in range(0, len(marks), 16)]
+    return [min(own[first : last + 1]) for first, last in found]
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, hash, marks, words`` of every text with lines; 16 bytes and a count per line."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), text_or_empty(text_col).alias("text"))
-    names = ["fingerprint", "content", "id", "hash", "first", "last"]
+    schema = T.StructType().add(rows.schema["id"]).add("hash", "long").add("marks", "binary").add("words", T.ArrayType(T.IntegerType()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, found = [], []
-            for i, text in enumerate(batch.column("text")):
-                own = list(windows(text.as_py(), min_words, whole))
-                found += own
-                owner += [i] * len(own)
-            fingerprint, content, first, last = zip(*found) if found else [()] * 4
-            own = pa.array(owner, pa.int64())
+            found = [marked(text.as_py()) for text in batch.column("text")]
+            marks, words = pa.array([m for m, _ in found], pa.binary()), pa.array([w for _, w in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), marks, words], schema.names)
+
+    return rows.mapInArrow(each, schema)
+
+
+def _chosen(lines: DataFrame, min_words: int) -> DataFrame:
+    """``id, hash, fingerprint, places``: the lines that windows choose, and at how many places."""
+    schema = T.StructType().add(lines.schema["id"]).add("hash", "long").add("fingerprint", "long").add("places", "long")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, chosen, places = [], [], []
+            for i, (marks, words) in enumerate(zip(batch.column("marks"), batch.column("words"))):
+                marks = marks.as_py()
+                counts = Counter(least for least, _ in set(least_lines(marks, windows(words.as_py(), min_words))))
+                owner += [i] * len(counts)
+                chosen += counts.keys()
+                places += counts.values()
+            at = pa.array(owner, pa.int64())
+            own = [batch.column("id").take(at), batch.column("hash").take(at)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(chosen, pa.int64()), pa.array(places, pa.int64())], schema.names)
+
+    return lines.mapInArrow(each, schema)
+
+
+def _extended(lines: DataFrame, min_words: int) -> DataFrame:
+    """``fingerprint, content, id, hash, first, last``: of texts with ``hits``, the windows that
+    choose one of these, each with a hash of its whole content."""
+    schema = T.StructType().add("fingerprint", "long").add("content", "binary").add(lines.schema["id"]).add("hash", "long")
+    schema = schema.add("first", "integer").add("last", "integer")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for i, (marks, words, hits) in enumerate(zip(*(batch.column(c) for c in ("marks", "words", "hits")))):
+                marks, hits = marks.as_py(), set(hits.as_py())
+                found = windows(words.as_py(), min_words)
+                for (least, _), (first, last) in zip(least_lines(marks, found), found):
+                    if least in hits:
+                        owner.append(i)
+                        rows.append((least, xxhash.xxh3_128_digest(marks[first * 16 : last * 16 + 16]), first, last))
+            fingerprint, content, first, last = zip(*rows) if rows else [()] * 4
+            at = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(fingerprint, pa.int64()), pa.array(content, pa.int64()), batch.column("id").take(own),
-                    batch.column("hash").take(own), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
+                    pa.array(fingerprint, pa.int64()), pa.array(content, pa.binary()), batch.column("id").take(at),
+                    batch.column("hash").take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
                 ],
-                names,
+                schema.names,
             )
 
-    schema = T.StructType().add("fingerprint", "long").add("content", "long").add(rows.schema["id"]).add("hash", "long")
-    return rows.mapInArrow(each, schema.add("first", "integer").add("last", "integer"))
+    return lines.mapInArrow(each, schema)
 
 
-def repeated_runs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, whole: bool = False
-) -> DataFrame:
-    """``id, hash, runs``: per text the windows (first and last line) that occur earlier.
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+    """``id, hash, runs``: per text the windows (first and last line with words) that occur earlier.
 
-    Earlier is a smaller id or, in one text, a smaller line. The first occurrence of each
-    window comes from a partial minimum; the others look it up in a join that adaptive
-    execution can split, so a passage that a third of all texts share is no single group.
+    Earlier is a smaller id or, in one text, a smaller line. How often a line is chosen comes
+    from partial sums, and the first occurrence of a window from a partial minimum; both are
+    looked up in joins that adaptive execution can split, so a passage that a third of all
+    texts share is no single group.
     """
-    found = staged(_positions(docs, id_col, text_col, min_words, whole), "windows")
+    lines = staged(_marked(docs, id_col, text_col), "lines")
+    chosen = staged(_chosen(lines, min_words), "chosen")
+    often = chosen.groupBy("fingerprint").agg(F.sum("places").alias("n")).where("n > 1")
+    met = chosen.join(staged(often.select("fingerprint"), "met"), "fingerprint")
+    met = met.groupBy(F.col("id").alias("of"), F.col("hash").alias("of_hash")).agg(F.collect_set("fingerprint").alias("hits"))
+    some = lines.join(staged(met, "hits"), F.expr("id <=> of and hash = of_hash")).select("id", "hash", "marks", "words", "hits")
+    found = staged(_extended(some, min_words), "windows")
     place = F.struct("id", "hash", "first")
     first = found.groupBy("fingerprint", "content").agg(F.min(place).alias("origin"), F.count("*").alias("n"))
-    first = first.where(F.col("n") > 1).drop("n")
+    first = staged(first.where(F.col("n") > 1).select("fingerprint", "content", "origin"), "origins")
     later = found.join(first, ["fingerprint", "content"]).where(place > F.col("origin"))
     return later.groupBy("id", "hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
@@ -141,6 +147,7 @@ def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int, int]
     lines, places = _lines(text)
     gone = bytearray(len(lines))
     for first, last in runs:
+        first, last = places[first], places[last]
         gone[first : last + 1] = b"\x01" * (last + 1 - first)
     removed = [gone[i] for i in places]
     n_runs = sum(1 for before, now in zip([0, *removed], removed) if now and not before)
@@ -151,7 +158,7 @@ def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int, int]
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, whole: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50
 ) -> DataFrame:
     """Every row of ``docs`` as a struct ``row``, with ``kept_text, n_lines, n_removed, n_runs``.
 
@@ -159,10 +166,9 @@ def dedup_lines(
     nothing. A null text is empty. Rows of one id are told apart by their texts; rows that
     repeat id and text count as one occurrence and get equal results; a null id is the
     smallest. Whole texts are read, whatever their length. Columns may have any name. An
-    empty table yields an empty result. ``whole`` removes repeated runs to their last line;
-    without it the result is that of ``sql``.
+    empty table yields an empty result.
     """
-    runs = staged(repeated_runs(docs, id_col, text_col, min_words, whole), "runs")
+    runs = staged(repeated_runs(docs, id_col, text_col, min_words), "runs")
     runs = runs.select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "runs")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     # A merge join at every size: whether the runs are few must not decide how texts travel.
@@ -193,7 +199,8 @@ with raw as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) li
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from {table}),
 l as (select *, regexp_replace(line, '^{white}+|{white}+$', '', 'g') k, len(regexp_extract_all(line, '{WORDS}')) w from raw),
 s as (select *, row_number() over (partition by doc_id order by pos) i, sum(w) over (partition by doc_id order by pos) upto from l where w > 0),
-w as (select a.doc_id, a.i, a.pos first, b.i j, b.pos last from s a asof join s b on a.doc_id = b.doc_id and b.upto >= a.upto - a.w + {min_words}),
+w as (select a.doc_id, a.i, a.pos first, b.i j, b.pos last from s a asof join s b on a.doc_id = b.doc_id and b.upto >= a.upto - a.w + {min_words}
+    union select a.doc_id, b.i, b.pos, a.i, a.pos from s a asof join s b on a.doc_id = b.doc_id and b.upto - b.w <= a.upto - {min_words}),
 c as (select w.doc_id, w.i, first, last, string_agg(s.k, chr(10) order by s.i) content
     from w join s on s.doc_id = w.doc_id and s.i between w.i and w.j group by all),
 f as (select *, row_number() over (partition by content order by doc_id, i) n from c),

@@ -97,24 +97,20 @@ def test_components_of_chains_and_hubs(spark):
 
 
 def brute_lines(rows, min_words=50):
-    """Lines that lie in a run of min_words words which occurs earlier."""
+    """Lines that lie in any run of min_words words or more which occurs earlier."""
     keys = sorted({(i is not None, i or 0, t or "") for i, t, *_ in rows}, key=lambda k: (k[0], k[1], xx(k[2])))
     seen, out = set(), {}
     for key in keys:
         parts = [p.strip(" \t\n\r\x0b\x0c") for p in key[2].split("\n")]
         places = [n for n, p in enumerate(parts) if p]
-        gone = set()
+        words, gone = [len(parts[n].encode().split()) for n in places], set()
         for s in range(len(places)):
-            total, e = 0, s
-            while e < len(places) and total < min_words:
-                total += len(parts[places[e]].encode().split())
-                e += 1
-            if total < min_words:
-                break
-            content = tuple(parts[n] for n in places[s:e])
-            if content in seen:
-                gone |= set(range(places[s], places[e - 1] + 1))
-            seen.add(content)
+            for e in range(s + 1, len(places) + 1):
+                if sum(words[s:e]) >= min_words:
+                    content = tuple(parts[n] for n in places[s:e])
+                    if content in seen:
+                        gone |= set(range(places[s], places[e - 1] + 1))
+                    seen.add(content)
         left = [n for n in places if n not in gone]
         kept = key[2] if not gone else "\n".join(p for n, p in enumerate(key[2].split("\n")) if n not in gone) if left else ""
         out[key] = (len(places), len(places) - len(left), kept)
@@ -142,27 +138,11 @@ def test_a_long_line_is_a_window_by_itself(spark):
     assert {r.row.doc_id: r.kept_text for r in got} == {1: f"a\n{long}\nb", 2: "c\nd", 3: "", 4: "a\nb\nc"}
 
 
-def brute_runs(rows, min_words=50):
-    """How many lines lie in any run of min_words words or more that occurs earlier."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        parts = [p.strip() for p in text.split("\n") if p.strip()]
-        words, gone = [len(p.split()) for p in parts], set()
-        for s in range(len(parts)):
-            for e in range(s + 1, len(parts) + 1):
-                if sum(words[s:e]) >= min_words:
-                    if tuple(parts[s:e]) in seen:
-                        gone |= set(range(s, e))
-                    seen.add(tuple(parts[s:e]))
-        out[i] = len(gone)
-    return out
-
-
 def test_whole_runs_go_to_their_last_line(spark):
     line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     run = [line("a", 45), line("b", 10), line("c", 30)]
     rows = [(1, "\n".join([line("x", 9), *run, line("y", 70)])), (2, "\n".join([line("p", 60), *run, "", line("q", 60)]))]
-    got = {r.row.doc_id: r for r in lines.dedup_lines(documents(spark, rows), whole=True).collect()}
+    got = {r.row.doc_id: r for r in lines.dedup_lines(documents(spark, rows)).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed == 3
     assert got[2].kept_text == "\n".join([line("p", 60), "", line("q", 60)])
     rng = random.Random(12)
@@ -171,8 +151,17 @@ def test_whole_runs_go_to_their_last_line(spark):
     for i in range(60):
         at = rng.randrange(8)
         rows.append((i, "\n".join([line(f"d{i}_", rng.randint(1, 60)), *pool[at : at + rng.randint(1, 6)], line(f"e{i}_", rng.randint(1, 60))])))
-    got = {r.row.doc_id: r.n_removed for r in lines.dedup_lines(documents(spark, rows), whole=True).collect()}
-    assert got == brute_runs(rows) and got != {k[1]: v[1] for k, v in brute_lines(rows).items()}
+    got = {r.row.doc_id: r.n_removed for r in lines.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {k[1]: v[1] for k, v in brute_lines(rows).items()} and sum(got.values()) > 50
+
+
+def test_only_lines_that_meet_are_extended(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(i, "\n".join(line(f"d{i}l{k}w", 20) for k in range(30))) for i in range(5)] + [(9, line("d0l1w", 20) + "\n" + line("x", 60))]
+    found = lines._chosen(lines._marked(documents(spark, rows), "doc_id", "text"), 50)
+    chosen = found.groupBy("id").agg(F.sum("places").alias("n")).where("id < 5").collect()
+    assert all(5 <= r.n <= 29 for r in chosen)  # some of 30 lines, each window one of them
+    assert lines.repeated_runs(documents(spark, rows)).count() == 0
 
 
 def brute_bytes(rows, width):
