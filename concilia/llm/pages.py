@@ -45,37 +45,60 @@ _ENDS = {
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
 }
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
+#: Names of boilerplate, and of parts of it. A class or id is boilerplate if all its words are
+#: among these and at least one is of the first kind: ``ad-slot``, ``site-footer``; but not
+#: ``has-sidebar``, ``no-ad``, ``market-share``.
 _NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
-    "consent", "gdpr", "notice", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "sidebar", "navbar", "nav",
-    "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "comment", "comments", "disqus", "respond", "replies",
-    "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "footer", "masthead", "skip", "login", "signup",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie",
+    "cookies", "consent", "gdpr", "notice", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "sidebar", "navbar", "nav",
+    "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "share", "sharing", "social", "related", "recommended", "widget",
+    "widgets", "toolbar", "footer", "masthead", "skip", "login", "signup",
 }
+_PARTS = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cards", "col", "column", "container", "content",
+    "dialog", "fixed", "form", "global", "header", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "main", "media",
+    "module", "outer", "page", "panel", "policy", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot",
+    "sticky", "stories", "articles", "text", "to", "tools", "top", "unit", "wrap", "wrapper", "of", "the", "your", "us", "our",
+}
+#: Readers' comments go even if each is marked as an article.
+_COMMENTS = {"comment", "comments", "disqus", "respond", "replies", "reply"}
+_TOKEN_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Element:
-    __slots__ = ("tag", "drop", "article", "inside", "first", "parts", "holds")
+    __slots__ = ("tag", "drop", "named", "article", "inside", "first", "parts", "holds")
 
-    def __init__(self, tag: str, drop: bool, article: bool, inside: bool, first: int):
-        self.tag, self.drop, self.article, self.inside, self.first = tag, drop, article, inside, first
+    def __init__(self, tag: str, drop: bool, named: bool, article: bool, inside: bool, first: int):
+        self.tag, self.drop, self.named, self.article, self.inside, self.first = tag, drop, named, article, inside, first
         self.parts: list[str] = []
         self.holds = False
 
 
-def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _DROPPED or tag == "header" and not inside:
-        return True
-    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), max(values).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not _NAMES.isdisjoint(_WORD.findall(value)):
-            return True
-        if name in ("class", "id") and tag in ("article", "section") and {"comment", "comments"} & set(_WORD.findall(value)):
+def _named(value: str, names: set[str]) -> bool:
+    """Whether one of the names in a class or id is made up of ``names`` and parts only."""
+    for token in value.split():
+        words = {w.lower() for w in _TOKEN_WORD.findall(token)}
+        if words and not names.isdisjoint(words) and words <= names | _PARTS:
             return True
     return False
 
 
+def _judged(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its tag, role or state, and whether by its name."""
+    if tag in _DROPPED or tag == "header" and not inside:
+        return True, False
+    named = False
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), max(values)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            if _named(value, _COMMENTS):
+                return True, False
+            named |= tag != "article" and _named(value, _NAMES)
+    return False, named
+
+
 def _is_article(tag: str, attributes: str) -> bool:
     if tag in ("article", "main"):
         return True
@@ -86,7 +109,7 @@ class Page:
     """Blocks of a page, and the element subtrees that contain them.
 
     ``blocks``: ``(text, in_article, kept)`` in page order, ``kept`` unless the block is
-    boilerplate by tag, role or class. ``spans``: ``(hash, first, end)``, the range of blocks
+    boilerplate by tag, role or name. ``spans``: ``(hash, first, end)``, the range of blocks
     in each subtree outside articles, ``inner`` inside; no hash is in both. ``subtrees``: the
     hashes.
     """
@@ -95,8 +118,9 @@ class Page:
         self.blocks: list[tuple[str, bool, bool]] = []
         self.spans: list[tuple[int, int, int]] = []
         self.inner: list[tuple[int, int, int]] = []
-        self._stack = [_Element("#", False, False, False, 0)]
+        self._stack = [_Element("#", False, False, False, False, 0)]
         self._text: list[str] = []
+        self._nominated: list[tuple[int, int]] = []
         at = 0
         while match := _TAG.search(source, at):
             if match.start() > at:
@@ -117,8 +141,19 @@ class Page:
         while len(self._stack) > 1:
             self._close()
         self._flush()
+        self._drop_nominated()
         self.subtrees = {mark for mark, _, _ in self.spans + self.inner}
 
+    def _drop_nominated(self) -> None:
+        """An element that is boilerplate by its name goes, unless it holds an article or half
+        of the page's text: then the name tells of the page, not of the element."""
+        upto = [0]
+        for text, _, kept in self.blocks:
+            upto.append(upto[-1] + len(text) * kept)
+        gone = {i for first, end in self._nominated if 2 * (upto[end] - upto[first]) < upto[-1] for i in range(first, end)}
+        if gone:
+            self.blocks = [(text, inside, kept and i not in gone) for i, (text, inside, kept) in enumerate(self.blocks)]
+
     def rests(self) -> list[tuple[int | None, int, bool]]:
         """``(hash, rest, inside)`` of each subtree: a hash of the kept texts without it, inside
         an article of those of the articles; and, under a null hash, of all kept texts."""
@@ -150,7 +185,7 @@ class Page:
         if tag in _INLINE:
             if tag == "br":
                 self._text.append(" ")
-            elif tag not in _VOID and _is_boilerplate(tag, attributes, True):
+            elif tag not in _VOID and any(_judged(tag, attributes, True)):
                 self._push(tag, attributes)
             return
         self._flush()
@@ -176,8 +211,9 @@ class Page:
         self._flush()
         top = self._stack[-1]
         article = not top.drop and _is_article(tag, attributes)
-        drop = top.drop or _is_boilerplate(tag, attributes, top.inside)
-        self._stack.append(_Element(tag, drop, article, not drop and (top.inside or article), len(self.blocks)))
+        drop, named = _judged(tag, attributes, top.inside)
+        drop |= top.drop
+        self._stack.append(_Element(tag, drop, named, article, not drop and (top.inside or article), len(self.blocks)))
 
     def _end(self, tag: str) -> None:
         if tag in _INLINE:
@@ -198,6 +234,8 @@ class Page:
         element = self._stack.pop()
         parent = self._stack[-1]
         parent.holds |= element.holds or element.article
+        if element.named and not element.drop and not element.holds:
+            self._nominated.append((element.first, len(self.blocks)))
         if not element.parts:
             return
         if element.holds or element.tag in ("html", "body", "head", "title"):
