@@ -158,6 +158,8 @@ def mix(
         F.struct("*").alias("row"), F.col(source_col).alias("of"), _key(id_col, seed).alias("key"), word_count(text_col).alias("size")
     )
     extra = (F.col("key") <= F.col("last_key")) | F.array_contains("extra_keys", F.col("key"))
+    # A source that is taken as often as allowed has nothing left to add, not even empty texts.
+    extra &= F.col("whole") < max_epochs
     return rows.join(per_source, F.expr("of <=> source")).select(
         "row", "size", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("copies")
     )
