@@ -25,7 +25,8 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.archived_pages(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    # Small ranges, so that the archives of these tables are really split.
+    read = warc.archived_pages(_table(spark, sf_dir, "pages"), min_revisit_bytes=0, split_bytes=1 << 19)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

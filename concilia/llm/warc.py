@@ -2,8 +2,10 @@
 
 Archives are gzip files with one member per record. A reading task gets a byte range: it
 looks for gzip magic, takes a candidate for a member if it decodes (checksum included) to
-a WARC header and a member or the file's end follows, and owns the records that start in
-its range, reading past the end for the last one. Files are opened through Arrow's file
+a WARC header, and owns the records that start in its range, reading past the end for the
+last one. A record inside another's payload is none: where nothing tells (no member before
+it, none after it), the file is read back for one that encloses it. Damaged members are
+passed over, their neighbours kept, and ``unread`` tells how many bytes that was. Files are opened through Arrow's file
 systems, by the address of the folder, local or remote.
 """
 
@@ -146,8 +148,9 @@ class _Range:
         found = self.data.find(MAGIC, at - self.start, min(end, self.size) - self.start + 2)
         return found + self.start if found >= 0 else -1
 
-    def member(self, at: int) -> tuple[bytes, int] | None:
-        """The content of the member at ``at`` and where it ends; None if there is none."""
+    def member(self, at: int) -> tuple[bytes, int, bool] | None:
+        """The content of the member at ``at``, where it ends, and whether a member or the
+        file's end follows; None if there is none, or it is damaged."""
         unpacker, out, position, size = zlib.decompressobj(31), [], at, 1 << 14
         try:
             while not unpacker.eof:
@@ -162,19 +165,33 @@ class _Range:
             return None
         content = b"".join(out)
         end = position - len(unpacker.unused_data)
-        follows = end == self.size or self.magic(end)
-        return (content, end) if follows and content.startswith(b"WARC/1.") else None
+        return (content, end, end == self.size or self.magic(end)) if content.startswith(b"WARC/1.") else None
+
+
+def _enclosed(file: pa.NativeFile, size: int, place: int) -> bool:
+    """Whether a member that starts before ``place`` reaches beyond it."""
+    for start in range((place - 1) // _CHUNK * _CHUNK, -1, -_CHUNK):
+        end = min(start + _CHUNK, place)
+        reader, at = _Range(file, size, start, end), start
+        while (at := reader.find(at, end)) >= 0:
+            found = reader.member(at)
+            if found and found[1] > place:
+                return True
+            at += 1
+    return False
 
 
-def records_in(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """``(offset, content)`` of the records that start in the byte range [start, end)."""
-    reader, at = _Range(file, size, start, end), start
+def records_in(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """``(offset, length, content)`` of the records that start in the byte range [start, end)."""
+    reader, at, known = _Range(file, size, start, end), start, 0
     while (at := reader.find(at, end)) >= 0:
-        if (found := reader.member(at)) is None:
+        found = reader.member(at)
+        # A member right after another, or with one after it, stands by itself.
+        if found is None or not (found[2] or at == known or not _enclosed(file, size, at)):
             at += 1
             continue
-        yield at, found[0]
-        at = found[1]
+        yield at, found[1] - at, found[0]
+        at = known = found[1]
         if at >= end:
             return
 
@@ -196,9 +213,9 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = 1 << 24) -> DataFrame:
-    """``path, offset, headers, http, payload`` of every record of the listed archives.
+    """``path, offset, length, headers, http, payload`` of every record of the listed archives.
 
-    ``manifest`` has ``path, bytes``. Files are cut into ranges of ``split_bytes``, so one
+    ``manifest`` has ``path, bytes``; ``length`` counts the record's bytes in the file. Files are cut into ranges of ``split_bytes``, so one
     large archive is read by many tasks; a task holds one range and one record. A range in
     which no record starts, and an empty list, yield nothing.
     """
@@ -206,7 +223,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = 1 << 24) -> DataFrame:
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     ).repartition(partitions(manifest.sparkSession))
     kinds = pa.map_(pa.string(), pa.string())
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("headers", kinds), ("http", kinds), ("payload", pa.binary())])
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("headers", kinds), ("http", kinds), ("payload", pa.binary())])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -217,9 +234,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = 1 << 24) -> DataFrame:
                 system, name = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with system.open_input_file(name) as file:
-                    for offset, content in records_in(file, size, start, min(size, start + split_bytes)):
+                    for offset, length, content in records_in(file, size, start, min(size, start + split_bytes)):
                         headers, http, payload = parsed(content)
-                        rows.append((path, offset, list(headers.items()), list(http.items()), payload))
+                        rows.append((path, offset, length, list(headers.items()), list(http.items()), payload))
                         held += len(content)
                         if held > 4 * _CHUNK:
                             yield batch_of(rows)
@@ -227,10 +244,20 @@ def read_archives(manifest: DataFrame, split_bytes: int = 1 << 24) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return ranges.mapInArrow(each, "path string, offset long, headers map<string,string>, http map<string,string>, payload binary")
+    return ranges.mapInArrow(each, "path string, offset long, length long, headers map<string,string>, http map<string,string>, payload binary")
+
+
+def unread(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """``path, bytes, n_records, unread_bytes`` per listed archive: what ``read_archives`` gave,
+    and the bytes that belong to no record it could read (0 for a sound file)."""
+    read = records.groupBy("path").agg(F.sum("length").alias("read"), F.count("*").alias("n"))
+    nothing = F.lit(0).cast("long")
+    return manifest.join(read, "path", "left").select(
+        "path", "bytes", F.coalesce("n", nothing).alias("n_records"), (F.col("bytes") - F.coalesce("read", nothing)).alias("unread_bytes")
+    )
 
 
-def archived_pages(pages: DataFrame, min_revisit_bytes: int = 0, split_bytes: int = 1 << 24, **columns: str) -> DataFrame:
+def archived_pages(pages: DataFrame, min_revisit_bytes: int = 0, split_bytes: int = 1 << 24, **columns) -> DataFrame:
     """Writes ``pages`` below the shared folder, reads the archives back, and returns
     ``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` per record.
 

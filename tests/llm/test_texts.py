@@ -142,8 +142,34 @@ def test_reader_at_any_split(tmp_path):
     with fs.LocalFileSystem().open_input_file(str(path)) as file:
         for split in (size, 97, 1000, 4096):
             found = [r for s in range(0, size, split) for r in warc.records_in(file, size, s, min(size, s + split))]
-            assert [at for at, _ in found] == starts
-            assert [warc.parsed(content)[2] for _, content in found] == payloads
+            assert [at for at, _, _ in found] == starts
+            assert [warc.parsed(content)[2] for _, _, content in found] == payloads
+            assert sum(length for _, length, _ in found) == size
+
+
+@pytest.mark.parametrize("split", [50, 200, 1 << 20])
+@pytest.mark.parametrize("damage", ["cut", "zeros", "stray", "flipped", "tail"])
+def test_damage_costs_no_other_record(spark, tmp_path, damage, split):
+    members = [warc._record(i, "u", bytes(f"payload {i} " * 20, "ascii"), "D", None, "d") for i in range(6)]
+    broken, lost = list(members), set()
+    if damage == "cut":
+        broken[2], lost = members[2][:-30], {2}
+    elif damage == "zeros":
+        broken[2] = members[2] + b"\0" * 16
+    elif damage == "stray":
+        broken[2] = members[2] + b"x"
+    elif damage == "flipped":
+        broken[2], lost = members[2][:60] + bytes([members[2][60] ^ 255]) + members[2][61:], {2}
+    else:
+        broken[5], lost = members[5][:-1], {5}
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(broken))
+    manifest = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, bytes long")
+    records = warc.read_archives(manifest, split)
+    got = sorted(r.headers["warc-record-id"] for r in records.collect())
+    assert got == [f"<urn:x-page:{i}>" for i in range(6) if i not in lost]
+    row = warc.unread(manifest, records).first()
+    assert row.n_records == len(got) and row.unread_bytes == path.stat().st_size - sum(len(m) for i, m in enumerate(members) if i not in lost)
 
 
 # Decontamination
@@ -378,6 +404,12 @@ def test_mixing(spark):
     assert mixing.repeated(once).count() == sum(g[5] for g in got)
 
 
+def test_wordless_rows_of_a_capped_source_are_taken_no_more_than_allowed(spark):
+    rows = [(i, "w " * 50 if i % 3 else "", "small") for i in range(60)] + [(100 + i, "w " * 400, "large") for i in range(60)]
+    mixed = mixing.mix(documents(spark, rows), weights=(5, 2, 1), share=1.5, max_epochs=2).collect()
+    assert max(r.copies for r in mixed) == 2 and {r.copies for r in mixed if r.row.source == "small"} == {2}
+
+
 def test_mixing_of_empty_and_wordless_tables(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     got = mixing.mix(documents(spark, [(1, None, "a"), (2, "  ", None)])).collect()
