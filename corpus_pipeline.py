@@ -18,14 +18,22 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the counted rules and the trained classifier accept."""
+    """Keeps the documents that the counted rules and the trained classifier accept.
+
+    A null or empty text has too few words and goes; repeated rows are judged alike. Columns
+    beside the text are passed on whatever their names. An empty table stays empty.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_rows=4000)
     return unpacked(quality.assess(docs, model).where("kept"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes runs of lines of 50 words or more that occur earlier; what is left whole without
-    words, or was it before, is no document any more if something was removed."""
+    words, or was it before, is no document any more if something was removed.
+
+    Null and empty texts have no lines and stay as they are; rows that repeat id and text are
+    one occurrence and keep equal texts. An empty table stays empty.
+    """
     found = lines.dedup_lines(docs, min_words=50).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
     changed = F.col("n_removed") > 0
     fresh = {
@@ -52,15 +60,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item, up to its budget of edits."""
+    """Drops the documents that contain a benchmark item, up to its budget of edits.
+
+    Null and empty texts contain none and stay; repeated rows fare alike. Empty tables, of
+    documents or items, drop nothing.
+    """
     found = decontamination.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), error_rate=0.05)
     return unpacked(found.where(F.size("matches") == 0), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``size`` (words) and ``copies``: how often the mix takes the document."""
+    """Adds ``size`` (words) and ``copies``: how often the mix takes the document.
+
+    A null text has size 0, a null source is a source of its own, repeated rows get equal
+    copies. Where the table has columns of these names (in any case), the added ones are
+    ``mix_size`` and ``mix_copies``, with as many more ``mix_`` as it takes. An empty table
+    stays empty.
+    """
     mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, max_epochs=2)
-    return mixed.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), "size", "copies")
+    taken, prefix = {c.lower() for c in docs.columns}, ""
+    while taken & {f"{prefix}size", f"{prefix}copies"}:
+        prefix += "mix_"
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return mixed.select(*own, F.col("size").alias(f"{prefix}size"), F.col("copies").alias(f"{prefix}copies"))
 
 
 STAGES = [
