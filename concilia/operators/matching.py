@@ -71,64 +71,59 @@ def distinct_keys(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).dropna().distinct()
 
 
+def _tier_keys(rows: DataFrame, cco: str, code: str, cpf: str, birth: str) -> DataFrame:
+    """``tier, t1, t2``: the distinct keys of all three tiers, from one scan and one exchange."""
+    def key(tier: int, first: str, second: Column) -> Column:
+        known = F.col(first).isNotNull() & second.isNotNull()
+        return F.when(known, F.struct(F.lit(tier).alias("tier"), F.col(first).alias("t1"), second.cast("string").alias("t2")))
+
+    keys = F.array_compact(F.array(key(1, cco, F.lit("")), key(2, code, F.col(birth)), key(3, cpf, F.col(birth))))
+    return rows.select(F.explode(keys).alias("k")).select("k.*").distinct()
+
+
+def _without_tier(
+    rows: DataFrame, keys: DataFrame, cco: str, code: str, cpf: str, birth: str, spread_by: str | Sequence[str]
+) -> DataFrame:
+    """Rows that no tier they may use finds among ``keys``.
+
+    A row with a CCO has one tier; others look by code + birth, then by CPF + birth. All
+    rows look up their first tier in one join; only those it did not find, and that have
+    another, go on, to the same set of keys.
+    """
+    c, own = F.col, rows.columns
+    tier = lambda name: F.coalesce(c(name) != "", F.lit(False)) & c(birth).isNotNull()
+    with_cco = F.coalesce(c(cco), F.lit("")) != ""
+    by_code, by_cpf = ~with_cco & tier(code), ~with_cco & tier(cpf)
+    marked = rows.withColumns({
+        "_tier": F.when(with_cco, 1).when(by_code, 2).when(by_cpf, 3),
+        "_t1": F.when(with_cco, c(cco)).when(by_code, c(code)).when(by_cpf, c(cpf)),
+        "_t2": F.when(with_cco, F.lit("")).when(by_code | by_cpf, c(birth).cast("string")),
+        "_next": F.when(by_code & by_cpf, F.lit(3)),
+    })
+    names = {"tier": "k_tier", "t1": "k_t1", "t2": "k_t2"}
+    keys = keys.select(*[c(old).alias(new) for old, new in names.items()])
+    first = lookup(marked, keys, {"_tier": "k_tier", "_t1": "k_t1", "_t2": "k_t2"}, "left_anti", spread_by=spread_by)
+    second = lookup(
+        first.withColumn("_t1", c(cpf)), keys, {"_next": "k_tier", "_t1": "k_t1", "_t2": "k_t2"}, "left_anti", spread_by=spread_by
+    )
+    return second.select(*own)
+
+
 def members_absent_from_registry(members: DataFrame, registry: DataFrame) -> DataFrame:
     """Members no tier finds in the registry. Prepared inputs.
 
     A member with a CCO (blanks count as one here) is looked for by CCO only; the other
     two tiers, code + birth and CPF + birth, serve members without any.
     """
-    with_cco = lookup(
-        members.filter(F.coalesce("codcco", F.lit("")) != ""),
-        distinct_keys(registry, "r_codcco"),
-        {"codcco": "r_codcco"},
-        "left_anti",
-    )
-    rest = members.filter(F.coalesce("codcco", F.lit("")) == "")
-    by_code = lookup(
-        rest,
-        distinct_keys(registry, "r_codusu", "r_birth"),
-        {"codans": "r_codusu", "nascusu": "r_birth"},
-        "left_anti",
-        when=F.col("codans") != "",
-    )
-    by_cpf = lookup(
-        by_code,
-        distinct_keys(registry, "r_cpfusu", "r_birth"),
-        {"cpfusu": "r_cpfusu", "nascusu": "r_birth"},
-        "left_anti",
-        when=F.col("cpfusu") != "",
-    )
-    return with_cco.unionByName(by_cpf)
+    keys = _tier_keys(registry, "r_codcco", "r_codusu", "r_cpfusu", "r_birth")
+    return _without_tier(members, keys, "codcco", "codans", "cpfusu", "nascusu", "id")
 
 
 def registry_without_member(registry: DataFrame, members: DataFrame) -> DataFrame:
     """Registry rows no tier finds among the members: the mirror of the one above."""
     spread = ("r_numseq", "r_nomeusu", "r_cpfusu")  # an unknown sequence alone is one place
-    with_cco = lookup(
-        registry.filter(F.coalesce("r_codcco", F.lit("")) != ""),
-        distinct_keys(members, "codcco"),
-        {"r_codcco": "codcco"},
-        "left_anti",
-        spread_by=spread,
-    )
-    rest = registry.filter(F.coalesce("r_codcco", F.lit("")) == "")
-    by_code = lookup(
-        rest,
-        distinct_keys(members, "codans", "nascusu"),
-        {"r_codusu": "codans", "r_birth": "nascusu"},
-        "left_anti",
-        when=F.col("r_codusu") != "",
-        spread_by=spread,
-    )
-    by_cpf = lookup(
-        by_code,
-        distinct_keys(members, "cpfusu", "nascusu"),
-        {"r_cpfusu": "cpfusu", "r_birth": "nascusu"},
-        "left_anti",
-        when=F.col("r_cpfusu") != "",
-        spread_by=spread,
-    )
-    return with_cco.unionByName(by_cpf)
+    keys = _tier_keys(members, "codcco", "codans", "cpfusu", "nascusu")
+    return _without_tier(registry, keys, "r_codcco", "r_codusu", "r_cpfusu", "r_birth", spread)
 
 
 REGISTRY_VIEW = (

@@ -3,7 +3,9 @@
 Rules are grouped by frame, so the whole catalogue costs one pass over the members per
 distinct join (not one per rule): every row is tested against all rules of its frame and
 contributes one array of rule ids, which is exploded and counted with partial
-aggregation. Rows no rule of the frame is about are dropped before the join.
+aggregation. Rows no rule of the frame is about are dropped before the join. The frames
+that compare members with the registry are evaluated together, on one reduction of the
+registry (see ``wide``).
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concilia.functions.predicates import any_of
+from concilia.plans import wide
 from concilia.plans.catalogue import RULES, Rule, always
 from concilia.plans.context import Reconciliation, without_waiting
 from concilia.plans.corrections import metadata
@@ -39,6 +42,14 @@ def hits(ctx: Reconciliation, rules: Iterable[Rule] = RULES, counting: bool = Tr
             frames.setdefault((part.frame, unit), []).append((rule, part))
 
     found = []
+    # Rules that compare members with the registry share one reduction of it.
+    shared = [key for key in frames if key[0] in wide.FRAMES and key[1] == "member"]
+    if len(shared) > 1:
+        together = [pair for key in shared for pair in frames.pop(key)]
+        hit = wide.hits(ctx, together)
+        if ctx.ledger is not None and any(rule.awaits_registry for rule, _ in together):
+            hit = without_waiting(ctx, hit)
+        found.append(hit)
     for (frame, unit), members in frames.items():
         given = [part.given(ctx.day) for _, part in members]
         rows = ctx.frame(frame, any_of(given))
@@ -106,18 +117,33 @@ def rule_summary(ctx: Reconciliation, rules: Iterable[Rule] = RULES) -> DataFram
 
 
 def rule_summary_apart(ctx: Reconciliation, rules: Iterable[Rule] = RULES) -> DataFrame:
-    """The same summary with a job per rule: one that fails, in planning or at run time, gets
-    total -1 and its error; the driver sees one number per rule."""
+    """The same summary where rules may fail while they run: one that does gets total -1 and
+    its error.
+
+    All rules are counted in one job. If it fails, each half is counted by itself, and so
+    on: rules that work are counted together, and one bad rule among n costs some 2 log2(n)
+    jobs. The driver sees one number per rule.
+    """
     rules = tuple(rules)
     spark = ctx.members.sparkSession
     errors: dict[str, str] = {}
-    counted = []
-    for rule in rules:
+    counted: dict[str, int] = {}
+
+    def count(some: tuple[Rule, ...]) -> None:
         try:
-            counted.append((rule.id, rule.count(ctx).first()[0]))
+            totals = hits(ctx, some).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+            counted.update((row.rule_id, row.hits) for row in totals.collect())
         except PySparkException as error:
-            errors[rule.id] = str(error).splitlines()[0]
-    totals = spark.createDataFrame(counted, "rule_id string, hits long")
+            if len(some) == 1:
+                errors[some[0].id] = str(error).splitlines()[0]
+            else:
+                half = len(some) // 2
+                count(some[:half])
+                count(some[half:])
+
+    if rules:
+        count(rules)
+    totals = spark.createDataFrame(list(counted.items()), "rule_id string, hits long")
     return _summary(spark, rules, totals, errors)
 
 
@@ -157,7 +183,11 @@ def rule_scan(ctx: Reconciliation) -> DataFrame:
     A member's array is bounded by the catalogue.
     """
     about_members = [rule for rule in RULES if rule.unit != "registry"]
-    found = hits(ctx, about_members, counting=False)
+    return by_member(hits(ctx, about_members, counting=False))
+
+
+def by_member(found: DataFrame) -> DataFrame:
+    """``id, rules`` from ``id, rule_id``."""
     return found.groupBy("id").agg(F.sort_array(F.collect_set("rule_id")).alias("rules"))
 
 

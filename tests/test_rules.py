@@ -10,7 +10,7 @@ from concilia import schemas
 from concilia.plans import scan
 from concilia.plans.catalogue import BY_ID, RULES
 from concilia.plans.corrections import PLANS
-from tests.helpers import context, ids, member, table, version
+from tests.helpers import BASE_MEMBER, context, ids, member, plan_of, table, version
 
 CASES = {
     "inativo_sem_cco_nao_atualizado": [
@@ -278,3 +278,73 @@ def test_a_rule_that_fails_at_run_time_is_told_apart(spark):
     got = {r.rule_id: r for r in rule_summary_apart(ctx, (RULES[0], bad, RULES[19])).collect()}
     assert got[bad.id].total == -1 and "boom" in got[bad.id].error and not got[bad.id].ok
     assert got[RULES[0].id].total >= 0 and got[RULES[19].id].error is None
+
+
+def test_one_bad_rule_costs_few_jobs(spark, derived, monkeypatch):
+    from dataclasses import replace
+
+    from concilia.plans.catalogue import Part
+
+    bad = replace(RULES[7], parts=(Part("members", lambda day: F.expr("raise_error('boom') is null")),))
+    rules = tuple(bad if rule.id == bad.id else rule for rule in RULES if rule.unit != "registry")
+    jobs = []
+    real = scan.hits
+    monkeypatch.setattr(scan, "hits", lambda ctx, some, *more: jobs.append(len(some)) or real(ctx, some, *more))
+    got = {r.rule_id: r.total for r in scan.rule_summary_apart(derived, rules).collect()}
+    monkeypatch.undo()
+    assert got.pop(bad.id) == -1 and len(jobs) <= 2 * 6 + 1
+    want = {r.rule_id: r.total for r in scan.rule_summary(derived).collect()}
+    assert got == {i: want[i] for i in got}
+
+
+def registry_scans(df):
+    """Scans of the registry's files in a plan, counting a reused exchange once."""
+    return sum("FileScan" in line and "numseq" in line for line in plan_of(df).splitlines())
+
+
+def test_the_registry_is_read_at_most_three_times(spark, derived):
+    assert 1 <= registry_scans(scan.rule_scan(derived)) <= 3
+    assert 1 <= registry_scans(scan.rule_summary(derived)) <= 3
+
+
+def per_frame(ctx, counting):
+    """The hits of each rule by its own frame."""
+    out = set()
+    for rule in RULES:
+        if counting or rule.unit != "registry":
+            out |= {tuple(r) for r in scan.hits(ctx, (rule,), counting).where("id is not null").select("rule_id", "id").collect()}
+    return out
+
+
+def test_wide_rows_hit_what_frames_hit(spark, derived):
+    got = {tuple(r) for r in scan.hits(derived, RULES).where("id is not null").select("rule_id", "id").collect()}
+    assert got == per_frame(derived, True)
+
+
+def test_wide_rows_choose_versions_as_frames_do(spark):
+    """Ties, unknown sequences, padded CCOs, several names and births, blanks and nulls."""
+    import random
+
+    rng = random.Random(6)
+    some = lambda *values: rng.choice(values)
+    people = []
+    for i in range(150):
+        people.append(member(
+            i, codcco=some("C1", " C1", "C2", "C3", "", "  ", None), situusu=some("ATIVO", "INATIVO", "BLOQUEADO"),
+            posans=some("1-INCLUSAO", "3-EXCLUSAO", "4-ATUALIZADO", "8-REINCLUSAO", "9-RET REATIV", None),
+            codans=some("0001-0001-00", "X", "", None), cpfusu=some("12345678901", "2", " 12345678901", "", None),
+            nomeusu=some("ANA LIMA", "ana lima ", "EVA", "", None), codusu=some("00", "01"),
+            nascusu=some(BASE_MEMBER["nascusu"], None), dataini=some(BASE_MEMBER["dataini"], None), ansnome=some("1", "0", None),
+        ))
+    versions = []
+    for i in range(60):
+        versions.append(version(
+            some(1, 2, 3, None), status=some("A", "I", "A ", None), codcco=some("C1", " C1", "C2", "C3 ", "", None),
+            nomeusu=some("ANA LIMA", "EVA", "", None), cpfusu=some("12345678901", "2", "", None), codusu=some("0001-0001-00", "X", ""),
+            nascusu=some("1980-01-02", "03/02/1980", "31/02/1980", ""), dataini=some("04/03/2000", "2001-01-01"), cnpj=some("1", "2", None),
+        ))
+    contracts = [{"codtit": "0001-0001", "nometit": some("ANA LIMA", "EVA", None)} for _ in range(3)]
+    for few in (versions, versions[:9], []):
+        ctx = context(spark, people, few, contracts)
+        got = {tuple(r) for r in scan.hits(ctx, RULES, False).where("id is not null").select("rule_id", "id").collect()}
+        assert {r for r in got if not r[0].startswith("confsib_sem")} == per_frame(ctx, False)
