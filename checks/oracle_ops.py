@@ -228,7 +228,7 @@ _MEMBER_HITS = " union all ".join(
     f"(select '{x}' as rule_id, m.id as id {source})"
     for x, source in FROM.items() if not x.startswith("confsib_sem")
 )
-SQL["rule_scan"] = _p(
+SQL["rule_scan"] = SQL["rule_scan_incremental"] = _p(
     f"select id, string_agg(rule_id, ',' order by rule_id) as rules from ({_MEMBER_HITS})"
     " group by id"
 )
@@ -493,3 +493,15 @@ SQL["stream_pending"] = (
     " select user_id as cadusu_id, case when seen then 'resolvido' else 'expirado' end as status,"
     " count(*) as n from o, last where ts < last group by all"
 )
+SQL["stream_pending_timers"] = (
+    "with a as (select user_id, ts, lead(ts) over (partition by user_id order by ts) as r from"
+    " (select distinct user_id, ts from events where event_type = 'error')),"
+    " b as (select a.*, ts + interval 48 hour as u, (select min(p.ts) from events p where p.event_type ="
+    " 'purchase' and p.user_id = a.user_id and p.ts > a.ts) as p from a),"
+    " d as (select *, case when p <= u and (r is null or p <= r) then 'resolvido' when r <= u then"
+    " 'renovado' else 'expirado' end as s from b),"
+    " o as (select *, case s when 'resolvido' then p when 'renovado' then r else u end as due from d)"
+    " select user_id as cadusu_id, case when due <= (select max(ts) - interval 1 hour from events where"
+    " event_type in ('error', 'purchase')) then s"
+    " else 'aguardando' end as status, count(*) as n from o group by all"
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +17,7 @@ from concilia.functions import (
 from concilia.functions.predicates import compatible_keys
 from concilia.operators import changes, groups, intervals, ledger, matching, rejections, shaping
 from concilia.operators.versions import first_per_key, high_water_mark, latest_version
-from concilia.plans import corrections, scan
+from concilia.plans import corrections, incremental, scan
 from concilia.plans.catalogue import BY_ID, RULES
 from concilia.plans.corrections import PLANS
 from concilia.session import shared_folder
@@ -25,6 +26,7 @@ from concilia.sources.derived import (
     load, load_rejections, rejection_records, write_rejection_files,
 )
 from concilia.sources.sinks import iso_text, to_json_rows
+from concilia.streaming import renewals
 from concilia.streaming.pending import resolve_stream
 from concilia.streaming.registry import newest_versions
 
@@ -379,6 +381,29 @@ def rule_scan(spark, sf):
     return rows.select("id", F.array_join("rules", ",").alias("rules"))
 
 
+@query
+def rule_scan_incremental(spark, sf):
+    """The scan, from the state of an earlier day, a smaller registry and other members.
+
+    Earlier, the newest quarter of the registry's sequences had not arrived, members that
+    started late were not there, and ended ones had neither end nor their present movement.
+    """
+    ctx = load(spark, sf)
+    late = c("dataini") >= F.lit("2000-08-01").cast("date")
+    ended = c("datafim").isNotNull()
+    earlier = ctx.members.where(~F.coalesce(late, F.lit(False))).withColumns({
+        "posans": F.when(ended, F.lit(v.UPDATED)).otherwise(c("posans")),
+        "datafim": F.lit(None).cast("date"),
+    })
+    newest = ctx.registry.agg(F.max("numseq")).first()[0] or 0
+    before = replace(
+        ctx, members=earlier, registry=ctx.registry.where(c("numseq") <= newest * 3 // 4), as_of="2001-08-15"
+    )
+    state = incremental.advance(ctx, incremental.start(before), ctx.members.where(late | ended).select("id"))
+    rows = incremental.rule_scan(ctx, state)
+    return rows.select("id", F.array_join("rules", ",").alias("rules"))
+
+
 @query
 def fix_change_set(spark, sf):
     return corrections.change_set(load(spark, sf))
@@ -675,3 +700,45 @@ def stream_pending(spark, sf):
     # One row, the limit of what is counted.
     settled = rows.join(F.broadcast(last), c("applied_at") < c("last"))
     return settled.groupBy("cadusu_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_pending_timers(spark, sf):
+    """The same waits with a timer each: every error has an outcome, or waits still.
+
+    The stream's watermark ends an hour before the last of them; what it has not decided by
+    then waits.
+    """
+    folder = scratch(spark)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    arriving = (
+        spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    )
+    at = c("ts").cast("timestamp")
+
+    def errors(df: DataFrame) -> DataFrame:
+        return df.filter("event_type = 'error'").select(
+            c("user_id").cast("long").alias("cadusu_id"), F.lit("error").alias("rule_id"),
+            c("user_id").cast("string").alias("k_cco"), F.lit("purchase").alias("expected"),
+            at.alias("applied_at"),
+        )
+
+    seen = arriving.filter("event_type = 'purchase'").select(
+        c("user_id").cast("string").alias("r_cco"), c("event_type").alias("r_state"),
+        at.alias("loaded_at"),
+    )
+    decided = renewals.outcomes(errors(arriving), seen, wait_hours=48, lateness="1 hour")
+    with renewals.rocksdb(spark):
+        run = (
+            decided.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append")
+            .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        )
+    run.awaitTermination()
+    rows = spark.read.schema(decided.schema).parquet(f"{folder}/rows").select(
+        "cadusu_id", "applied_at", "status"
+    )
+    every = errors(events).select("cadusu_id", "applied_at").distinct()
+    rows = every.join(rows, ["cadusu_id", "applied_at"], "left")
+    return rows.groupBy("cadusu_id", F.coalesce("status", F.lit(v.WAITING)).alias("status")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
