@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks.oracle_rules import (
     ALL, COMPATIBLE, DAY, FIX, FLAGS, FROM, LATE, NOT_FOUND, NOW, ORPHAN, PRELUDE, cols,
-    hits_sql, parsed, waiting,
+    fix_sql, hits_sql, parsed, rule_sql, waiting,
 )
 from concilia.plans.catalogue import RULES
 from concilia.plans.corrections import metadata
@@ -283,7 +283,7 @@ def _snapshot(rule_id: str, situusu: str, posans: str, codcco: str, datafim: str
     )
 
 
-SQL["fix_apply_snapshot"] = _snapshot(
+SQL["fix_apply_snapshot"] = SQL["fix_apply_buckets"] = _snapshot(
     "reativacao_cco_ja_ativo_confsib",
     "case when f.id is not null then 'ATIVO' else m.situusu end", "'4-ATUALIZADO'", "m.codcco",
     "case when f.id is null then cast(m.datafim as varchar) end",
@@ -470,7 +470,7 @@ SQL["rej_fix_updated"] = _r(
 SQL["src_rejections"] = _r(
     "select cast(record as varchar) as codigo_beneficiario, cco, mv as codigo_tipo_movimento, mn as"
     " tipo_movimento, (select string_agg(e.code, ',' order by e.position) from e where e.record ="
-    " rec.record) as codes from rec where record % 4 <> 3"
+    " rec.record) as codes from rec where (record // 500) % 4 <> 3"
 )
 SQL["rej_fix_inclusion"] = _r(
     "select id, case when hit then '1-INCLUSAO' else posans end as posans, case when not hit then"
@@ -479,7 +479,7 @@ SQL["rej_fix_inclusion"] = _r(
     " and cco_ in (select rec.cco from rec join e using (record) where e.code = '3205') as hit"
     " from m)", True
 )
-SQL["stream_latest"] = (
+SQL["stream_latest"] = SQL["stream_latest_table"] = (
     "select user_id, event_id, event_type from events qualify row_number() over (partition by"
     " user_id order by event_id desc) = 1"
 )
@@ -505,3 +505,60 @@ SQL["stream_pending_timers"] = (
     " event_type in ('error', 'purchase')) then s"
     " else 'aguardando' end as status, count(*) as n from o group by all"
 )
+SQL["page_at"] = (
+    "with r as (select o_orderkey, o_totalprice, o_orderstatus, row_number() over (order by o_totalprice"
+    " desc nulls last, o_orderkey) - 1 as place, count(*) over () as n from orders)"
+    " select o_orderkey, o_totalprice, o_orderstatus, place, cast(place // 40 as int) as page from r"
+    " where place // 40 in (0, ((n - 1) // 40) // 2, (n - 1) // 40)"
+)
+
+# -- files written and read back: 500 record numbers to a file, every fourth no result ---
+
+_FILES = (
+    ", inc as (select event_id // 4 as record, event_id, user_id from events where event_type = 'purchase'),"
+    " f as (select distinct record // 500 as file from (select record from rec union all select record"
+    " from inc))"
+)
+SQL["stream_rejection_files"] = _r(
+    "select cast(record as varchar) as codigo_beneficiario, cco, cast((select count(*) from e where e.record ="
+    " rec.record) as int) as errors from rec where (record // 500) % 4 <> 3"
+)
+SQL["src_inclusions"] = (
+    "select cast(event_id as varchar) as codigo_beneficiario, lpad(cast(user_id + 1 as varchar), 12, '0') as"
+    " cco, 'PESSOA ' || user_id as nome_beneficiario from events where event_type = 'purchase' and"
+    " (event_id // 4 // 500) % 4 <> 3"
+)
+
+
+def _f(body: str) -> str:
+    head, tail = _ERRORS.rsplit(", d as (", 1)
+    return f"{head}, d as ({tail}{_FILES}{body}"
+
+
+SQL["src_file_headers"] = _f(
+    " select 'RESULTADO' as tipo_transacao, cast(file as varchar) as sequencial, '2001-10-31T12:00:00' as"
+    " data_hora, '00000000000191' as cnpj_origem, '123456' as registro_ans, '1.1' as versao_padrao, 'H' ||"
+    " file as hash, 'P' || file as numero_protocolo, 'F' || file || '.SBX' as nome_arquivo from f where file % 4 <> 3"
+)
+SQL["src_invalid_files"] = _f(" select file from f where file % 4 = 3")
+SQL["src_error_totals"] = _f(
+    " select cast(e.record // 500 as varchar) as sequencial, e.code as codigo_erro, 'rejeitado' as mensagem_erro,"
+    f" count(*) as quantidade, {_SEV} as severidade from e {_D.format('e')} where (e.record // 500) % 4 <> 3"
+    " group by all"
+)
+SQL["src_movement_totals"] = _f(
+    ", t as (select record // 500 as file, case mn when '' then '' else mn[1] || lower(mn[2:]) end as tipo, 1 as"
+    " rej, 0 as ok from rec union all select record // 500, 'Inclusao', 0, 1 from inc),"
+    " t2 as (select * from t union all select file, 'Total', rej, ok from t)"
+    " select cast(file as varchar) as sequencial, tipo, count(*) as quantidade_registros, sum(ok)::bigint as"
+    " quantidade_processados, sum(rej)::bigint as quantidade_rejeitados, round(round(sum(ok) * 100 / count(*), 2), 1)"
+    " as percentual_acerto from t2 where file % 4 <> 3 group by file, tipo"
+)
+SQL["sink_csv"] = (
+    "select coalesce(cast(columns(*) as varchar), '') from"
+    f" ({rule_sql('divergencia_nome_cadusu_confsib')})"
+)
+SQL["fix_paired_changes"] = (
+    "select id, 'codans' as field, codans_atual as old_value, codans_novo as new_value from"
+    f" ({fix_sql('cadusu_sem_codans')}) where codans_atual is distinct from codans_novo"
+)

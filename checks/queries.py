@@ -9,26 +9,27 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concilia import vocabulary as v
+from concilia import schemas, vocabulary as v
 from concilia.functions import (
     alnum_upper, br_date_text, company, compose_code, cut, deadline_passed, digits_only,
     first_present, is_blank, older_than_days, parse_two_format_date, upper_trim, word_count,
 )
 from concilia.functions.predicates import compatible_keys
-from concilia.operators import changes, groups, intervals, ledger, matching, rejections, shaping
+from concilia.operators import changes, groups, intervals, ledger, matching, pages, rejections, shaping
 from concilia.operators.versions import first_per_key, high_water_mark, latest_version
-from concilia.plans import corrections, incremental, scan
+from concilia.plans import convergence, corrections, incremental, scan
 from concilia.plans.catalogue import BY_ID, RULES
 from concilia.plans.corrections import PLANS
 from concilia.session import shared_folder
-from concilia.sources import rejection_xml
+from concilia.sources import rejection_xml, snapshots
 from concilia.sources.derived import (
-    load, load_rejections, rejection_records, write_rejection_files,
+    included_records, load, load_rejections, rejection_records, write_rejection_files,
 )
-from concilia.sources.sinks import iso_text, to_json_rows
+from concilia.sources.sinks import iso_text, to_json_rows, write_csv
 from concilia.streaming import renewals
 from concilia.streaming.pending import resolve_stream
-from concilia.streaming.registry import newest_versions
+from concilia.streaming.rejections import stream_rejections
+from concilia.streaming.registry import keep_newest, newest_table, newest_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -375,6 +376,37 @@ def rule_catalog(spark, sf):
     )
 
 
+@query
+def sink_csv(spark, sf):
+    """A rule's listing written as CSV and read back as text: NULL is empty, days are ISO."""
+    path = f"{scratch(spark)}/listing"
+    write_csv(BY_ID["divergencia_nome_cadusu_confsib"].detail(load(spark, sf)), path)
+    rows = spark.read.option("sep", ";").option("header", True).option("encoding", "UTF-8").csv(path)
+    return rows.select(*[F.coalesce(n, F.lit("")).alias(n) for n in rows.columns])
+
+
+@query
+def column_origins(spark, sf):
+    """Where each column of each rule's listing comes from, as its schema says."""
+    ctx, found = load(spark, sf), []
+    for rule in RULES:
+        schema = shaping.with_origins(rule.detail(ctx)).schema
+        found += [(rule.id, i, f.name, f.metadata["origin"]) for i, f in enumerate(schema)]
+    known = spark.createDataFrame(found, "rule_id string, position long, name string, origin string")
+    # With the number of rows that show the column, from the tables.
+    totals = scan.rule_summary(ctx).select("rule_id", "total")
+    return known.join(totals, "rule_id").groupBy("rule_id", "origin", "total").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), ",").alias("names")
+    )
+
+
+@query
+def fix_paired_changes(spark, sf):
+    """The preview of a plan as pairs of old and new values."""
+    preview = corrections.plan_for("cadusu_sem_codans").preview(load(spark, sf))
+    return shaping.paired_changes(preview)
+
+
 @query
 def rule_scan(spark, sf):
     rows = scan.rule_scan(load(spark, sf))
@@ -423,6 +455,31 @@ def fix_apply_snapshot(spark, sf):
     return corrections.apply_everywhere(ctx, "reativacao_cco_ja_ativo_confsib").select(*_SNAPSHOT)
 
 
+@query
+def fix_apply_buckets(spark, sf):
+    """The same correction, where only the buckets of changed members are written anew."""
+    ctx = load(spark, sf)
+    store = snapshots.Store(f"{scratch(spark)}/members", schemas.MEMBERS, 64)
+    first = snapshots.create(store, ctx.members)
+    chosen = corrections.plan_for("reativacao_cco_ja_ativo_confsib").changes(ctx)
+    folder = f"{scratch(spark)}/changes"
+    chosen.write.parquet(folder)
+    written = spark.read.schema(chosen.schema).parquet(folder)
+    second = snapshots.apply(spark, store, first, written, ctx.day, ctx.moment)
+    return snapshots.read(spark, store, second).select(*_SNAPSHOT)
+
+
+@query
+def fix_converged(spark, sf):
+    """Members that some plan changes: their last state, how many rounds changed them, and
+    the round in which a cycle closed, if they are in one."""
+    done = convergence.converge(load(spark, sf))
+    rounds = done.trail.groupBy("id").agg(F.count(F.lit(1)).alias("rounds"))
+    cycles = done.cycles.select("id", c("round").alias("cycle_closed"), c("since").alias("cycle_since"))
+    rows = done.members.join(rounds, "id").join(cycles, "id", "left")
+    return rows.select("id", "situusu", "posans", "codcco", "cpfusu", "rounds", "cycle_closed", "cycle_since")
+
+
 @query
 def fix_apply_scan(spark, sf):
     ctx = load(spark, sf)
@@ -580,11 +637,74 @@ def rej_enrich(spark, sf):
     )
 
 
+#: Record numbers in one of the files that are written and read back.
+_PER_FILE = 500
+
+
+def _result_files(spark: SparkSession, sf: str) -> str:
+    """A folder of whole result files: header, protocol, both kinds of record, totals."""
+    folder = f"{scratch(spark)}/results"
+    write_rejection_files(rejection_records(spark, sf), folder, _PER_FILE, included_records(spark, sf))
+    return folder
+
+
+@query
+def src_inclusions(spark, sf):
+    rows = rejection_xml.read_inclusions(spark, _result_files(spark, sf), "UTF-8", "*.txt")
+    return rows.select("codigo_beneficiario", "cco", "nome_beneficiario")
+
+
+@query
+def src_file_headers(spark, sf):
+    rows = rejection_xml.read_file_headers(spark, _result_files(spark, sf), "UTF-8", "*.txt")
+    return rows.drop("arquivo")
+
+
+@query
+def src_invalid_files(spark, sf):
+    rows = rejection_xml.invalid_files(spark, _result_files(spark, sf), "UTF-8", "*.txt")
+    return rows.select(F.regexp_extract("arquivo", r"/file=(\d+)/", 1).cast("long").alias("file"))
+
+
+@query
+def src_error_totals(spark, sf):
+    folder = _result_files(spark, sf)
+    totals = rejection_xml.read_error_totals(spark, folder, "UTF-8", "*.txt")
+    names = rejection_xml.read_file_headers(spark, folder, "UTF-8", "*.txt").select("arquivo", "sequencial")
+    rows = totals.join(names, "arquivo")
+    return rows.select("sequencial", "codigo_erro", "mensagem_erro", c("quantidade").cast("long").alias("quantidade"), "severidade")
+
+
+@query
+def src_movement_totals(spark, sf):
+    folder = _result_files(spark, sf)
+    totals = rejection_xml.read_movement_totals(spark, folder, "UTF-8", "*.txt")
+    names = rejection_xml.read_file_headers(spark, folder, "UTF-8", "*.txt").select("arquivo", "sequencial")
+    numbers = [c(n).cast("long").alias(n) for n in ("quantidade_registros", "quantidade_processados", "quantidade_rejeitados")]
+    return totals.join(names, "arquivo").select("sequencial", "tipo", *numbers, F.round("percentual_acerto", 1).alias("percentual_acerto"))
+
+
+@query
+def stream_rejection_files(spark, sf):
+    """The files of ``src_rejections`` as a stream, four to a batch."""
+    folder = scratch(spark)
+    write_rejection_files(rejection_records(spark, sf), f"{folder}/in", _PER_FILE)
+
+    def save(rows: DataFrame, number: int) -> None:
+        rows.select("codigo_beneficiario", "cco", F.size("erros").alias("errors")).write.mode("overwrite").parquet(
+            f"{folder}/out/batch={number}"
+        )
+
+    writer = stream_rejections(spark, f"{folder}/in", save, "UTF-8", "*.txt", 4)
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @query
 def src_rejections(spark, sf):
-    """Records written as XML files, one of four no valid result, and read back."""
+    """Records written as XML files, every fourth no valid result, and read back."""
     folder = f"{scratch(spark)}/rejections"
-    write_rejection_files(rejection_records(spark, sf), folder)
+    write_rejection_files(rejection_records(spark, sf), folder, _PER_FILE)
     rows = rejection_xml.read_rejections(spark, folder, "UTF-8", "*.txt")
     codes = F.array_join(F.transform("erros", lambda e: e["codigo_erro"]), ",")
     return rows.select(
@@ -742,3 +862,33 @@ def stream_pending_timers(spark, sf):
     return rows.groupBy("cadusu_id", F.coalesce("status", F.lit(v.WAITING)).alias("status")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+@query
+def stream_latest_table(spark, sf):
+    """Newest event per user as a table that every batch brings up to date."""
+    folder = scratch(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    arriving = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    )
+    rows = arriving.select("user_id", "event_id", "event_type")
+    store = snapshots.Store(f"{folder}/table", rows.schema, 16, "user_id")
+    run = (
+        rows.writeStream.foreachBatch(keep_newest(store, "event_id")).trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/state").start()
+    )
+    run.awaitTermination()
+    return newest_table(spark, store)
+
+
+@query
+def page_at(spark, sf):
+    """First, middle and last page of the orders by price; 40 rows a page."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    index = pages.rank_index(orders, [c("o_totalprice").desc_nulls_last(), c("o_orderkey")], 16)
+    last = (index.total - 1) // 40
+    return _union(
+        pages.page_at(spark, index, number, 40).withColumn("page", F.lit(number))
+        for number in sorted({0, last // 2, last})
+    ).withColumnRenamed("_rank", "place")

@@ -261,21 +261,91 @@ def rejection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_rejection_files(records: DataFrame, folder: str) -> None:
-    """The records as four XML files, by ``record``; the last is of another type."""
-    file = F.col("record") % 4
-    line = F.to_xml(F.struct(*[c for c in records.columns if c != "record"]), {
-        "rowTag": "registroRejeitado"})
-    kind = F.when(F.col("file") == 3, F.lit("ENVIO")).otherwise(F.lit("RESULTADO"))
-    ends = records.sparkSession.range(4).select(F.col("id").alias("file"))
+def included_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``record``, code, CCO and name of included records: one for every purchase."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'purchase'")
+    return events.select(
+        F.floor(F.col("event_id") / 4).cast("long").alias("record"),
+        F.col("event_id").cast("string").alias("_codigoBeneficiario"),
+        F.lpad((F.col("user_id") + 1).cast("string"), 12, "0").alias("cco"),
+        F.concat(F.lit("PESSOA "), F.col("user_id").cast("string")).alias("nomeBeneficiario"),
+    )
+
+
+def _lines(records: DataFrame, tag: str, part: int, per_file: int) -> DataFrame:
+    body = F.to_xml(F.struct(*[c for c in records.columns if c != "record"]), {"rowTag": tag})
+    return records.select(_file(per_file).alias("file"), F.lit(part).alias("part"), body.alias("value"))
+
+
+def _file(per_file: int):
+    return F.floor(F.col("record") / per_file).cast("long")
+
+
+def _totals(records: DataFrame, included: DataFrame, per_file: int) -> DataFrame:
+    """``file, errors, movements``: the consolidated block of each file, as text."""
+    file = _file(per_file).alias("file")
+    counted = records.select(file, F.explode("campoErro").alias("f")).select("file", F.explode("f.erro").alias("e"))
+    counted = counted.groupBy("file", "e.codigoErro", "e.mensagemErro").agg(F.count(F.lit(1)).alias("quantidadeOcorrenciaErro"))
+    # A file has as many kinds of errors and movements as there are codes.
+    errors = counted.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(
+        "codigoErro", "mensagemErro", "quantidadeOcorrenciaErro"))).alias("erro"))
+    errors = errors.select("file", F.to_xml(F.struct("erro"), {"rowTag": "consolidadoErroProcessamento"}).alias("errors"))
+    name = F.concat(F.lit("consolidado"), F.initcap(F.trim("_tipoMovimento")))
+    rejected = records.select(file, name.alias("name"), F.lit(1).alias("r"), F.lit(0).alias("ok"))
+    accepted = included.select(file, F.lit("consolidadoInclusao").alias("name"), F.lit(0).alias("r"), F.lit(1).alias("ok"))
+    moves = rejected.unionByName(accepted)
+    moves = moves.unionByName(moves.withColumn("name", F.lit("consolidadoTotal"))).groupBy("file", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"), F.sum("r").alias("r"))
+    entry = F.format_string(
+        "<%s><quantidadeRegistros>%d</quantidadeRegistros><quantidadeProcessados>%d</quantidadeProcessados>"
+        "<quantidadeRejeitados>%d</quantidadeRejeitados><percentualAcerto>%.2f</percentualAcerto></%s>",
+        "name", "n", "ok", "r", (F.col("ok") * 100 / F.col("n")).alias("share"), "name",
+    )
+    movements = moves.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("movements"))
+    return errors.join(movements, "file", "full_outer")
+
+
+def write_rejection_files(
+    records: DataFrame, folder: str, per_file: int = 100_000, included: DataFrame | None = None
+) -> None:
+    """The records as XML files of some ``per_file`` record numbers each; every fourth file is of
+    another type. As many tasks as files write them, so the work spreads with the rows.
+
+    With ``included`` records, files also hold these, a header, a protocol and the
+    consolidated block.
+    """
+    kind = F.when(F.col("file") % 4 == 3, F.lit("ENVIO")).otherwise(F.lit("RESULTADO"))
+    number = F.col("file").cast("string")
+    every = records.select(_file(per_file).alias("file"))
+    if included is not None:
+        every = every.unionByName(included.select(_file(per_file).alias("file")))
+    ends = every.distinct()
     start = F.concat(
         F.lit("<mensagemSIB><cabecalho><identificacaoTransacao><tipoTransacao>"), kind,
-        F.lit("</tipoTransacao></identificacaoTransacao></cabecalho><mensagem>"
-              "<arquivoProcessado><registrosRejeitados>"),
+        F.lit("</tipoTransacao><sequencialTransacao>"), number,
+        F.lit("</sequencialTransacao><dataHoraRegistroTransacao>2001-10-31T12:00:00</dataHoraRegistroTransacao>"
+              "</identificacaoTransacao><origem><cnpj>00000000000191</cnpj></origem><destino><registroANS>123456</registroANS>"
+              "</destino><versaoPadrao>1.1</versaoPadrao></cabecalho><mensagem><arquivoProcessado><protocoloProcessamento>"
+              "<numeroProtocolo>P"), number, F.lit("</numeroProtocolo><nomeArquivo>F"), number,
+        F.lit(".SBX</nomeArquivo></protocoloProcessamento><registrosRejeitados>"),
+    )
+    between = F.lit("</registrosRejeitados><registrosIncluidos>")
+    close = F.concat(
+        F.lit("</registrosRejeitados>" if included is None else "</registrosIncluidos><consolidado>"),
+        F.coalesce("errors", F.lit("")),
+        F.concat(F.lit("<consolidadoProcessamento>"), "movements", F.lit("</consolidadoProcessamento></consolidado>"))
+        if included is not None else F.lit(""),
+        F.lit("</arquivoProcessado></mensagem><epilogo><hash>H"), number, F.lit("</hash></epilogo></mensagemSIB>"),
     )
-    close = F.lit("</registrosRejeitados></arquivoProcessado></mensagem></mensagemSIB>")
-    lines = records.select(file.alias("file"), F.lit(1).alias("part"), line.alias("value"))
-    for part, text in ((0, start), (2, close)):
-        lines = lines.unionByName(ends.select("file", F.lit(part).alias("part"), text.alias("value")))
+    lines = _lines(records, "registroRejeitado", 1, per_file)
+    texts = [(ends, 0, start)]
+    nothing = F.lit(None).cast("string")
+    if included is None:
+        texts.append((ends.withColumns({"errors": nothing, "movements": nothing}), 4, close))
+    else:
+        lines = lines.unionByName(_lines(included, "registroIncluido", 3, per_file))
+        texts += [(ends, 2, between), (_totals(records, included, per_file), 4, close)]
+    for rows, part, text in texts:
+        lines = lines.unionByName(rows.select("file", F.lit(part).alias("part"), text.alias("value")))
     ordered = lines.repartition("file").sortWithinPartitions("file", "part")
     ordered.select("file", "value").write.partitionBy("file").text(folder)

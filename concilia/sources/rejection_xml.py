@@ -77,12 +77,19 @@ def file_headers(rows: DataFrame) -> DataFrame:
     """Header and protocol of every valid file among the pieces; one row per file."""
     root = r"^\ufeff?\s*(?:<\?[^>]*\?>\s*)?(?:<!--(?s:.*?)-->\s*)*<mensagemSIB\b"
     marks = rows.filter(F.col("piece").rlike(
-        "<mensagemSIB|<cabecalho|<arquivoProcessado|<protocoloProcessamento|<epilogo"
+        r"<mensagemSIB|<cabecalho|<arquivoProcessado|<protocoloProcessamento|<epilogo|\AANS>"
     ))
+    # A header that names a registroANS is cut there, as if a record ended: put together again.
+    part = lambda pattern: F.nullif(F.regexp_extract("piece", pattern, 0), F.lit(""))
+    begin = part(r"(?s)<cabecalho\b(?!.*</cabecalho>).*\z")
+    middle = F.when(F.col("piece").startswith("ANS>") & ~F.contains("piece", F.lit("</cabecalho>")), F.col("piece"))
+    rest = part(r"(?s)\AANS>(?:(?!<cabecalho\b).)*?</cabecalho>")
     facts = marks.groupBy("arquivo").agg(
         F.bool_or(F.col("piece").rlike(root)).alias("message"),
         F.bool_or(F.col("piece").rlike(r"<arquivoProcessado\b")).alias("processed"),
-        F.max(_element("cabecalho")).alias("top"),
+        F.coalesce(
+            F.max(_element("cabecalho")), F.concat_ws(RECORD_END, F.max(begin), F.max(middle), F.max(rest))
+        ).alias("top"),
         F.max(_element("protocoloProcessamento")).alias("protocol"),
         F.max(_element("epilogo")).alias("end"),
     )

@@ -31,7 +31,8 @@ def to_json_rows(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
-    """Semicolons, a header, UTF-8, NULL as empty. All rows are written, by all tasks.
+    """Semicolons, a header, UTF-8, NULL as empty, blanks at the ends of values kept. All rows
+    are written, by all tasks.
 
     With ``bom`` every part file starts with a byte order mark, so each opens by itself; a
     page for a person is ``shaping.page`` of an ordered listing.
@@ -40,6 +41,7 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     (
         out.write.mode("overwrite")
         .option("sep", ";").option("header", True).option("encoding", "UTF-8")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("nullValue", "").option("emptyValue", "").option("dateFormat", "yyyy-MM-dd")
         .csv(path)
     )
