@@ -2,21 +2,31 @@
 
 An item with at most e edits keeps one of its e + 1 pieces whole (pigeonhole), so the
 pieces are looked up exactly by an Aho-Corasick automaton, and what surrounds a hit is
-verified by Myers' bit-parallel edit distance. Documents are read in one pass and never
-shuffled; the benchmark is the stated query set and goes to the tasks in bounded blocks.
+verified by Myers' bit-parallel edit distance. Documents are never shuffled; the benchmark
+is the stated query set and goes to the tasks in bounded blocks, as files of the shared
+folder that each task opens: the driver sees their number. A block is a pass over the
+texts, joined to the others in one stage.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from concilia.session import shared_folder
+
+from .common import staged, text_or_empty
+
+#: So many blocks are searched in one stage; each has an automaton of its own in every task.
+_STAGE = 4
 
 
 def normal(text: str) -> str:
@@ -55,6 +65,12 @@ def distance(item: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     return best, at
 
 
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether a range begins and ends where words do."""
+    inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not inside(start) and not inside(end)
+
+
 class Matcher:
     """The pieces of some items, and their verification."""
 
@@ -102,20 +118,39 @@ class Matcher:
     def _verified(self, number: int, text: str, start: int, end: int) -> list[tuple[int, int, int, int]]:
         item_id, item, budget = self.items[number]
         exact = text.find(item, start, end)
+        if not budget:
+            # Too short to bear an edit: only whole words tell.
+            while exact >= 0 and not _whole(text, exact, exact + len(item)):
+                exact = text.find(item, exact + 1, end)
         if exact >= 0:
             return [(item_id, exact, exact + len(item), 0)]
+        if not budget:
+            return []
         edits, at = distance(item, self._masks(number), text[start:end])
         return [(item_id, max(0, start + at - len(item)), start + at, edits)] if edits <= budget else []
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_chars`` characters, each small enough to broadcast."""
+def item_blocks(benchmark: DataFrame, block_chars: int, id_col: str, text_col: str, min_chars: int) -> list[str]:
+    """Folders of the items in blocks of about ``block_chars`` characters, written to the shared
+    folder; the driver only learns how many there are."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    items = items.where(F.length("text") >= min_chars).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
-    for block in range(n):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == block).distinct()
-        yield [(r["id"], r["text"]) for r in own.orderBy("id", "text").toLocalIterator()]
+    folder = f"{shared_folder(benchmark.sparkSession)}/items-{uuid.uuid4().hex}"
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")
+    items.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(folder)
+    return [f"{folder}/block={i}" for i in range(n)]
+
+
+def _items(path: str) -> list[tuple[int, str]]:
+    """The items of a block; an empty one has no folder."""
+    system, name = fs.FileSystem.from_uri(path)
+    if system.get_file_info(name).type == fs.FileType.NotFound:
+        return []
+    files = [f.path for f in system.get_file_info(fs.FileSelector(name)) if f.path.endswith(".parquet")]
+    tables = [pq.read_table(f, filesystem=system, columns=["id", "text"], partitioning=None) for f in files]
+    return sorted((row for t in tables for row in zip(*(c.to_pylist() for c in t.columns))), key=_order)
 
 
 def find_items(
@@ -126,13 +161,16 @@ def find_items(
     block_chars: int = 4_000_000,
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    min_chars: int = 1,
 ) -> DataFrame:
     """Every row of ``docs`` as a struct ``row``, with ``matches``: an array of structs
     ``item_id, start, end, edits`` sorted by item.
 
     Case and white space do not count. An item of n characters may have
     ``n * error_rate`` edits (rounded down). Positions are those of the normalised text;
-    the start of a match with edits is that of its end less the item's length. Null or
+    the start of a match with edits is that of its end less the item's length. An item too
+    short for an edit must begin and end where words do; items of fewer than ``min_chars``
+    characters are left out (none by default). Null or
     blank items and texts match nothing; each row is searched by itself, so repeated rows
     agree, and repeated items report each id once. Columns may have any name. A benchmark of
     any size is worked through in blocks. An empty table yields an empty result.
@@ -141,9 +179,9 @@ def find_items(
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "end", "edits")]))
     found = docs.select(F.struct("*").alias("row")).withColumn("matches", F.array().cast(T.ArrayType(span)))
 
-    def searcher(items: list[tuple[int, str]]):
+    def searcher(path: str):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, error_rate)
+            matcher = Matcher(_items(path), error_rate)
             for batch in batches:
                 matches = []
                 for text, before in zip(batch.column("text"), batch.column("matches")):
@@ -154,10 +192,11 @@ def find_items(
         return each
 
     schema = found.schema
-    for items in item_blocks(benchmark, block_chars, item_id_col, item_text_col):
-        if items:
-            rows = found.select("row", "matches", text_or_empty(F.col("row").getField(text_col)).alias("text"))
-            found = rows.mapInArrow(searcher(items), schema)
+    for number, path in enumerate(item_blocks(benchmark, block_chars, item_id_col, item_text_col, min_chars), 1):
+        rows = found.select("row", "matches", text_or_empty(F.col("row").getField(text_col)).alias("text"))
+        found = rows.mapInArrow(searcher(path), schema)
+        if number % _STAGE == 0:
+            found = staged(found, "searched")
     return found
 
 
