@@ -111,7 +111,8 @@ def _segment_batch(rows: list[tuple[int, int, str]], width: int) -> pa.RecordBat
     scattered = ((place[0] + place[2]).astype(np.uint64) * _FACTORS[0]).view(np.int64)
     anchor = np.where(removed, scattered, anchor)
     arrays = [pa.array(anchor), pa.array(np.ascontiguousarray(content, np.int64)), pa.array(place[0].astype(np.int64))]
-    arrays += [pa.array(p.astype(np.int32)) for p in place[1:]]
+    arrays.append(pa.array(place[1]))
+    arrays += [pa.array(p.astype(np.int32)) for p in place[2:]]
     return pa.RecordBatch.from_arrays([*arrays, pa.array(removed)], _SEGMENT)
 
 
@@ -238,7 +239,7 @@ def removed_windows(docs: DataFrame, width: int, id_col: str, text_col: str, gro
     ranges`` with the first and last start of windows that occur earlier."""
     spark = docs.sparkSession
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_SMALLEST)).alias("id"), F.hash(text_col).alias("hash"), text_or_empty(text_col).alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_SMALLEST)).alias("id"), F.xxhash64(text_col).alias("hash"), text_or_empty(text_col).alias("text")
     )
     number = partitions(spark)
 
@@ -251,9 +252,9 @@ def removed_windows(docs: DataFrame, width: int, id_col: str, text_col: str, gro
             names = ["anchor", "id", "hash", "first", "last"]
             yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(found[n]) for n in names)], ["kind", *names])
 
-    cuts = rows.mapInArrow(cut, "anchor long, content long, id long, hash int, first int, last int, removed boolean")
+    cuts = rows.mapInArrow(cut, "anchor long, content long, id long, hash long, first int, last int, removed boolean")
     cuts = cuts.repartition(number, "anchor").sortWithinPartitions("anchor", "content", "id", "hash", "first")
-    met = staged(cuts.mapInArrow(meet, "kind int, anchor long, id long, hash int, first int, last int"), "segments")
+    met = staged(cuts.mapInArrow(meet, "kind int, anchor long, id long, hash long, first int, last int"), "segments")
 
     split = met.where("kind = 1")
     hot = split.groupBy("anchor").count().where(F.col("count") > group_limit)
@@ -270,11 +271,11 @@ def removed_windows(docs: DataFrame, width: int, id_col: str, text_col: str, gro
                 found = batch.column("segments")[at].values
                 first, last = found.field("first").to_pylist(), found.field("last").to_pylist()
                 texts = pa.array([data[a : b + width] for a, b in zip(first, last)], pa.binary())
-                owner = [pa.array([batch.column(c)[at].as_py()] * len(first), k) for c, k in (("id", pa.int64()), ("hash", pa.int32()))]
+                owner = [pa.array([batch.column(c)[at].as_py()] * len(first), k) for c, k in (("id", pa.int64()), ("hash", pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*owner, *(found.field(n) for n in names), texts], ["id", "hash", *names, "text"])
 
     texts = rows.join(wanted, ["id", "hash"]).select("id", "hash", "text", "segments").mapInArrow(
-        fetch, "id long, hash int, anchor long, share int, shares int, first int, last int, text binary"
+        fetch, "id long, hash long, anchor long, share int, shares int, first int, last int, text binary"
     )
     texts = texts.repartition(number, "anchor", "share").sortWithinPartitions("anchor", "share", "id", "hash", "first")
 
@@ -311,10 +312,10 @@ def removed_windows(docs: DataFrame, width: int, id_col: str, text_col: str, gro
                 for start in np.setdiff1d(np.arange(last - first + 1), own).tolist():
                     out.append((id_, hash_, start + first, start + first, xxhash.xxh3_128_digest(text[start : start + width])))
         columns = zip(*out) if out else [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "hash", "first", "last", "mark"])
 
-    ordered = staged(texts.mapInArrow(order, "id long, hash int, first int, last int, mark binary"), "windows")
+    ordered = staged(texts.mapInArrow(order, "id long, hash long, first int, last int, mark binary"), "windows")
     shared = ordered.where("mark is not null")
     place = F.struct("id", "hash", "first")
     earliest = shared.groupBy("mark").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where(F.col("n") > 1)
@@ -345,7 +346,8 @@ def dedup_substrings(
 
     Each byte that lies in a ``width``-byte string which also starts earlier is removed:
     in a smaller id, or in the same text at an earlier start. Strings are judged on the
-    input. A null text is empty. Rows that share an id are told apart and ordered by a hash
+    input. A null text is empty. Ids are whole numbers (``long``, or text that is one; other
+    text fails the job). Rows that share an id are told apart and ordered by a 64-bit hash
     of the text; rows that repeat id and text are one and get equal results; null ids are
     one smallest id. Whole texts are read, whatever their length. Other columns are not
     read. An empty table yields an empty result.
