@@ -69,7 +69,7 @@ SQL["sink_json_rows"] = _p(
 # -- joins ---
 
 _LATEST = "m.id, s.status as r_status, s.nomeusu as r_nomeusu, s.dataini as r_dataini"
-SQL["join_latest_inner"] = _p(
+SQL["join_latest_inner"] = SQL["join_bucketed_layout"] = _p(
     f"select {_LATEST} from m, lateral (select * from r where r.codcco = m.codcco"
     " order by r.numseq desc nulls first limit 1) s"
 )

@@ -15,6 +15,7 @@ from concilia.functions import (
     first_present, is_blank, older_than_days, parse_two_format_date, upper_trim, word_count,
 )
 from concilia.functions.predicates import compatible_keys
+from concilia.functions.prepare import prepare_registry
 from concilia.operators import changes, groups, intervals, ledger, matching, pages, rejections, shaping
 from concilia.operators.versions import first_per_key, high_water_mark, latest_version
 from concilia.plans import convergence, corrections, incremental, scan
@@ -25,7 +26,7 @@ from concilia.sources import rejection_xml, snapshots
 from concilia.sources.derived import (
     included_records, load, load_rejections, rejection_records, write_rejection_files,
 )
-from concilia.sources.sinks import iso_text, to_json_rows, write_csv
+from concilia.sources.sinks import iso_text, save_bucketed, to_json_rows, write_csv
 from concilia.streaming import renewals
 from concilia.streaming.pending import resolve_stream
 from concilia.streaming.rejections import stream_rejections
@@ -150,6 +151,17 @@ def join_latest_inner(spark, sf):
     return joined.select("id", "r_status", "r_nomeusu", "r_dataini")
 
 
+@query
+def join_bucketed_layout(spark, sf):
+    """The join with the newest versions where the registry lies in buckets by its CCO."""
+    ctx = load(spark, sf)
+    table = f"registry_{os.urandom(8).hex()}"
+    save_bucketed(ctx.registry, table, "codcco", 8, f"{scratch(spark)}/{table}")
+    newest = matching.newest_rows(prepare_registry(spark.table(table)), ["r_codcco"])
+    joined = matching.lookup_on_layout(ctx.m, newest, "codcco", "r_codcco", "inner")
+    return joined.select("id", "r_status", "r_nomeusu", "r_dataini")
+
+
 @query
 def join_latest_left(spark, sf):
     ctx = load(spark, sf)

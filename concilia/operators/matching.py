@@ -67,6 +67,38 @@ def lookup(
     return rows.join(unique, condition, how).drop("_slot_l", "_slot_r")
 
 
+def lookup_on_layout(
+    left: DataFrame, right: DataFrame, key: str, right_key: str, how: str = "left", hottest: int = 64
+) -> DataFrame:
+    """``lookup`` by one key that leaves ``right`` where it lies.
+
+    For a ``right`` whose table is bucketed by its key (``sinks.save_bucketed``) and unique on
+    it: only ``left`` is moved, to the buckets. What ``lookup`` does with slots, which would
+    move both sides, is done for hot keys alone: the ``hottest`` keys of ``left`` are found
+    with a sketch, and their rows are joined where they are with the at most ``hottest`` rows
+    of ``right`` they meet, which are broadcast. The sketch decides the way, not the result.
+    Rows without a key meet nothing and are not moved. ``how`` is ``inner`` or ``left``.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"how must be inner or left, not {how!r}")
+    known = left.filter(F.col(key).isNotNull())
+    found = known.agg(
+        F.expr(f"approx_top_k({key}, {hottest}, {100 * hottest})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).first()
+    share = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    hot = [top["item"] for top in found["top"] or [] if top["count"] * share > found["n"]]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    condition = F.col(key) == F.col(right_key)
+    out = known.filter(~is_hot).join(right, condition, how)
+    if hot:
+        few = right.filter(F.col(right_key).isin(hot))
+        out = out.unionByName(known.filter(is_hot).join(F.broadcast(few), condition, how))
+    if how == "left":
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema]
+        out = out.unionByName(left.filter(F.col(key).isNull()).select("*", *nothing))
+    return out
+
+
 def distinct_keys(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).dropna().distinct()
 

@@ -52,10 +52,12 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
     """A table hashed and sorted by ``key``.
 
-    Newest versions per ``key`` are then picked without moving the table. Joins still
-    exchange it: lookups add a slot to their keys so that hot keys can be split.
+    Newest versions per ``key`` are then picked without moving the table, and
+    ``matching.lookup_on_layout`` joins them where they lie; ``lookup`` adds a slot to its keys
+    and moves both sides. ``path`` puts the files elsewhere than in the warehouse.
     """
-    df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    writer = df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -206,3 +206,31 @@ def test_a_hot_key_is_split(spark):
         for name in SKEW:
             spark.conf.unset(name)
 
+
+
+def test_a_bucketed_table_is_joined_where_it_lies(spark, derived):
+    from concilia.functions.prepare import prepare_registry
+    from concilia.sources import sinks
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sinks.save_bucketed(derived.registry, "registry_in_place", "codcco", 8)
+        newest = matching.newest_rows(prepare_registry(spark.table("registry_in_place")), ["r_codcco"])
+        want = matching.lookup(derived.m, matching.newest_rows(derived.r, ["r_codcco"]), {"codcco": "r_codcco"}, "left")
+        # A third of the members on one CCO, and some without any.
+        hot = derived.m.withColumn("codcco", F.when(F.col("id") % 3 == 0, F.lit("000000000008")).when(F.col("id") % 7 > 0, F.col("codcco")))
+        for members, kept in ((derived.m, want), (hot, None)):
+            got = matching.lookup_on_layout(members, newest, "codcco", "r_codcco", "left")
+            plan = plan_of(got)
+            moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+            assert moved and not any("r_codcco" in line for line in moved), plan
+            assert got.count() == members.count()
+            if kept is None:
+                kept = matching.lookup(members, matching.newest_rows(derived.r, ["r_codcco"]), {"codcco": "r_codcco"}, "left")
+                assert "BroadcastHashJoin" in plan
+            columns = ["id", "r_numseq", "r_status"]
+            assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, kept.select(*columns).collect()))
+            inner = matching.lookup_on_layout(members, newest, "codcco", "r_codcco", "inner")
+            assert inner.count() == got.where("r_codcco is not null").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
