@@ -288,3 +288,31 @@ def test_bucketed_tables_need_no_shuffle_for_newest_versions(spark, derived):
         assert newest.exceptAll(want).count() == want.exceptAll(newest).count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_header_that_names_a_registro_ans_is_whole(spark, folder):
+    """The name begins like the end of a record, where files are cut."""
+    from concilia.sources import rejection_xml
+
+    head = (
+        "<mensagemSIB><cabecalho><identificacaoTransacao><tipoTransacao>RESULTADO</tipoTransacao>"
+        "<sequencialTransacao>7</sequencialTransacao></identificacaoTransacao><origem>{origin}</origem>"
+        "<destino><registroANS>123456</registroANS></destino><versaoPadrao>1.1</versaoPadrao></cabecalho>"
+        "<mensagem><arquivoProcessado><registrosRejeitados><registroRejeitado cco='1'/></registrosRejeitados>"
+        "</arquivoProcessado></mensagem></mensagemSIB>"
+    )
+    for name, origin in (("a", "<cnpj>1</cnpj>"), ("b", "<registroANS>99</registroANS><cnpj>1</cnpj>")):
+        with open(f"{folder}/{name}.xml", "w", encoding="latin-1") as out:
+            out.write(head.format(origin=origin))
+    rows = rejection_xml.read_file_headers(spark, folder).collect()
+    assert {(r.tipo_transacao, r.sequencial, r.cnpj_origem, r.registro_ans, r.versao_padrao) for r in rows} == {
+        ("RESULTADO", "7", "1", "123456", "1.1")
+    } and len(rows) == 2
+    assert [r.cco for r in rejection_xml.read_rejections(spark, folder).collect()] == ["1", "1"]
+
+
+def test_csv_keeps_blanks_at_the_ends(spark, folder):
+    df = spark.createDataFrame([(" a ", None), ("", "b ")], "x string, y string")
+    sinks.write_csv(df, f"{folder}/csv")
+    back = spark.read.option("sep", ";").option("header", True).csv(f"{folder}/csv")
+    assert sorted(map(tuple, back.na.fill("").collect())) == [("", "b "), (" a ", "")]
