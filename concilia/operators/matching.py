@@ -219,10 +219,13 @@ def tiered_match(
     return by_cco.unionByName(other).drop("_status")
 
 
-def identity_match(members: DataFrame, registry: DataFrame, *extra: str) -> DataFrame:
-    """Newest registry row with the same name, birth, start and CPF digits (both may lack a CPF)."""
+def identities(registry: DataFrame, *extra: str) -> DataFrame:
+    """Newest registry row per name, birth, start and CPF digits. Prepared registry."""
     keys = ["r_name", "r_birth", "r_start", "r_digits"]
-    newest = newest_rows(registry.filter("r_name <> ''"), keys, *extra)
+    return newest_rows(registry.filter("r_name <> ''"), keys, *extra)
+
+
+def with_identities(members: DataFrame, newest: DataFrame) -> DataFrame:
     return lookup(
         members.filter("m_name <> ''"),
         newest,
@@ -230,3 +233,7 @@ def identity_match(members: DataFrame, registry: DataFrame, *extra: str) -> Data
         "inner",
     )
 
+
+def identity_match(members: DataFrame, registry: DataFrame, *extra: str) -> DataFrame:
+    """Newest registry row with the same name, birth, start and CPF digits (both may lack a CPF)."""
+    return with_identities(members, identities(registry, *extra))

@@ -7,6 +7,7 @@ of them are counted.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 from datetime import date
 from functools import cached_property
@@ -34,6 +35,7 @@ class Reconciliation:
     as_of: str
     as_of_ts: str
     ledger: DataFrame | None = None
+    sides: Mapping[str, DataFrame] | None = None
 
     @cached_property
     def day(self) -> Column:
@@ -54,6 +56,60 @@ class Reconciliation:
     def with_members(self, members: DataFrame) -> "Reconciliation":
         return replace(self, members=members)
 
+    # -- registry sides: what a frame looks up, of the registry alone --------------------
+
+    def side(self, frame: str) -> DataFrame:
+        """The registry side of a frame: the one that is kept, or else its definition."""
+        kept = (self.sides or {}).get(frame)
+        return getattr(self, f"_side_{frame}")() if kept is None else kept
+
+    def with_sides(self, frames: Iterable[str], keep: Callable[[DataFrame, str], DataFrame]) -> "Reconciliation":
+        """The same tables, with the registry sides of these frames as ``keep(df, frame)`` gives
+        them. For work that evaluates frames again and again while only members change."""
+        there = [frame for frame in frames if hasattr(self, f"_side_{frame}")]
+        return replace(self, sides={frame: keep(self.side(frame), frame) for frame in there})
+
+    def _side_by_cco(self) -> DataFrame:
+        return newest_rows(self.r, ["r_codcco"])
+
+    def _side_by_cco_full(self) -> DataFrame:
+        extra = (
+            "r_docident", "r_mae", "r_cns", "r_parentesco", "r_codplaport", "r_codplaope",
+        )
+        return newest_rows(self.r, ["r_codcco"], *extra)
+
+    def _side_by_trimmed_cco(self) -> DataFrame:
+        return newest_rows(self.r, ["r_cco"])
+
+    def _side_by_cpf(self) -> DataFrame:
+        extra = ("r_codtit", "r_codplaport", "r_codplaope", "r_cnpj")
+        known = self.r.filter(
+            F.col("r_cco").isNotNull() & F.col("r_state").isin(REG_ACTIVE, REG_INACTIVE)
+        )
+        return newest_rows(known, ["r_cpf", "r_state"], *extra)
+
+    def _side_names(self) -> DataFrame:
+        named = self.r.filter("r_name <> ''").select(
+            "r_codcco", "r_numseq", "r_nomeusu", "r_name"
+        )
+        return latest_two_distinct(named, ["r_codcco"], "r_name", "r_numseq", "v")
+
+    def _side_births(self) -> DataFrame:
+        born = self.r.filter(F.col("r_birth").isNotNull() & F.col("r_name").isNotNull()).select(
+            "r_codcco", "r_start", "r_cpf", "r_name", "r_numseq", "r_birth", "r_nascusu"
+        )
+        same = ["r_codcco", "r_start", "r_cpf", "r_name"]
+        return latest_two_distinct(born, same, "r_birth", "r_numseq", "v")
+
+    def _side_codes(self) -> DataFrame:
+        coded = self.r.filter(is_present("r_codusu")).select(
+            "r_cco", "r_cpf", "r_start", "r_numseq", "r_codusu"
+        )
+        return latest_version(coded, ["r_cco", "r_cpf", "r_start"])
+
+    def _side_identity(self) -> DataFrame:
+        return matching.identities(self.r, "r_sexousu", "r_cns")
+
     # -- frames: members in, members with facts out ---------------------------------
 
     def frame(self, name: str, given: Column) -> DataFrame:
@@ -65,42 +121,27 @@ class Reconciliation:
 
     def _frame_by_cco(self, given: Column) -> DataFrame:
         """Newest version of the member's CCO as it is written; members without one stay."""
-        newest = newest_rows(self.r, ["r_codcco"])
-        return lookup(self.m.filter(given), newest, {"codcco": "r_codcco"}, "left")
+        return lookup(self.m.filter(given), self.side("by_cco"), {"codcco": "r_codcco"}, "left")
 
     def _frame_by_cco_full(self, given: Column) -> DataFrame:
         """The same with every registry field that can be compared."""
-        extra = (
-            "r_docident", "r_mae", "r_cns", "r_parentesco", "r_codplaport", "r_codplaope",
-        )
-        newest = newest_rows(self.r, ["r_codcco"], *extra)
-        return lookup(self.m.filter(given), newest, {"codcco": "r_codcco"}, "left")
+        return lookup(self.m.filter(given), self.side("by_cco_full"), {"codcco": "r_codcco"}, "left")
 
     def _frame_by_trimmed_cco(self, given: Column) -> DataFrame:
-        newest = newest_rows(self.r, ["r_cco"])
-        return lookup(self.m.filter(given), newest, {"m_cco": "r_cco"}, "inner")
+        return lookup(self.m.filter(given), self.side("by_trimmed_cco"), {"m_cco": "r_cco"}, "inner")
 
     def _frame_by_cpf(self, given: Column) -> DataFrame:
         """Per status, the newest registry row that has a CCO and the member's CPF."""
-        extra = ("r_codtit", "r_codplaport", "r_codplaope", "r_cnpj")
-        known = self.r.filter(
-            F.col("r_cco").isNotNull() & F.col("r_state").isin(REG_ACTIVE, REG_INACTIVE)
-        )
-        newest = newest_rows(known, ["r_cpf", "r_state"], *extra)
-        return lookup(self.m.filter(given), newest, {"m_cpf": "r_cpf"}, "inner")
+        return lookup(self.m.filter(given), self.side("by_cpf"), {"m_cpf": "r_cpf"}, "inner")
 
     def _frame_names(self, given: Column) -> DataFrame:
         """The newest two differing names of the CCO, and the contract's names."""
-        named = self.r.filter("r_name <> ''").select(
-            "r_codcco", "r_numseq", "r_nomeusu", "r_name"
-        )
-        names = latest_two_distinct(named, ["r_codcco"], "r_name", "r_numseq", "v")
         contracts = self.contracts.select(
             F.col("codtit").alias("ct_codtit"), "nometit", "dtope",
             upper_trim("nometit").alias("ct_name"),
         )
         titles = latest_two_distinct(contracts, ["ct_codtit"], "ct_name", "dtope", "t")
-        joined = lookup(self.m.filter(given), names, {"codcco": "r_codcco"}, "inner")
+        joined = lookup(self.m.filter(given), self.side("names"), {"codcco": "r_codcco"}, "inner")
         joined = lookup(joined, titles, {"codtit": "ct_codtit"}, "left")
         # A member differs from some version / contract name iff it differs from one of two.
         title_differs = (F.col("t1.ct_name") != F.col("m_name")) | F.col("t2").isNotNull()
@@ -120,13 +161,8 @@ class Reconciliation:
 
     def _frame_births(self, given: Column) -> DataFrame:
         """Same CCO, start, CPF and name: the newest version with another birth."""
-        born = self.r.filter(F.col("r_birth").isNotNull() & F.col("r_name").isNotNull()).select(
-            "r_codcco", "r_start", "r_cpf", "r_name", "r_numseq", "r_birth", "r_nascusu"
-        )
-        same = ["r_codcco", "r_start", "r_cpf", "r_name"]
-        births = latest_two_distinct(born, same, "r_birth", "r_numseq", "v")
         keys = {"codcco": "r_codcco", "dataini": "r_start", "m_cpf": "r_cpf", "m_name": "r_name"}
-        joined = lookup(self.m.filter(given), births, keys, "inner")
+        joined = lookup(self.m.filter(given), self.side("births"), keys, "inner")
         return joined.withColumn(
             "other_birth",
             F.when(F.col("v1.r_birth") != F.col("nascusu"), F.col("v1")).otherwise(F.col("v2")),
@@ -134,17 +170,13 @@ class Reconciliation:
 
     def _frame_codes(self, given: Column) -> DataFrame:
         """Newest registry row with a code, of the same CCO, CPF and start."""
-        coded = self.r.filter(is_present("r_codusu")).select(
-            "r_cco", "r_cpf", "r_start", "r_numseq", "r_codusu"
-        )
-        newest = latest_version(coded, ["r_cco", "r_cpf", "r_start"])
         keys = {"m_cco": "r_cco", "m_cpf": "r_cpf", "dataini": "r_start"}
         return lookup(
-            self.m.filter(given), newest, keys, "left", when=F.col("situusu") == INACTIVE
+            self.m.filter(given), self.side("codes"), keys, "left", when=F.col("situusu") == INACTIVE
         )
 
     def _frame_identity(self, given: Column) -> DataFrame:
-        return matching.identity_match(self.m.filter(given), self.r, "r_sexousu", "r_cns")
+        return matching.with_identities(self.m.filter(given), self.side("identity"))
 
     def _frame_absent(self, given: Column) -> DataFrame:
         return matching.members_absent_from_registry(self.m.filter(given), self.r)

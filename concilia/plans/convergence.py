@@ -4,7 +4,12 @@ Plans feed each other: a correction may make another rule hit the same member. I
 every member takes the changes of one plan, the first in catalogue order that would change
 it, all decided on one snapshot. A member that comes back to a state it has been in is in a
 cycle: it is left there, named, and takes no further part. Each member runs through
-different states only, so the rounds end.
+different states only, so members come to rest. A contract whose holders differ may still
+take their names in turn: once it has a name again that it had, and none of its members has
+changed since, it is in a cycle too and keeps that name. So the rounds end.
+
+Rounds change members and contracts, not the registry: what the frames look up of it is
+reduced once, before the first round.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from concilia import schemas
+from concilia.plans.catalogue import BY_ID
 from concilia.plans.context import Reconciliation
 from concilia.plans.corrections import CONTRACT_TABLE, MEMBER_TABLE, PLANS, change_set
 from concilia.session import shared_folder
@@ -29,13 +35,15 @@ FIELDS = tuple(dict.fromkeys(field for plan in PLANS for field in plan.assign))
 class Converged:
     """``members`` and ``contracts`` at the end, ``trail`` (``id, round, rule_id``: which plan
     changed a member when), ``cycles`` (``id, round, since``: in which round a member came
-    back to the state it had after round ``since``), and the number of rounds with changes."""
+    back to the state it had after round ``since``), the number of rounds with changes, and
+    ``contract_cycles`` (``codtit, round, since``: the same of contract names)."""
 
     members: DataFrame
     contracts: DataFrame
     trail: DataFrame
     cycles: DataFrame
     rounds: int
+    contract_cycles: DataFrame
 
 
 def _state() -> Column:
@@ -75,8 +83,13 @@ def _wide(chosen: DataFrame, rows: DataFrame) -> DataFrame:
     return after.select("id", "rule_id", "before", _state().alias("after"), *[F.col(f).alias(f"new_{f}") for f in FIELDS])
 
 
-def _contracts(now: Reconciliation, changes: DataFrame) -> DataFrame:
+def _names(changes: DataFrame, cycles: DataFrame) -> DataFrame:
+    """``codtit, new_name``: the names that contracts outside ``cycles`` take."""
     named = changes.where(F.col("table_name") == CONTRACT_TABLE).groupBy(F.col("key").alias("codtit")).agg(F.min("new_value").alias("new_name"))
+    return named.join(cycles.select("codtit"), "codtit", "left_anti")
+
+
+def _contracts(now: Reconciliation, named: DataFrame) -> DataFrame:
     differs = F.col("new_name").isNotNull() & ~F.col("new_name").eqNullSafe(F.col("nometit"))
     joined = now.contracts.join(named, "codtit", "left").withColumns({
         "nometit": F.when(differs, F.col("new_name")).otherwise(F.col("nometit")),
@@ -85,6 +98,21 @@ def _contracts(now: Reconciliation, changes: DataFrame) -> DataFrame:
     return joined.select(*now.contracts.columns)
 
 
+def _named_again(named: DataFrame, titles: DataFrame, trail: DataFrame, members: DataFrame, number: int) -> DataFrame:
+    """``codtit, round, since`` of contracts that take a name they had after round ``since``,
+    while none of their members has changed."""
+    had = titles.select(F.col("codtit").alias("of"), "round", "name")
+    again = named.join(had, F.expr("codtit = of and new_name = name")).groupBy("codtit").agg(F.max("round").alias("since"))
+    moved = members.select("id", F.col("codtit").alias("of")).join(trail, "id").groupBy("of").agg(F.max("round").alias("last"))
+    still = again.join(moved, F.expr("codtit = of and last > since"), "left_anti")
+    return still.select("codtit", F.lit(number).alias("round"), "since")
+
+
+def _frames(rule_ids: Sequence[str] | None) -> set[str]:
+    plans = [plan for plan in PLANS if rule_ids is None or plan.rule_id in rule_ids]
+    return {part.frame for plan in plans for part in (*(plan.parts or ()), *BY_ID[plan.rule_id].parts)}
+
+
 def converge(ctx: Reconciliation, rule_ids: Sequence[str] | None = None, buckets: int = 64) -> Converged:
     """The tables after all plans (or the given ones), applied until nothing changes.
 
@@ -95,23 +123,27 @@ def converge(ctx: Reconciliation, rule_ids: Sequence[str] | None = None, buckets
     spark = ctx.members.sparkSession
     scratch = _Scratch(spark)
     store = snapshots.Store(f"{scratch.path}/members", schemas.MEMBERS, buckets)
-    version, rounds, now = snapshots.create(store, ctx.members), 0, ctx
+    version, rounds = snapshots.create(store, ctx.members), 0
+    now = ctx.with_sides(sorted(_frames(rule_ids)), lambda df, frame: scratch.keep(df, f"side-{frame}"))
     trail = spark.createDataFrame([], "id long, round int, rule_id string")
     cycles = spark.createDataFrame([], "id long, round int, since int")
     states = spark.createDataFrame([], "id long, round int, state string")
+    titles = spark.createDataFrame([], "codtit string, round int, name string")
+    contract_cycles = spark.createDataFrame([], "codtit string, round int, since int")
     while True:
         members = snapshots.read(spark, store, version)
         now = replace(now, members=members)
         changes = scratch.keep(change_set(now, rule_ids), f"changes-{rounds + 1}")
         free = _chosen(changes).join(cycles.select("id"), "id", "left_anti")
         moves = scratch.keep(_wide(free, members), f"moves-{rounds + 1}")
-        retitled = not changes.where(F.col("table_name") == CONTRACT_TABLE).isEmpty()
+        named = scratch.keep(_names(changes, contract_cycles), f"names-{rounds + 1}")
+        retitled = not named.isEmpty()
         if moves.isEmpty() and not retitled:
-            return Converged(members, now.contracts, trail, cycles, rounds)
+            return Converged(members, now.contracts, trail, cycles, rounds, contract_cycles)
         rounds += 1
         version = snapshots.apply(spark, store, version, moves.drop("rule_id", "before", "after"), ctx.day, ctx.moment)
         if retitled:
-            now = replace(now, contracts=scratch.keep(_contracts(now, changes), f"contracts-{rounds}"))
+            now = replace(now, contracts=scratch.keep(_contracts(now, named), f"contracts-{rounds}"))
         # States before a member's first change are known from then on.
         first = moves.join(states.select("id").distinct(), "id", "left_anti")
         states = states.unionByName(first.select("id", F.lit(rounds - 1).alias("round"), F.col("before").alias("state")))
@@ -123,3 +155,8 @@ def converge(ctx: Reconciliation, rule_ids: Sequence[str] | None = None, buckets
             states.unionByName(moves.select("id", F.lit(rounds).alias("round"), F.col("after").alias("state"))), f"states-{rounds}"
         )
         trail = scratch.keep(trail.unionByName(moves.select("id", F.lit(rounds).alias("round"), "rule_id")), f"trail-{rounds}")
+        if retitled:
+            again = _named_again(named, titles, trail, members, rounds)
+            contract_cycles = scratch.keep(contract_cycles.unionByName(again), f"contract-cycles-{rounds}")
+            taken = named.select("codtit", F.lit(rounds).alias("round"), F.col("new_name").alias("name"))
+            titles = scratch.keep(titles.unionByName(taken), f"titles-{rounds}")

@@ -100,3 +100,20 @@ def test_plans_converge_and_cycles_are_named(spark):
     # Without the plan that undoes the other, everything settles.
     calm = convergence.converge(ctx, [r for r in rules if not r.startswith("ativo_inativo")], buckets=4)
     assert calm.cycles.count() == 0 and calm.rounds == 1
+
+
+def test_holders_of_one_contract_that_differ_come_to_an_end(spark):
+    """Two holders share a contract and each wants its own name on it; the registry is read once."""
+    people = [
+        member(1, nomeusu="ANA LIMA", codcco="C1"), member(2, nomeusu="BIA LIMA", codcco="C2"),
+        member(3, codtit="0002-0001", nomeusu="CAROL LIMA", codcco="C3"),
+    ]
+    versions = [version(i, codcco=f"C{i}", nomeusu=n) for i, n in ((1, "ANA LIMA"), (2, "BIA LIMA"), (3, "CAROL LIMA"))]
+    contracts = [{"codtit": "0001-0001", "nometit": "OLD"}, {"codtit": "0002-0001", "nometit": "OLD"}]
+    ctx = context(spark, people, versions, contracts)
+    done = convergence.converge(ctx, ["divergencia_nome_cadusu_confsib"], buckets=4)
+    assert [r.codtit for r in done.contract_cycles.collect()] == ["0001-0001"] and done.rounds <= 4
+    names = {r.codtit: r.nometit for r in done.contracts.collect()}
+    assert names["0001-0001"] in ("ANA LIMA", "BIA LIMA") and names["0002-0001"] == "CAROL LIMA"
+    assert {r.id: (r.ansnome, r.posans) for r in done.members.collect()} == {i: ("1", "10-SIB-FLEX") for i in (1, 2, 3)}
+    assert done.cycles.count() == 0
