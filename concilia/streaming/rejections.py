@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
@@ -27,3 +27,20 @@ def stream_rejections(
     return pieces(arriving.load(path), encoding).writeStream.foreachBatch(
         lambda batch, number: each(rejections_in(batch), number)
     )
+
+
+def finish_together(writers: Mapping[str, DataStreamWriter], checkpoints: str) -> None:
+    """Runs writers over different files at the same time, until all that has arrived is read.
+
+    A batch of a few small files keeps a few cores busy and mostly waits for its own start and
+    commit; batches of several streams share the cluster. Each has a checkpoint by its name.
+    """
+    running = []
+    try:
+        for name, writer in writers.items():
+            running.append(writer.option("checkpointLocation", f"{checkpoints}/{name}").trigger(availableNow=True).start())
+        for stream in running:
+            stream.awaitTermination()
+    finally:
+        for stream in running:
+            stream.stop()

@@ -316,3 +316,23 @@ def test_csv_keeps_blanks_at_the_ends(spark, folder):
     sinks.write_csv(df, f"{folder}/csv")
     back = spark.read.option("sep", ";").option("header", True).csv(f"{folder}/csv")
     assert sorted(map(tuple, back.na.fill("").collect())) == [("", "b "), (" a ", "")]
+
+
+def test_streams_over_parts_of_a_folder_run_together(spark, folder):
+    """Each has its own checkpoint and batches; every row is handed out once, now and later."""
+    from concilia.streaming.rejections import finish_together
+
+    def batches(prefix):
+        name = f"{folder}/{{}}/part={prefix}"
+        rows = spark.readStream.schema("n long").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in/{prefix}*")
+        return rows.writeStream.foreachBatch(lambda batch, number: batch.write.parquet(f"{name.format('out')}/batch={number}"))
+
+    def arrive(names):
+        for name in names:
+            spark.range(3).select((F.col("id") * 10 + int(name[1:])).alias("n")).coalesce(1).write.parquet(f"{folder}/in/{name}")
+        finish_together({prefix: batches(prefix) for prefix in "abc"}, f"{folder}/state")
+        return sorted(r.n for r in spark.read.parquet(f"{folder}/out").collect())
+
+    want = lambda *ends: sorted(10 * i + e for i in range(3) for e in ends)
+    assert arrive(["a0", "a1", "a2", "b3"]) == want(0, 1, 2, 3)
+    assert arrive(["b4", "a5"]) == want(0, 1, 2, 3, 4, 5)
