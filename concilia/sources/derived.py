@@ -21,6 +21,9 @@ from concilia.sources.tables import conform, read_tables
 AS_OF = "2001-10-31"
 AS_OF_TS = "2001-10-31 12:00:00"
 
+#: A file is one row group, which one task reads whole, however small its splits are.
+ROWS_PER_FILE = 50_000
+
 
 class _Dialect:
     def __init__(self, duckdb: bool):
@@ -209,7 +212,8 @@ def load(spark: SparkSession, sf_dir: str) -> Reconciliation:
         }
         for name, (schema, sql) in tables.items():
             inputs = {"orders": orders} if name == "confsib" else {"customer": customer}
-            conform(spark.sql(sql, **inputs), schema).write.parquet(f"{folder}/{name}")
+            rows = conform(spark.sql(sql, **inputs), schema)
+            rows.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{folder}/{name}")
         _LOADED[key] = read_tables(spark, folder, AS_OF, AS_OF_TS)
     return _LOADED[key]
 

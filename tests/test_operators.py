@@ -7,6 +7,7 @@ from concilia.functions.prepare import prepare_members, prepare_registry
 from concilia.operators import changes, groups, intervals, matching
 from concilia.operators.versions import first_per_key, latest_two_distinct, latest_version
 from concilia.streaming.registry import newest_versions
+from concilia.session import adapt
 from tests.helpers import context, ids, member, plan_of, version
 
 
@@ -234,3 +235,29 @@ def test_a_bucketed_table_is_joined_where_it_lies(spark, derived):
             assert inner.count() == got.where("r_codcco is not null").count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_a_task_sorts_does_not_follow_from_the_number_of_partitions(spark):
+    """With few shuffle partitions set, a large exchange is still dealt into more tasks."""
+    adapt(spark)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        rows = spark.range(0, 400_000, 1, 4).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        assert matching.distinct_keys(rows, "text").rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_files_of_derived_tables_are_bounded(spark, folder, monkeypatch):
+    from concilia.sources import derived as source
+
+    monkeypatch.setattr(source, "ROWS_PER_FILE", 40)
+    names = {"customer": "select id as c_custkey from range(150)",
+             "orders": "select id as o_orderkey, id % 150 as o_custkey, 'O' as o_orderstatus from range(300)"}
+    for name, sql in names.items():
+        spark.sql(sql).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    ctx = source.load(spark, folder)
+    for table, least in ((ctx.members, 150), (ctx.registry, 280)):
+        sizes = [r["count"] for r in table.groupBy(F.input_file_name().alias("f")).count().collect()]
+        assert sum(sizes) >= least and max(sizes) <= 40
