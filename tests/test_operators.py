@@ -261,3 +261,17 @@ def test_files_of_derived_tables_are_bounded(spark, folder, monkeypatch):
     for table, least in ((ctx.members, 150), (ctx.registry, 280)):
         sizes = [r["count"] for r in table.groupBy(F.input_file_name().alias("f")).count().collect()]
         assert sum(sizes) >= least and max(sizes) <= 40
+
+
+def test_a_side_is_broadcast_by_its_rows_not_by_its_files(spark, folder):
+    """Some 30 MB of keys lie in files of a few KB; a side of ten rows is broadcast all the same."""
+    adapt(spark)
+    key = lambda n: F.concat(F.repeat(F.lit("k"), 100), (F.col("id") % n).cast("string"))
+    spark.range(0, 200_000, 1, 2).select(key(200_000).alias("rk")).write.parquet(f"{folder}/large")
+    spark.range(10).select(key(10).alias("rk")).write.parquet(f"{folder}/small")
+    left = spark.range(1000).select("id", key(400_000).alias("k"))
+    for side, n in (("large", 1000), ("small", 10)):
+        right = matching.distinct_keys(spark.read.parquet(f"{folder}/{side}"), "rk")
+        found = matching.lookup(left, right, {"k": "rk"}, "left_semi")
+        assert len(found.collect()) == n
+        assert ("BroadcastHashJoin" in plan_of(found).split("Initial Plan")[0]) == (side == "small")
