@@ -89,9 +89,20 @@ def _entries(registry: DataFrame, contracts: DataFrame | None) -> DataFrame:
     return found.unionByName(titles.select(_entry(_key(TITLE, c("codtit")), low=upper_trim("nometit")).alias("e")).select("e.*"))
 
 
+def _in_shares(registry: DataFrame) -> DataFrame:
+    """The registry's rows in shares of the advisory size; versions of a CCO stay together
+    unless they exceed one.
+
+    Least and greatest structs are found by sorting, in the map task too, where every version
+    has up to six entries: a task would sort all that lies in the files it reads. Only the
+    table's own columns are moved.
+    """
+    return normalise(registry.select("r_numseq", *_CONTENT).hint("rebalance", "r_codcco"))
+
+
 def registry_facts(registry: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
     """``kind, k1 .. k4, newest, low, high`` of every key. Prepared registry."""
-    return _entries(registry, contracts).groupBy(*KEY).agg(
+    return _entries(_in_shares(registry), contracts).groupBy(*KEY).agg(
         F.min("version").alias("newest"), F.min("value").alias("low"), F.max("value").alias("high")
     )
 

@@ -348,3 +348,32 @@ def test_wide_rows_choose_versions_as_frames_do(spark):
         ctx = context(spark, people, few, contracts)
         got = {tuple(r) for r in scan.hits(ctx, RULES, False).where("id is not null").select("rule_id", "id").collect()}
         assert {r for r in got if not r[0].startswith("confsib_sem")} == per_frame(ctx, False)
+
+
+def test_registry_facts_are_made_in_shares(spark, folder):
+    """One file with one row group, one CCO: several tasks sort its entries, with the same facts."""
+    from concilia.functions.prepare import prepare_registry
+    from concilia.plans import wide
+
+    rows = [version(i, cpfusu=str(i), nomeusu=f"N{i % 7}") for i in range(3000)]
+    table = context(spark, [], rows).registry
+    table.repartition(1).write.parquet(f"{folder}/one")
+    table.repartition(8).write.parquet(f"{folder}/eight")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name in ("one", "eight"):
+            registry = prepare_registry(spark.read.schema(table.schema).parquet(f"{folder}/{name}"))
+            facts = wide.registry_facts(registry)
+            hot = [r for r in facts.collect() if r.kind == wide.CCO]
+            assert [(r.k1, -r.newest.older, r.low, r.high) for r in hot] == [("C1", 2999, "N0", "N6")]
+            lines = [line.strip(" :+-*()0123456789") for line in plan_of(facts).split("Initial Plan")[0].splitlines()]
+            first = max(i for i, line in enumerate(lines) if line.startswith("SortAggregate"))
+            below = "\n".join(lines[first:])
+            assert "REBALANCE_PARTITIONS_BY_COL" in below, below
+        assert wide._in_shares(registry).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
